@@ -141,7 +141,7 @@ def device_run_summary(curated: DataFrame, events: DataFrame, rounded: bool = Fa
         F.sum("critical").alias("critical_count"),
         F.sum("high").alias("high_count"),
         F.min_by("root_cause_hint", F.struct(
-            F.col("root_cause_hint").isNull(), -F.col("n"), "root_cause_hint")).alias("top_root_cause"),
+            -F.col("n"), F.col("root_cause_hint").isNull(), "root_cause_hint")).alias("top_root_cause"),
     )
     joined = _zero_when_absent(_null_safe_left(perf, incidents, keys),
                                ["total_anomalies", "critical_count", "high_count"])
