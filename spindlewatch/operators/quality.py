@@ -1,7 +1,7 @@
 """Data quality checks.
 
 Every check of a table is a count of violations, and all of a table's counts come from one
-aggregation. The result is a frame (dataset, check, violations); `enforce` raises on any.
+aggregation. The result is a frame (dataset, check_name, violations); `enforce` raises on any.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _report(df: DataFrame, dataset: str, required: list[str], counts: dict[str,
     checks.update(counts)
     one = df.agg(*[c.cast("long").alias(f"c{i}") for i, c in enumerate(checks.values())])
     return one.select(F.inline(F.array(*[F.struct(
-        F.lit(dataset).alias("dataset"), F.lit(name).alias("check"), F.col(f"c{i}").alias("violations"))
+        F.lit(dataset).alias("dataset"), F.lit(name).alias("check_name"), F.col(f"c{i}").alias("violations"))
         for i, name in enumerate(checks)])))
 
 
@@ -139,4 +139,4 @@ def enforce(report: DataFrame) -> None:
     """Raise with the failed checks; a report has a few dozen rows at most."""
     failed = report.where(F.col("violations") > 0).collect()
     if failed:
-        raise QualityError("; ".join(f"{r.dataset}: {r.check} ({r.violations})" for r in failed))
+        raise QualityError("; ".join(f"{r.dataset}: {r.check_name} ({r.violations})" for r in failed))

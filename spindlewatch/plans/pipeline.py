@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spindlewatch.functions.features import derive_features
+from spindlewatch.functions.features import derive_features, parsed_timestamp
 from spindlewatch.operators import marts, quality, summary
 from spindlewatch.operators.detect import detect_combined
 from spindlewatch.operators.runs import latest_run, latest_runs
@@ -63,7 +63,9 @@ def load(warehouse: Warehouse, samples: DataFrame, run: str | None = None,
          source_file: str | None = None) -> str:
     """Store samples under a run id, a new one unless given. Returns the run id."""
     run = run or str(uuid.uuid4())
-    write_runs(raw_rows(with_lineage(samples, run, source_file)), warehouse.path("raw_device_metrics"))
+    rows = raw_rows(with_lineage(samples, run, source_file)).withColumn(
+        "timestamp", parsed_timestamp(samples))
+    write_runs(rows, warehouse.path("raw_device_metrics"), arrange=True)
     return run
 
 

@@ -27,18 +27,17 @@ def read_run(spark: SparkSession, path: str, run: str | None = None,
     return only_run(read_table(spark, path, schema), run)
 
 
-def write_runs(df: DataFrame, path: str, sort: list[str] | None = None) -> None:
+def write_runs(df: DataFrame, path: str, arrange: bool = False) -> None:
     """Store the runs in `df`, replacing any earlier rows of the same runs.
 
-    Writing a run twice changes nothing. Rows are spread over tasks by run and timestamp, so
-    a run of any size is written by many tasks, and sorted by device and timestamp inside
-    each file so that file statistics can skip data.
+    Writing a run twice changes nothing. `arrange` spreads rows over tasks by run and
+    timestamp, so a run of any size is written by many tasks, and sorts each file by device
+    and timestamp so that file statistics can skip data. It is meant for new samples; what
+    is derived from stored rows keeps their order and needs no shuffle.
     """
-    sort = [c for c in (sort or ["device", "timestamp"]) if c in df.columns]
-    if "timestamp" in df.columns:
-        df = df.repartitionByRange(RUN, "timestamp")
-    (df.sortWithinPartitions(RUN, *sort)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if arrange:
+        df = df.repartitionByRange(RUN, "timestamp").sortWithinPartitions(RUN, "device", "timestamp")
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(RUN).parquet(path))
 
 
