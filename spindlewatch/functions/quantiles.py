@@ -33,28 +33,23 @@ class GroupedStatistics:
     rows: int
 
 
-def without_nan(df: DataFrame, metrics: list[str]) -> DataFrame:
+def cleaned(metric: str) -> str:
     """NaN sorts above every number in Spark; treat it as missing."""
-    return df.withColumns({m: F.nullif(F.col(m).cast("double"), F.lit(float("nan"))) for m in metrics})
+    return f"nullif(CAST({metric} AS DOUBLE), double('NaN')) AS {metric}"
+
+
+def without_nan(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """The frame with NaN in `metrics` replaced by null."""
+    return df.selectExpr(*[cleaned(c) if c in metrics else f"`{c}`" for c in df.columns])
 
 
 def to_long(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     """Wide to long: one row per input row and metric."""
-    return df.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
+    return df.selectExpr(*ids, *[f"CAST({m} AS DOUBLE) AS {m}" for m in metrics]).unpivot(
         ids, metrics, "metric_name", "metric_value")
 
 
-def _moments(metric: str) -> list[Column]:
-    return [
-        F.count(metric).alias(f"{metric}__n"),
-        F.avg(metric).alias(f"{metric}__mean"),
-        F.stddev_pop(metric).alias(f"{metric}__std"),
-    ]
-
-
-def _as_struct(metric: str) -> Column:
-    parts = [F.col(f"{metric}__{p}").alias(p) for p in ("n", "mean", "std", "q")]
-    return F.struct(*parts).alias(metric)
+MOMENTS = "'n', count({m}), 'mean', avg({m}), 'std', stddev_pop({m})"
 
 
 def grouped_statistics(df: DataFrame, keys: list[str], metrics: list[str], probs: list[float],
@@ -65,26 +60,27 @@ def grouped_statistics(df: DataFrame, keys: list[str], metrics: list[str], probs
     fit in `percentile`, the counting search otherwise.
     """
     size = footprint(df, keys)
-    clean = without_nan(df.select(*keys, *metrics), metrics)
+    clean = df.selectExpr(*keys, *[cleaned(m) for m in metrics])
     if size.rows <= limits.percentile_rows:
-        aggs = [a for m in metrics for a in (
-            *_moments(m), F.percentile(m, F.array(*map(F.lit, probs))).alias(f"{m}__q"))]
-        wide = clean.groupBy(*keys).agg(*aggs)
-    else:
-        moments = clean.groupBy(*keys).agg(*[a for m in metrics for a in _moments(m)])
-        found = search_quantiles(to_long(clean, keys, metrics), [*keys, "metric_name"], probs)
-        spread = found.groupBy(*keys).agg(*[
-            F.first(F.when(F.col("metric_name") == m, F.col("q")), ignorenulls=True).alias(f"{m}__q")
+        wanted = ", ".join(f"{p}D" for p in probs)
+        frame = clean.groupBy(*keys).agg(*[
+            F.expr(f"named_struct({MOMENTS.format(m=m)}, 'q', percentile({m}, array({wanted})))").alias(m)
             for m in metrics])
-        if keys:
-            match = [moments[k].eqNullSafe(spread[k]) for k in keys]
-            wide = moments.join(spread, match, "left").drop(*[spread[k] for k in keys])
-        else:
-            quantiles = spread.select(F.struct(*spread.columns)).scalar()
-            wide = moments.withColumn("_q", quantiles).select(*moments.columns, "_q.*")
-        wide = stage(wide, "statistics")
-    return GroupedStatistics(
-        wide.select(*keys, *[_as_struct(m) for m in metrics]), size.groups, size.rows)
+        return GroupedStatistics(frame, size.groups, size.rows)
+
+    moments = clean.groupBy(*keys).agg(*[
+        F.expr(f"named_struct({MOMENTS.format(m=m)})").alias(m) for m in metrics])
+    found = search_quantiles(to_long(clean, keys, metrics), [*keys, "metric_name"], probs)
+    spread = found.groupBy(*keys).agg(*[
+        F.expr(f"first(CASE WHEN metric_name = '{m}' THEN q END, true)").alias(f"_{m}") for m in metrics])
+    if keys:
+        both = _null_safe_join(moments, spread, keys, "left")
+    else:
+        both = moments.withColumn("_q", spread.select(F.struct(*spread.columns)).scalar()).select(
+            *moments.columns, "_q.*")
+    frame = both.selectExpr(*keys, *[
+        f"named_struct('n', {m}.n, 'mean', {m}.mean, 'std', {m}.std, 'q', _{m}) AS {m}" for m in metrics])
+    return GroupedStatistics(stage(frame, "statistics"), size.groups, size.rows)
 
 
 def _coarse(value: Column) -> Column:
@@ -124,7 +120,6 @@ def search_quantiles(long: DataFrame, keys: list[str], probs: list[float]) -> Da
     """
     values = long.where(F.col("metric_value").isNotNull()).select(
         *keys, "metric_value", _coarse(F.col("metric_value")).alias("coarse"))
-    keyed = {k: f"_{k}" for k in keys}
 
     coarse = _with_rows_before(_counted(values, [*keys, "coarse"]), keys, "coarse")
     total = F.sum("n").over(Window.partitionBy(*keys))
@@ -138,13 +133,10 @@ def search_quantiles(long: DataFrame, keys: list[str], probs: list[float]) -> Da
 
     # The cells hold a handful of rows per group; the staged size lets the optimizer
     # broadcast them when that is safe.
-    ranges = first_cells.select(*keys, "coarse", "low", "high").distinct().withColumnsRenamed(keyed)
-    in_cell = [values[k].eqNullSafe(F.col(v)) for k, v in keyed.items()]
-    candidates = values.join(
-        ranges.withColumnRenamed("coarse", "_coarse"),
-        [*in_cell, F.col("coarse") == F.col("_coarse")]
-    ).select(*keys, "coarse", "metric_value",
-             _fine(F.col("metric_value"), F.col("low"), F.col("high")).alias("fine"))
+    ranges = first_cells.select(*keys, "coarse", "low", "high").distinct()
+    candidates = _null_safe_join(values, ranges, [*keys, "coarse"]).select(
+        *keys, "coarse", "metric_value",
+        _fine(F.col("metric_value"), F.col("low"), F.col("high")).alias("fine"))
 
     cell = [*keys, "coarse"]
     fine = _with_rows_before(_counted(candidates, [*cell, "fine"]), cell, "fine")
@@ -183,7 +175,7 @@ def _interpolated(p: float) -> Column:
         (upper - position) * low + (position - lower) * high)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    renamed = right.withColumnsRenamed({c: f"_{c}" for c in on})
-    return left.join(renamed, [left[c].eqNullSafe(F.col(f"_{c}")) for c in on]).drop(
-        *[f"_{c}" for c in on])
+def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    other = right.withColumnsRenamed({c: f"_key_{c}" for c in on})
+    return left.join(other, F.expr(" AND ".join(f"{c} <=> _key_{c}" for c in on)), how).drop(
+        *[f"_key_{c}" for c in on])

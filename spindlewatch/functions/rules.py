@@ -37,20 +37,18 @@ UNEXPLAINED = "Anomalous behavior detected"
 # --- End of fixed values ---
 
 
-def severity_of(detector: str, score: Column) -> Column:
+def severity_of(detector: str, score: str = "anomaly_score") -> str:
     """Severity ladder of one detector over the absolute score; a null score counts as 0."""
     floors, lowest = SEVERITY_FLOORS[detector]
-    size = F.coalesce(F.abs(score), F.lit(0.0))
-    return first_match([(size >= floor, label) for floor, label in floors], lowest)
+    return first_match(
+        [(f"coalesce(abs({score}), 0D) >= {floor}D", label) for floor, label in floors], lowest)
 
 
 def assign_severity(events: DataFrame) -> DataFrame:
     """Grade each event by its own detector's ladder; unknown detectors grade low."""
-    grade = F.lit(SEVERITY_OTHERWISE)
-    for detector in SEVERITY_FLOORS:
-        grade = F.when(F.col("detector_type") == detector,
-                       severity_of(detector, F.col("anomaly_score"))).otherwise(grade)
-    return events.withColumn("severity", grade)
+    ladders = " ".join(f"WHEN '{name}' THEN {severity_of(name)}" for name in SEVERITY_FLOORS)
+    return events.withColumn("severity", F.expr(
+        f"CASE detector_type {ladders} ELSE '{SEVERITY_OTHERWISE}' END"))
 
 
 def severity_rank(severity: Column) -> Column:
@@ -59,53 +57,62 @@ def severity_rank(severity: Column) -> Column:
     return F.when(name == "critical", 4).when(name == "high", 3).when(name == "medium", 2).otherwise(1)
 
 
-def root_cause_hint(metric: Column, row: dict[str, Column]) -> Column:
-    """Sentence explaining an event from its metric and the sample's context columns."""
-    def on(name: str, condition: Column | None = None) -> Column:
-        return metric == name if condition is None else (metric == name) & condition
-
-    pattern = row["workload_pattern"]
-    queued_and_busy = (row["aqu_sz"] >= 2) & (row["util_pct"] >= 80)
-    return first_match([
-        (on("avg_latency_ms", queued_and_busy), SATURATION_LATENCY),
-        (on("avg_latency_ms", row["write_ratio"] >= 0.7), WRITE_LATENCY),
-        (on("avg_latency_ms", row["read_ratio"] >= 0.7), READ_LATENCY),
-        (on("avg_latency_ms"), PLAIN_LATENCY),
-        (on("util_pct", row["util_pct"] >= 90), FULL_UTILIZATION),
-        (on("util_pct"), PLAIN_UTILIZATION),
-        (on("aqu_sz", row["avg_latency_ms"] >= 10), QUEUE_LATENCY),
-        (on("aqu_sz"), PLAIN_QUEUE),
-        (on("saturation_score"), SATURATION),
-        (on("latency_pressure"), LATENCY_PRESSURE),
-        (on("total_iops", row["avg_request_size_kb"] <= 16), SMALL_IOPS),
-        (on("total_iops"), PLAIN_IOPS),
-        (on("multivariate", pattern == "saturated"), JOINT_SATURATED),
-        (on("multivariate", pattern == "write_heavy"), JOINT_WRITE),
-        (on("multivariate", pattern == "read_heavy"), JOINT_READ),
-        (on("multivariate"), PLAIN_JOINT),
-    ], UNEXPLAINED)
-
-
-def hint_inputs(df: DataFrame) -> dict[str, Column]:
-    """The context a hint looks at; an absent column counts as 0, an absent label as unknown."""
-    def value(name: str, absent) -> Column:
-        return F.col(name) if name in df.columns else F.lit(absent)
-
-    numbers = ["util_pct", "aqu_sz", "avg_latency_ms", "read_ratio", "write_ratio",
-               "avg_request_size_kb"]
-    return {"workload_pattern": value("workload_pattern", "unknown"),
-            **{name: value(name, 0.0) for name in numbers}}
-
-
-def event_context(df: DataFrame) -> dict[str, Column]:
+# Per metric: sentences with the condition on the sample's context under which they apply,
+# and the sentence when none does.
+HINTS: dict[str, tuple[list[tuple[str, str]], str]] = {
+    "avg_latency_ms": ([
+        ("{aqu_sz} >= 2 AND {util_pct} >= 80", SATURATION_LATENCY),
+        ("{write_ratio} >= 0.7D", WRITE_LATENCY),
+        ("{read_ratio} >= 0.7D", READ_LATENCY),
+    ], PLAIN_LATENCY),
+    "util_pct": ([("{util_pct} >= 90", FULL_UTILIZATION)], PLAIN_UTILIZATION),
+    "aqu_sz": ([("{avg_latency_ms} >= 10", QUEUE_LATENCY)], PLAIN_QUEUE),
+    "saturation_score": ([("true", SATURATION)], SATURATION),
+    "latency_pressure": ([("true", LATENCY_PRESSURE)], LATENCY_PRESSURE),
+    "total_iops": ([("{avg_request_size_kb} <= 16", SMALL_IOPS)], PLAIN_IOPS),
+    "multivariate": ([
+        ("{workload_pattern} = 'saturated'", JOINT_SATURATED),
+        ("{workload_pattern} = 'write_heavy'", JOINT_WRITE),
+        ("{workload_pattern} = 'read_heavy'", JOINT_READ),
+    ], PLAIN_JOINT),
+}
+# Context a hint looks at, with what an absent column counts as.
+HINT_INPUTS = {
+    "workload_pattern": "'unknown'",
+    "util_pct": "0D",
+    "aqu_sz": "0D",
+    "avg_latency_ms": "0D",
+    "read_ratio": "0D",
+    "write_ratio": "0D",
+    "avg_request_size_kb": "0D",
+}
+
+
+def root_cause_hint(columns: list[str], prefix: str = "") -> str:
+    """Sentence explaining an event from `metric_name` and the sample's context.
+
+    `columns` are the names available; `prefix` is put before context names.
+    """
+    inputs = {name: prefix + name if prefix + name in columns else absent
+              for name, absent in HINT_INPUTS.items()}
+    arms = " ".join(
+        f"WHEN '{metric}' THEN "
+        + first_match([(condition.format(**inputs), text) for condition, text in rules], otherwise)
+        for metric, (rules, otherwise) in HINTS.items())
+    return f"CASE metric_name {arms} ELSE '{UNEXPLAINED}' END"
+
+
+def event_context(columns: list[str]) -> dict[str, str]:
     """Context columns as stored on an event.
 
     A ratio of exactly 0 is stored as 0.5; other values, nulls included, are kept.
     """
     context = {}
     for name, absent in EVENT_CONTEXT.items():
-        column = F.col(name) if name in df.columns else F.lit(absent)
-        if absent:
-            column = F.when(column == 0, F.lit(absent)).otherwise(column)
-        context[name] = column
+        if name not in columns:
+            context[name] = f"{absent}D"
+        elif absent:
+            context[name] = f"CASE WHEN {name} = 0 THEN {absent}D ELSE {name} END"
+        else:
+            context[name] = name
     return context

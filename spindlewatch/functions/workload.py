@@ -2,57 +2,54 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spindlewatch.functions.quantiles import grouped_statistics
 from spindlewatch.session import DEFAULT_LIMITS, Limits
 
 
-def first_match(rules: list[tuple[Column, str]], default: str) -> Column:
-    """CASE expression from (condition, label) pairs."""
-    (condition, label), *rest = rules
-    chain = reduce(lambda acc, rule: acc.when(rule[0], F.lit(rule[1])), rest,
-                   F.when(condition, F.lit(label)))
-    return chain.otherwise(F.lit(default))
-
-
-def _overloaded() -> Column:
-    return (F.col("util_pct") > 80) | (F.col("aqu_sz") > 5)
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def fixed_threshold_pattern() -> Column:
-    """Five labels from fixed thresholds; the pipeline's classifier."""
-    return first_match([
-        (_overloaded(), "saturated"),
-        (F.col("total_iops") > 1200, "burst_io"),
-        (F.col("avg_request_size_kb") < 16, "small_io_pressure"),
-        (F.col("avg_latency_ms") > 5, "latency_sensitive"),
-    ], "balanced")
-
-
-def eight_class_pattern() -> Column:
-    """Eight labels that also separate read-heavy and write-heavy samples."""
-    col = F.col
-    return first_match([
-        ((col("util_pct") >= 85) | (col("aqu_sz") >= 3), "saturated"),
-        ((col("avg_latency_ms") >= 10) & (col("aqu_sz") >= 1), "latency_sensitive"),
-        (col("write_ratio") >= 0.7, "write_heavy"),
-        (col("read_ratio") >= 0.7, "read_heavy"),
-        ((col("avg_request_size_kb") <= 16) & (col("total_iops") > 0), "small_io_pressure"),
-        ((col("total_throughput_mb_s") >= 50) & (col("avg_latency_ms") < 5), "high_throughput"),
-        (col("total_iops") >= 500, "burst_io"),
-    ], "balanced")
+def first_match(rules: list[tuple[str, str]], default: str) -> str:
+    """CASE expression from (condition, label) pairs."""
+    arms = " ".join(f"WHEN {condition} THEN {quoted(label)}" for condition, label in rules)
+    return f"CASE {arms} ELSE {quoted(default)} END"
+
+
+OVERLOADED = "util_pct > 80 OR aqu_sz > 5"
+
+# Five labels from fixed thresholds; the pipeline's classifier.
+FIXED_THRESHOLD_PATTERN = first_match([
+    (OVERLOADED, "saturated"),
+    ("total_iops > 1200", "burst_io"),
+    ("avg_request_size_kb < 16", "small_io_pressure"),
+    ("avg_latency_ms > 5", "latency_sensitive"),
+], "balanced")
+
+# Eight labels that also separate read-heavy and write-heavy samples.
+EIGHT_CLASS_INPUTS = [
+    "read_ratio", "write_ratio", "avg_request_size_kb", "util_pct", "aqu_sz",
+    "avg_latency_ms", "total_iops", "total_throughput_mb_s",
+]
+EIGHT_CLASS_PATTERN = first_match([
+    ("util_pct >= 85 OR aqu_sz >= 3", "saturated"),
+    ("avg_latency_ms >= 10 AND aqu_sz >= 1", "latency_sensitive"),
+    ("write_ratio >= 0.7D", "write_heavy"),
+    ("read_ratio >= 0.7D", "read_heavy"),
+    ("avg_request_size_kb <= 16 AND total_iops > 0", "small_io_pressure"),
+    ("total_throughput_mb_s >= 50 AND avg_latency_ms < 5", "high_throughput"),
+    ("total_iops >= 500", "burst_io"),
+], "balanced")
 
 
 def add_workload_patterns(df: DataFrame) -> DataFrame:
     """Label rows with the eight-class rules; absent inputs count as 0."""
-    inputs = ["read_ratio", "write_ratio", "avg_request_size_kb", "util_pct", "aqu_sz",
-              "avg_latency_ms", "total_iops", "total_throughput_mb_s"]
-    absent = {c: F.lit(0.0) for c in inputs if c not in df.columns}
-    return (df.withColumns(absent) if absent else df).withColumn(
-        "workload_pattern", eight_class_pattern()).drop(*absent)
+    absent = [c for c in EIGHT_CLASS_INPUTS if c not in df.columns]
+    if absent:
+        df = df.withColumns({c: F.lit(0.0) for c in absent})
+    return df.withColumn("workload_pattern", F.expr(EIGHT_CLASS_PATTERN)).drop(*absent)
 
 
 def add_adaptive_patterns(df: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -61,11 +58,10 @@ def add_adaptive_patterns(df: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Dat
     The three percentiles are one row, read as a scalar subquery.
     """
     stats = grouped_statistics(df, [], ["r_s", "w_s", "avg_latency_ms"], [0.9], limits)
-    cut = stats.frame.select(F.struct(
-        *[F.col(m).q[0].alias(m) for m in ("r_s", "w_s", "avg_latency_ms")])).scalar()
-    return df.withColumn("_p90", cut).withColumn("workload_pattern", first_match([
-        (_overloaded(), "saturated"),
-        ((F.col("r_s") > F.col("_p90.r_s")) | (F.col("w_s") > F.col("_p90.w_s")), "burst_io"),
-        (F.col("avg_request_size_kb") < 16, "small_io_pressure"),
-        (F.col("avg_latency_ms") > F.col("_p90.avg_latency_ms"), "latency_sensitive"),
-    ], "balanced")).drop("_p90")
+    cut = stats.frame.select(F.struct("r_s", "w_s", "avg_latency_ms")).scalar()
+    return df.withColumn("_p90", cut).withColumn("workload_pattern", F.expr(first_match([
+        (OVERLOADED, "saturated"),
+        ("r_s > _p90.r_s.q[0] OR w_s > _p90.w_s.q[0]", "burst_io"),
+        ("avg_request_size_kb < 16", "small_io_pressure"),
+        ("avg_latency_ms > _p90.avg_latency_ms.q[0]", "latency_sensitive"),
+    ], "balanced"))).drop("_p90")

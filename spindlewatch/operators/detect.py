@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spindlewatch.functions.quantiles import grouped_statistics, without_nan
 from spindlewatch.functions.rolling import rolling
 from spindlewatch.functions.rules import (
-    assign_severity, event_context, hint_inputs, root_cause_hint, severity_of,
+    HINT_INPUTS, assign_severity, event_context, root_cause_hint, severity_of,
 )
 from spindlewatch.schema import (
     COMBINED_METRICS, DETECTION_SCHEMA, EVENT_CONTEXT, EVENT_SCHEMA, IQR_MULTIPLIER,
@@ -23,11 +22,10 @@ def _present(df: DataFrame, names: list[str]) -> list[str]:
     return [name for name in names if name in df.columns]
 
 
-def _lineage(df: DataFrame) -> list[Column]:
-    return [
-        (F.col(name) if name in df.columns else F.lit(None)).cast("string").alias(name)
-        for name in ("source_file", "ingest_run_id")
-    ]
+def lineage(df: DataFrame) -> list[str]:
+    """Source file and run id, null when the frame has none."""
+    return [f"{c if c in df.columns else 'CAST(NULL AS STRING)'} AS {c}"
+            for c in ("source_file", "ingest_run_id")]
 
 
 def add_rolling_baselines(df: DataFrame, metrics: list[str], window: int = ROLLING_WINDOW,
@@ -49,17 +47,20 @@ def add_rolling_baselines(df: DataFrame, metrics: list[str], window: int = ROLLI
     return rolling(without_nan(df, metrics), "device", order, window - 1, columns, limits)
 
 
-def _one_row_per_metric(df: DataFrame, carried: list, per_metric: list[Column]) -> DataFrame:
+def _one_row_per_metric(df: DataFrame, carried: list[str], per_metric: list[str]) -> DataFrame:
     """Turn candidate rows into one row per metric that passed; `keep` marks those."""
     return (
-        df.select(*carried, F.explode(F.array(*per_metric)).alias("_m"))
-        .select("*", "_m.*").drop("_m")
-        .where("keep").drop("keep")
+        df.selectExpr(*carried, f"explode(array({', '.join(per_metric)})) AS _m")
+        .where("_m.keep")
+        .select("*", "_m.*").drop("_m", "keep")
     )
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(or_, [F.coalesce(c, F.lit(False)) for c in conditions])
+def _as_detections(long: DataFrame, detector: str, details: str) -> DataFrame:
+    made = {"detector_type": f"'{detector}'", "details": details,
+            "severity": "CAST(NULL AS STRING)", "is_anomaly": "1"}
+    return long.selectExpr(*[
+        f"{made.get(name, name)} AS {name}" for name in DETECTION_SCHEMA.fieldNames()])
 
 
 def detect_rolling_zscore(df: DataFrame, metrics: list[str],
@@ -69,47 +70,49 @@ def detect_rolling_zscore(df: DataFrame, metrics: list[str],
     Needs the columns of `add_rolling_baselines`. The score keeps its sign. A window of w
     rows that contains the value itself cannot exceed (w - 1) / sqrt(w) deviations.
     """
-    def score(metric: str) -> Column:
-        std = F.col(f"{metric}_rolling_std")
-        return (F.col(metric) - F.col(f"{metric}_rolling_mean")) / F.when(std != 0, std)
+    def score(m: str) -> str:
+        return f"(({m} - {m}_rolling_mean) / nullif({m}_rolling_std, 0D))"
+
+    def flagged(m: str) -> str:
+        return f"coalesce(abs({score(m)}) >= {threshold}D, false)"
 
     inputs = [c for m in metrics for c in (m, f"{m}_rolling_mean", f"{m}_rolling_std")]
-    clean = without_nan(df, inputs)
-    flagged = {m: F.abs(score(m)) >= threshold for m in metrics}
-    rows = clean.where(_any(list(flagged.values())))
-    long = _one_row_per_metric(rows, ["device", "timestamp", *_lineage(df)], [
-        F.struct(F.lit(m).alias("metric_name"), F.col(m).alias("metric_value"),
-                 score(m).alias("anomaly_score"), flagged[m].alias("keep"))
-        for m in metrics])
-    return _as_detections(long, F.lit("rolling_zscore"),
-                          F.format_string("zscore=%.2f", "anomaly_score"))
-
-
-def _as_detections(long: DataFrame, detector: Column, details: Column,
-                   severity: Column | None = None) -> DataFrame:
-    return long.withColumns({
-        "detector_type": detector,
-        "details": details,
-        "severity": F.lit(None).cast("string") if severity is None else severity,
-        "is_anomaly": F.lit(1),
-    }).select(*DETECTION_SCHEMA.fieldNames())
-
-
-def _fences(metric: str, multiplier: float) -> dict[str, Column]:
-    q1, q3 = F.col(metric).q[0], F.col(metric).q[1]
-    return {"q1": q1, "q3": q3, "iqr": q3 - q1,
-            "lower": q1 - (q3 - q1) * multiplier, "upper": q3 + (q3 - q1) * multiplier}
-
-
-def _with_device_statistics(df: DataFrame, metrics: list[str], limits: Limits) -> DataFrame:
-    """Rows with, per metric, the value as `<metric>` and its device's statistics as `_<metric>`.
-
-    The statistics come as one row per device, so the join probes once per sample, not once
-    per sample and metric. Rows without a device belong to no group and drop out.
+    rows = without_nan(df, inputs).where(" OR ".join(flagged(m) for m in metrics))
+    long = _one_row_per_metric(rows, ["device", "timestamp", *lineage(df)], [
+        f"named_struct('metric_name', '{m}', 'metric_value', {m}, "
+        f"'anomaly_score', {score(m)}, 'keep', {flagged(m)})" for m in metrics])
+    return _as_detections(long, "rolling_zscore", "format_string('zscore=%.2f', anomaly_score)")
+
+
+def _with_fences(df: DataFrame, metrics: list[str], multiplier: float, threshold: float | None,
+                 min_values: int, limits: Limits) -> DataFrame:
+    """Rows that may be outliers, each with its device's statistics as `_<metric>`.
+
+    Per device and metric the statistics include the fences, and `low` and `high`: values
+    between them cannot be flagged by either test. The z-score limits are taken a hair
+    inside so that rounding cannot hide a row; the exact tests come later, on few rows.
+    The statistics are one row per device, so a sample is probed once for all its metrics.
+    Rows without a device belong to no group and drop out.
     """
     stats = grouped_statistics(df, ["device"], metrics, [0.25, 0.75], limits)
-    renamed = stats.frame.withColumnsRenamed({m: f"_{m}" for m in metrics})
-    return join_statistics(without_nan(df, metrics), renamed, ["device"], stats.groups, limits)
+
+    def fenced(m: str) -> str:
+        iqr = f"({m}.q[1] - {m}.q[0])"
+        lower, upper = f"({m}.q[0] - {multiplier}D * {iqr})", f"({m}.q[1] + {multiplier}D * {iqr})"
+        low, high = lower, upper
+        if threshold is not None:
+            reach = f"nullif({m}.std, 0D) * {threshold * (1 - 1e-9)!r}D"
+            low, high = f"greatest({lower}, {m}.mean - {reach})", f"least({upper}, {m}.mean + {reach})"
+        enough = f"{m}.n >= {min_values}"
+        return (f"named_struct('mean', {m}.mean, 'std', {m}.std, 'q1', {m}.q[0], 'q3', {m}.q[1], "
+                f"'iqr', {iqr}, 'lower', {lower}, 'upper', {upper}, "
+                f"'low', CASE WHEN {enough} THEN {low} END, "
+                f"'high', CASE WHEN {enough} THEN {high} END) AS _{m}")
+
+    fences = stats.frame.selectExpr("device", *[fenced(m) for m in metrics])
+    joined = join_statistics(without_nan(df, metrics), fences, ["device"], stats.groups, limits)
+    return joined.where(" OR ".join(
+        f"coalesce({m} < _{m}.low OR {m} > _{m}.high, false)" for m in metrics))
 
 
 def detect_iqr(df: DataFrame, metrics: list[str], multiplier: float = IQR_MULTIPLIER,
@@ -118,24 +121,18 @@ def detect_iqr(df: DataFrame, metrics: list[str], multiplier: float = IQR_MULTIP
 
     The score is the distance past the fence in interquartile units, 0 when that unit is 0.
     """
-    def outside(metric: str) -> Column:
-        fence = _fences(f"_{metric}", multiplier)
-        return (F.col(metric) < fence["lower"]) | (F.col(metric) > fence["upper"])
-
-    def evidence(metric: str) -> Column:
-        value, fence = F.col(metric), _fences(f"_{metric}", multiplier)
-        past = F.when(value > fence["upper"], value - fence["upper"]).otherwise(fence["lower"] - value)
-        return F.struct(
-            F.lit(metric).alias("metric_name"), value.alias("metric_value"),
-            F.when(fence["iqr"] != 0, past / fence["iqr"]).otherwise(F.lit(0.0)).alias("anomaly_score"),
-            fence["lower"].alias("lower"), fence["upper"].alias("upper"),
-            outside(metric).alias("keep"))
-
-    rows = _with_device_statistics(df, metrics, limits).where(_any([outside(m) for m in metrics]))
-    long = _one_row_per_metric(rows, ["device", "timestamp", *_lineage(df)],
+    def evidence(m: str) -> str:
+        s = f"_{m}"
+        past = f"CASE WHEN {m} > {s}.upper THEN {m} - {s}.upper ELSE {s}.lower - {m} END"
+        return (f"named_struct('metric_name', '{m}', 'metric_value', {m}, "
+                f"'anomaly_score', coalesce(({past}) / nullif({s}.iqr, 0D), 0D), "
+                f"'lower', {s}.lower, 'upper', {s}.upper, "
+                f"'keep', {m} < {s}.lower OR {m} > {s}.upper)")
+
+    rows = _with_fences(df, metrics, multiplier, None, 1, limits)
+    long = _one_row_per_metric(rows, ["device", "timestamp", *lineage(df)],
                                [evidence(m) for m in metrics])
-    return _as_detections(long, F.lit("iqr"),
-                          F.format_string("lower=%.2f, upper=%.2f", "lower", "upper"))
+    return _as_detections(long, "iqr", "format_string('lower=%.2f, upper=%.2f', lower, upper)")
 
 
 def detect_combined(df: DataFrame, metrics: list[str] | None = None,
@@ -148,47 +145,30 @@ def detect_combined(df: DataFrame, metrics: list[str] | None = None,
     no outlying metric are dropped before rows are made per metric.
     """
     metrics = _present(df, COMBINED_METRICS) if metrics is None else metrics
-
-    def signals(metric: str) -> dict[str, Column]:
-        value, stats = F.col(metric), F.col(f"_{metric}")
-        fence = _fences(f"_{metric}", multiplier)
-        z = F.when(stats.std == 0, F.lit(0.0)).otherwise((value - stats.mean) / F.nullif(stats.std, F.lit(0.0)))
-        enough = stats.n >= min_values
-        return {**fence, "mean": stats.mean, "std": stats.std, "z": z,
-                "by_z": enough & (F.abs(z) >= threshold),
-                "by_iqr": enough & ((value < fence["lower"]) | (value > fence["upper"]))}
-
-    def evidence(metric: str) -> Column:
-        s = signals(metric)
-        named = [("mean", "mean"), ("std", "std"), ("q1", "q1"), ("q3", "q3"), ("iqr", "iqr"),
-                 ("lower", "lower_bound"), ("upper", "upper_bound"), ("z", "z_score")]
-        return F.struct(
-            F.lit(metric).alias("metric_name"), F.col(metric).alias("metric_value"),
-            F.struct(*[s[have].alias(want) for have, want in named]).alias("evidence"),
-            s["by_z"].alias("by_z"), s["by_iqr"].alias("by_iqr"),
-            (s["by_z"] | s["by_iqr"]).alias("keep"))
-
-    found = [signals(m) for m in metrics]
-    rows = _with_device_statistics(df, metrics, limits).where(
-        _any([s["by_z"] | s["by_iqr"] for s in found]))
-    inputs = {name: c.alias(f"hint_{name}") for name, c in hint_inputs(df).items()}
-    context = [c.alias(name) for name, c in event_context(df).items()]
-    pattern = F.col("workload_pattern") if "workload_pattern" in df.columns else F.lit("balanced")
+    rows = _with_fences(df, metrics, multiplier, threshold, min_values, limits)
+    context = [f"{e} AS {name}" for name, e in event_context(df.columns).items()]
+    inputs = [f"{name} AS hint_{name}" for name in _present(df, list(HINT_INPUTS))]
+    pattern = "workload_pattern" if "workload_pattern" in df.columns else "'balanced'"
     long = _one_row_per_metric(
-        rows, ["device", "timestamp", *_lineage(df), pattern.alias("workload_pattern"),
-               *context, *inputs.values()],
-        [evidence(m) for m in metrics])
-    size = F.abs(F.col("evidence.z_score"))
-    both = F.col("by_z") & F.col("by_iqr")
-    return long.withColumns({
-        "anomaly_score": size,
-        "detector_type": F.when(both, "zscore+iqr").when(F.col("by_z"), "zscore").otherwise("iqr"),
-        "severity": severity_of("rolling_zscore", size),
-        "is_anomaly": F.lit(1),
-        "details": F.to_json("evidence"),
-        "root_cause_hint": root_cause_hint(
-            F.col("metric_name"), {name: F.col(f"hint_{name}") for name in inputs}),
-    }).select(*EVENT_SCHEMA.fieldNames())
+        rows, ["device", "timestamp", *lineage(df), f"{pattern} AS workload_pattern", *context, *inputs],
+        [f"named_struct('metric_name', '{m}', 'metric_value', {m}, 'stats', _{m}, "
+         f"'keep', coalesce({m} < _{m}.low OR {m} > _{m}.high, false))" for m in metrics])
+    tested = long.selectExpr(
+        "*", "coalesce((metric_value - stats.mean) / nullif(stats.std, 0D), 0D) AS z_score"
+    ).selectExpr(
+        "*", "abs(z_score) AS anomaly_score", f"abs(z_score) >= {threshold}D AS by_z",
+        "metric_value < stats.lower OR metric_value > stats.upper AS by_iqr"
+    ).where("by_z OR by_iqr")
+    made = {
+        "detector_type": "CASE WHEN by_z AND by_iqr THEN 'zscore+iqr' WHEN by_z THEN 'zscore' ELSE 'iqr' END",
+        "severity": severity_of("rolling_zscore"),
+        "is_anomaly": "1",
+        "details": "to_json(named_struct('mean', stats.mean, 'std', stats.std, 'q1', stats.q1, "
+                   "'q3', stats.q3, 'iqr', stats.iqr, 'lower_bound', stats.lower, "
+                   "'upper_bound', stats.upper, 'z_score', z_score))",
+        "root_cause_hint": root_cause_hint(tested.columns, "hint_"),
+    }
+    return tested.selectExpr(*[f"{made.get(name, name)} AS {name}" for name in EVENT_SCHEMA.fieldNames()])
 
 
 def enrich_events(events: DataFrame, curated: DataFrame) -> DataFrame:
@@ -200,14 +180,12 @@ def enrich_events(events: DataFrame, curated: DataFrame) -> DataFrame:
     keys = ["device", "timestamp"]
     if "ingest_run_id" in events.columns and "ingest_run_id" in curated.columns:
         keys.append("ingest_run_id")
-    context = curated.select(*[F.col(k).alias(f"_{k}") for k in keys],
-                             "workload_pattern", *EVENT_CONTEXT)
+    context = curated.selectExpr(*[f"{k} AS _{k}" for k in keys], "workload_pattern", *EVENT_CONTEXT)
     bare = events.drop("workload_pattern", "root_cause_hint", *EVENT_CONTEXT)
     joined = bare.join(
-        context, [bare[k].eqNullSafe(context[f"_{k}"]) for k in keys], "left"
+        context, F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys)), "left"
     ).drop(*[f"_{k}" for k in keys])
-    return joined.withColumn(
-        "root_cause_hint", root_cause_hint(F.col("metric_name"), hint_inputs(joined)))
+    return joined.withColumn("root_cause_hint", F.expr(root_cause_hint(joined.columns)))
 
 
 def graded(detections: DataFrame, curated: DataFrame) -> DataFrame:

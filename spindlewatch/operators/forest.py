@@ -7,14 +7,15 @@ with the scoring function; scoring is one Arrow pass with no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spindlewatch.functions.quantiles import grouped_statistics
-from spindlewatch.operators.detect import _lineage
+from spindlewatch.operators.detect import lineage
 from spindlewatch.schema import (
     CONTAMINATION, DETECTION_SCHEMA, FOREST_MIN_ROWS, FOREST_SEED,
 )
@@ -23,6 +24,9 @@ from spindlewatch.session import DEFAULT_LIMITS, Limits, stage
 TREES = 100
 SUBSAMPLE = 256
 
+# The functions below run on executors; sent by value, they need no installed package there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double"
 
 
@@ -128,7 +132,7 @@ def fit_forest(df: DataFrame, metrics: list[str], seed: int = FOREST_SEED,
     rows = df.count() if rows is None else rows
     names = [f"_f{i}" for i in range(len(metrics))]
 
-    def build(key, sample: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
         nodes = grow(int(key[0]), sample[names].to_numpy(dtype=float), seed)
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
 
@@ -162,7 +166,7 @@ def detect_isolation_forest(df: DataFrame, metrics: list[str],
     forest = fit_forest(df, metrics, seed, rows=rows)
     # Scored once and written down: the cut-off needs several looks at the scores.
     scored = stage(score_rows(
-        df.select("device", "timestamp", *_lineage(df), *metrics), metrics, forest
+        df.selectExpr("device", "timestamp", *lineage(df), *metrics), metrics, forest
     ).drop(*metrics), "isolation-scores")
     cut = grouped_statistics(
         scored.withColumnRenamed("isolation_score", "score"), [], ["score"],

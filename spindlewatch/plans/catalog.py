@@ -22,6 +22,8 @@ from spindlewatch.session import stage
 from spindlewatch.sources.feed import read_feed
 
 DIGITS = 6
+# Quartiles of six-digit values often end in 5 at the seventh digit; round well before it.
+DETAIL_DIGITS = 4
 BASELINE_METRICS = ["avg_latency_ms", "total_iops"]
 # Five rows cannot contain a three-deviation outlier, so events use a longer baseline.
 EVENT_WINDOW = 60
@@ -29,10 +31,10 @@ FOREST_METRICS = ["avg_latency_ms", "saturation_score", "total_iops"]
 AS_OF = datetime(2024, 1, 31)
 
 
-def settled(df: DataFrame, *names: str) -> DataFrame:
+def settled(df: DataFrame, *names: str, digits: int = DIGITS) -> DataFrame:
     """Round aggregated doubles so that summation order does not show (and -0.0 becomes 0.0)."""
     chosen = names or [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({n: F.round(F.col(n), DIGITS) + 0.0 for n in chosen})
+    return df.withColumns({n: F.expr(f"round({n}, {digits}) + 0D") for n in chosen})
 
 
 class Feed:
@@ -96,7 +98,7 @@ class Feed:
 def _details(feed: Feed) -> DataFrame:
     parsed = feed.found.select(
         "device", "timestamp", "metric_name", F.from_json("details", EVIDENCE_SCHEMA).alias("d"))
-    return settled(parsed.select("device", "timestamp", "metric_name", "d.*"))
+    return settled(parsed.select("device", "timestamp", "metric_name", "d.*"), digits=DETAIL_DIGITS)
 
 
 def _frequencies(feed: Feed) -> DataFrame:

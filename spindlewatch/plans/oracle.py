@@ -8,7 +8,7 @@ from spindlewatch.operators.marts import (
     HEALTH_COLUMNS, PROJECTION_COLUMNS, RUN_SUMMARY_DIGITS, TIMELINE_COLUMNS,
 )
 from spindlewatch.operators.facts import SERIES_COLUMNS
-from spindlewatch.plans.catalog import BASELINE_METRICS, DIGITS, EVENT_WINDOW
+from spindlewatch.plans.catalog import BASELINE_METRICS, DETAIL_DIGITS, DIGITS, EVENT_WINDOW
 from spindlewatch.schema import (
     COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, NO_ANOMALIES, RAW_SCHEMA,
     WORKLOAD_PATTERNS,
@@ -377,8 +377,8 @@ def sql(body: str, *reads: str) -> str:
     return f"WITH {parts}\n{body}"
 
 
-def settled(body: str, columns: list[str]) -> str:
-    replaced = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in columns)
+def settled(body: str, columns: list[str], digits: int = DIGITS) -> str:
+    replaced = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
     return f"SELECT * REPLACE ({replaced}) FROM ({body})"
 
 
@@ -619,7 +619,8 @@ def oracle_sql() -> dict[str, str]:
         "iqr_events": sql(settled(iqr_events(COMBINED_METRICS), ["anomaly_score"]), "curated"),
         "combined_events": sql(settled(found_rows, ["anomaly_score"]), "found"),
         "event_details": sql(settled(
-            f"SELECT device, timestamp, metric_name, {', '.join(evidence)} FROM found", evidence), "found"),
+            f"SELECT device, timestamp, metric_name, {', '.join(evidence)} FROM found", evidence,
+            DETAIL_DIGITS), "found"),
         "severity_union": sql(settled("SELECT * FROM all_events", ["anomaly_score"]), "all_events"),
         "enriched_events": sql(settled(enriched(iqr_events(COMBINED_METRICS)), ["anomaly_score"]), "curated"),
         "device_overview": sql(settled("SELECT * FROM overview", OVERVIEW_DOUBLES), "overview"),

@@ -6,9 +6,7 @@ sample, so every operator can run over a given table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from spindlewatch.schema import RAW_SCHEMA
+from pyspark.sql import DataFrame, SparkSession
 
 # --- Fixed values of the mapping ---
 DEVICES = ["nvme0n1", "nvme1n1", "sda", "sdb", "dm-0"]
@@ -20,32 +18,35 @@ LAST_RUN = 5
 
 def read_feed(spark: SparkSession, folder: str) -> DataFrame:
     """Raw samples from `<folder>/events.parquet`; reads five of its six columns."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    slot = F.pmod(F.col("user_id"), F.lit(len(DEVICES))).cast("int") + 1
-    value, k, f = F.col("value"), F.col("_k"), F.col("_f")
-    idle = (F.col("event_type") == "error") & (k < 5)
-    run = F.least(F.lit(LAST_RUN), F.floor((F.dayofmonth("ts") - 1) / RUN_DAYS).cast("int"))
-    return events.select(
-        "ts", "value", "event_type",
-        F.get_json_object("props", "$.k").cast("double").alias("_k"),
-        F.element_at(F.array(*map(F.lit, DEVICES)), slot).alias("device"),
-        F.element_at(F.array(*map(F.lit, SLOWNESS)), slot).alias("_f"),
-    ).withColumns({
-        "timestamp": F.col("ts").cast("timestamp"),
-        "r_s": F.when(idle, 0.0).otherwise(value * 4),
-        "w_s": F.when(idle, 0.0).otherwise(k * 3),
-        "rmb_s": F.when(F.col("event_type") == "click", value / 40).otherwise(value / 10),
-        "wmb_s": k / 20,
-        "r_await": value / 50 * f,
-        "w_await": k / 25 * f,
-        "aqu_sz": value / 60,
-        "util_pct": F.least(F.lit(100.0), k * 0.6 + value / 5),
-        "rrqm_s": k * 0.5,
-        "wrqm_s": value * 0.25,
-        "rareq_sz": k + 4,
-        "wareq_sz": value / 2 + 4,
-        "svctm": value / 100 * f,
-        "iowait_pct": k / 4,
-        "source_file": F.lit("events.parquet"),
-        "ingest_run_id": F.concat(F.lit("run-"), F.lpad(run.cast("string"), 2, "0")),
-    }).select(*RAW_SCHEMA.fieldNames())
+    def slot(values: list) -> str:
+        return f"element_at(array({', '.join(map(repr, values))}), CAST(pmod(user_id, {len(values)}) AS INT) + 1)"
+
+    def unless_idle(rate: str) -> str:
+        return f"CASE WHEN event_type = 'error' AND k < 5 THEN 0D ELSE {rate} END"
+
+    columns = {
+        "device": "device",
+        "timestamp": "CAST(ts AS TIMESTAMP)",
+        "r_s": unless_idle("value * 4"),
+        "w_s": unless_idle("k * 3"),
+        "rmb_s": "CASE WHEN event_type = 'click' THEN value / 40 ELSE value / 10 END",
+        "wmb_s": "k / 20",
+        "r_await": "value / 50 * f",
+        "w_await": "k / 25 * f",
+        "aqu_sz": "value / 60",
+        "util_pct": "least(100D, k * 0.6D + value / 5)",
+        "rrqm_s": "k * 0.5D",
+        "wrqm_s": "value * 0.25D",
+        "rareq_sz": "k + 4",
+        "wareq_sz": "value / 2 + 4",
+        "svctm": "value / 100 * f",
+        "iowait_pct": "k / 4",
+        "source_file": "'events.parquet'",
+        "ingest_run_id": f"concat('run-0', least({LAST_RUN}, (dayofmonth(ts) - 1) DIV {RUN_DAYS}))",
+    }
+    return (
+        spark.read.parquet(f"{folder}/events.parquet")
+        .selectExpr("ts", "value", "event_type", "CAST(get_json_object(props, '$.k') AS DOUBLE) AS k",
+                    f"{slot(DEVICES)} AS device", f"CAST({slot(SLOWNESS)} AS DOUBLE) AS f")
+        .selectExpr(*[f"{expression} AS {name}" for name, expression in columns.items()])
+    )
