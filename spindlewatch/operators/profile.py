@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from spindlewatch.functions.quantiles import grouped_statistics, without_nan
 from spindlewatch.operators.runs import count_where
@@ -53,54 +53,56 @@ HISTOGRAM_BINS = 50
 # --- End of fixed values ---
 
 
-def _rows(df: DataFrame, structs: list[Column]) -> DataFrame:
-    """Turn a one-row frame into one row per struct."""
-    return df.select(F.inline(F.array(*structs)))
+def _rows(df: DataFrame, structs: list[str]) -> DataFrame:
+    """Turn a one-row frame into one row per struct expression."""
+    return df.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def describe(df: DataFrame, columns: list[str] | None = None,
              limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Count, mean, sample deviation, extremes and upper percentiles, one row per column."""
     columns = [c for c in (columns or DESCRIBED) if c in df.columns]
-    quantiles = grouped_statistics(df, [], columns, QUANTILES, limits).frame
-    ends = without_nan(df.select(*columns), columns).agg(*[
-        F.struct(F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).alias(c)
-        for c in columns])
-    both = quantiles.withColumn("_ends", ends.select(F.struct(*columns)).scalar())
-    return _rows(both, [F.struct(
-        F.lit(c).alias("metric_name"), F.col(c).n.alias("count"), F.col(c).mean.alias("mean"),
-        F.col(f"_ends.{c}.std").alias("std"), F.col(f"_ends.{c}.min").alias("min"),
-        *[F.col(c).q[i].alias(f"p{int(p * 100)}") for i, p in enumerate(QUANTILES)],
-        F.col(f"_ends.{c}.max").alias("max")) for c in columns])
-
-
-def null_and_distinct(df: DataFrame) -> DataFrame:
+    # The extremes are the percentiles 0 and 1, and the sample deviation follows from the
+    # population one, so one set of statistics serves every figure.
+    stats = grouped_statistics(df, [], columns, [0.0, *QUANTILES, 1.0], limits).frame
+    last = len(QUANTILES) + 1
+    return _rows(stats, [
+        f"named_struct('metric_name', '{c}', 'count', {c}.n, 'mean', {c}.mean, "
+        f"'std', {c}.std * sqrt({c}.n / nullif({c}.n - 1, 0)), 'min', {c}.q[0], "
+        + ", ".join(f"'p{int(p * 100)}', {c}.q[{i}]" for i, p in enumerate(QUANTILES, 1))
+        + f", 'max', {c}.q[{last}])" for c in columns])
+
+
+def null_and_distinct(df: DataFrame, error: float | None = None) -> DataFrame:
     """Percent of nulls and number of distinct values per column.
 
-    Distinct values are counted from (column, value) pairs, deduplicated map-side and spread
-    over all tasks; counting each column apart would copy every row once per column.
+    Exact by default: distinct values are counted from (column, value) pairs, deduplicated
+    map-side and spread over all tasks, since counting each column apart would copy every
+    row once per column. That still shuffles every different value; with `error`, the
+    allowed relative deviation, one pass without that shuffle estimates the counts.
     """
     numbers = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     others = [f.name for f in df.schema if f.name not in numbers]
-    missing = {c: F.col(c).isNull() | F.isnan(c) for c in numbers}
-    missing.update({c: F.col(c).isNull() for c in others})
-    total = F.count(F.lit(1))
-    nulls = _rows(df.agg(*[
-        (F.count_if(missing[c]) * 100.0 / total).alias(c) for c in df.columns
-    ]), [F.struct(F.lit(c).alias("column_name"), F.round(F.col(c), 2).alias("null_pct"))
-         for c in df.columns])
-
-    def pairs(names: list[str], values: list[Column]) -> DataFrame:
-        return df.select(*values).unpivot([], names, "column_name", "value").where(
+    missing = {c: f"{c} IS NULL OR isnan({c})" if c in numbers else f"{c} IS NULL" for c in df.columns}
+    figures = "'null_pct', round(count_if({test}) * 100D / count(1), 2)"
+    if error is not None:
+        figures += f", 'n_distinct', approx_count_distinct(IF({{test}}, NULL, {{c}}), {error})"
+    nulls = _rows(
+        df.agg(*[F.expr(f"named_struct('column_name', '{c}', {figures.format(c=c, test=test)})").alias(c)
+                 for c, test in missing.items()]), df.columns)
+    if error is not None:
+        return nulls.orderBy(F.desc("null_pct"), "column_name")
+
+    def pairs(names: list[str], value: str) -> DataFrame:
+        return df.selectExpr(*[f"{value.format(c=c)} AS {c}" for c in names]).unpivot([], names, "column_name", "value").where(
             F.col("value").isNotNull()).distinct().groupBy("column_name").agg(
             F.count(F.lit(1)).alias("n_distinct"))
 
     parts = []
     if others:
-        parts.append(pairs(others, [F.col(c).cast("string").alias(c) for c in others]))
+        parts.append(pairs(others, "CAST({c} AS STRING)"))
     if numbers:
-        parts.append(pairs(numbers, [
-            F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in numbers]))
+        parts.append(pairs(numbers, "nullif(CAST({c} AS DOUBLE), double('NaN'))"))
     distinct = reduce(DataFrame.union, parts)
     return nulls.join(distinct, "column_name", "left").withColumn(
         "n_distinct", F.coalesce("n_distinct", F.lit(0))).orderBy(F.desc("null_pct"), "column_name")
@@ -111,8 +113,8 @@ def quantile_table(df: DataFrame, columns: list[str] | None = None,
     """One row per quantile, one column per metric."""
     columns = columns or QUANTILE_METRICS
     stats = grouped_statistics(df, [], columns, QUANTILES, limits).frame
-    return _rows(stats, [F.struct(
-        F.lit(p).alias("quantile"), *[F.col(c).q[i].alias(c) for c in columns])
+    return _rows(stats, [
+        f"named_struct('quantile', {p}D, " + ", ".join(f"'{c}', {c}.q[{i}]" for c in columns) + ")"
         for i, p in enumerate(QUANTILES)])
 
 
@@ -123,34 +125,39 @@ def means_by(df: DataFrame, key: str, columns: list[str], digits: int) -> DataFr
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Correlation matrix in long form; both halves and the diagonal, from one aggregation."""
+    """Correlation matrix in long form, both halves and the diagonal, from one pass.
+
+    Each row is stacked into its pairs and folded into one running correlation per pair
+    before anything is shuffled.
+    """
     columns = columns or CORRELATED
     pairs = list(combinations_with_replacement(columns, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = [(a, b, f"{a}|{b}") for a, b in pairs] + [
-        (b, a, f"{a}|{b}") for a, b in pairs if a != b]
-    return _rows(one, [F.struct(
-        F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.col(f"`{name}`").alias("correlation"))
-        for a, b, name in cells])
+    stacked = ", ".join(f"'{a}', '{b}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)" for a, b in pairs)
+    half = df.selectExpr(f"stack({len(pairs)}, {stacked}) AS (metric_a, metric_b, x, y)").groupBy(
+        "metric_a", "metric_b").agg(F.corr("x", "y").alias("correlation"))
+    mirrored = ("CASE WHEN metric_a = metric_b THEN array(struct(metric_a, metric_b)) ELSE "
+                "array(struct(metric_a, metric_b), struct(metric_b AS metric_a, metric_a AS metric_b)) END")
+    return half.selectExpr("correlation", f"inline({mirrored})").select(
+        "metric_a", "metric_b", "correlation")
 
 
 def histogram(df: DataFrame, column: str = "avg_latency_ms", bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Counts in equal bins from the minimum to the maximum, empty bins included."""
-    values = without_nan(df.select(column), [column]).where(F.col(column).isNotNull())
-    low, high = F.min(column), F.max(column)
+    values = without_nan(df.select(column), [column])
     # A constant column gets a unit-wide range around its value.
-    pad = F.when(low == high, 0.5).otherwise(0.0)
-    ends = values.agg(F.struct((low - pad).alias("low"), (high + pad).alias("high")))
-    position = (F.col(column) - F.col("_e.low")) / (F.col("_e.high") - F.col("_e.low")) * bins
-    counts = values.withColumn("_e", ends.scalar()).groupBy(
-        F.least(F.floor(position), F.lit(bins - 1)).cast("int").alias("bin")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    width = (F.col("_e.high") - F.col("_e.low")) / bins
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(counts, "bin", "left").withColumn("_e", ends.scalar()).select(
-        "bin", (F.col("_e.low") + F.col("bin") * width).alias("lower_edge"),
-        (F.col("_e.low") + (F.col("bin") + 1) * width).alias("upper_edge"),
-        F.coalesce("n", F.lit(0)).alias("n")).orderBy("bin")
+    ends = values.selectExpr(f"min({column}) AS low", f"max({column}) AS high").selectExpr(
+        "struct(low - IF(low = high, 0.5D, 0D) AS low, high + IF(low = high, 0.5D, 0D) AS high) AS e")
+    counts = values.withColumn("e", ends.scalar()).selectExpr(
+        column, f"CAST(least(floor(({column} - e.low) / (e.high - e.low) * {bins}), {bins - 1}) AS INT) AS bin"
+    ).groupBy("bin").agg(F.count(column).alias("n"))
+    # At most one entry per bin, so the counts fit in one map.
+    by_bin = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))))
+    return ends.withColumn("counts", by_bin.scalar()).selectExpr(
+        "e", "counts", f"explode(sequence(0, {bins - 1})) AS bin"
+    ).selectExpr(
+        "bin", f"e.low + bin * ((e.high - e.low) / {bins}) AS lower_edge",
+        f"e.low + (bin + 1) * ((e.high - e.low) / {bins}) AS upper_edge",
+        "coalesce(counts[bin], 0L) AS n").orderBy("bin")
 
 
 def above_p99(df: DataFrame, column: str = "avg_latency_ms",

@@ -22,8 +22,10 @@ from spindlewatch.session import stage
 from spindlewatch.sources.feed import read_feed
 
 DIGITS = 6
-# Quartiles of six-digit values often end in 5 at the seventh digit; round well before it.
-DETAIL_DIGITS = 4
+# Quartiles and fences are exact decimals of at most nine digits here; cutting them at fewer
+# would round ties. Only what is summed differs in its last bits.
+QUARTILE_DIGITS = 9
+SUMMED = ["mean", "std", "z_score"]
 BASELINE_METRICS = ["avg_latency_ms", "total_iops"]
 # Five rows cannot contain a three-deviation outlier, so events use a longer baseline.
 EVENT_WINDOW = 60
@@ -98,7 +100,9 @@ class Feed:
 def _details(feed: Feed) -> DataFrame:
     parsed = feed.found.select(
         "device", "timestamp", "metric_name", F.from_json("details", EVIDENCE_SCHEMA).alias("d"))
-    return settled(parsed.select("device", "timestamp", "metric_name", "d.*"), digits=DETAIL_DIGITS)
+    flat = parsed.select("device", "timestamp", "metric_name", "d.*")
+    return settled(settled(flat, *SUMMED), *[c for c in EVIDENCE_SCHEMA.fieldNames() if c not in SUMMED],
+                   digits=QUARTILE_DIGITS)
 
 
 def _frequencies(feed: Feed) -> DataFrame:

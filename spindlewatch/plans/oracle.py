@@ -8,9 +8,11 @@ from spindlewatch.operators.marts import (
     HEALTH_COLUMNS, PROJECTION_COLUMNS, RUN_SUMMARY_DIGITS, TIMELINE_COLUMNS,
 )
 from spindlewatch.operators.facts import SERIES_COLUMNS
-from spindlewatch.plans.catalog import BASELINE_METRICS, DETAIL_DIGITS, DIGITS, EVENT_WINDOW
+from spindlewatch.plans.catalog import (
+    BASELINE_METRICS, DIGITS, EVENT_WINDOW, QUARTILE_DIGITS, SUMMED,
+)
 from spindlewatch.schema import (
-    COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, NO_ANOMALIES, RAW_SCHEMA,
+    COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, EVIDENCE_SCHEMA, NO_ANOMALIES, RAW_SCHEMA,
     WORKLOAD_PATTERNS,
 )
 
@@ -596,7 +598,7 @@ def oracle_sql() -> dict[str, str]:
     timeline = ", ".join(TIMELINE_COLUMNS)
     rounded_runs = ", ".join(f"round({c}, {d}) AS {c}" for c, d in RUN_SUMMARY_DIGITS.items())
     latest_c, latest_e = newest("curated"), newest("found")
-    evidence = ["mean", "std", "q1", "q3", "iqr", "lower_bound", "upper_bound", "z_score"]
+    evidence = EVIDENCE_SCHEMA.fieldNames()
     rolled = [f"{m}_rolling_{s}" for m in BASELINE_METRICS for s in ("mean", "std")]
     return {
         "raw_view": sql(f"SELECT {RAW_NAMES} FROM raw", "raw"),
@@ -618,9 +620,9 @@ def oracle_sql() -> dict[str, str]:
         "rolling_zscore_events": sql(settled(rolling_events(), ["anomaly_score"]), "rolled"),
         "iqr_events": sql(settled(iqr_events(COMBINED_METRICS), ["anomaly_score"]), "curated"),
         "combined_events": sql(settled(found_rows, ["anomaly_score"]), "found"),
-        "event_details": sql(settled(
-            f"SELECT device, timestamp, metric_name, {', '.join(evidence)} FROM found", evidence,
-            DETAIL_DIGITS), "found"),
+        "event_details": sql(settled(settled(
+            f"SELECT device, timestamp, metric_name, {', '.join(evidence)} FROM found", SUMMED),
+            [c for c in evidence if c not in SUMMED], QUARTILE_DIGITS), "found"),
         "severity_union": sql(settled("SELECT * FROM all_events", ["anomaly_score"]), "all_events"),
         "enriched_events": sql(settled(enriched(iqr_events(COMBINED_METRICS)), ["anomaly_score"]), "curated"),
         "device_overview": sql(settled("SELECT * FROM overview", OVERVIEW_DOUBLES), "overview"),

@@ -44,24 +44,25 @@ def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def _sample_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines that follow a header of their own file and have enough tokens.
 
-    Whether a header came before is decided per block, so a large log is shared by many
-    tasks: in blocks after the file's first header every line counts, and only within that
-    first block does the order of lines matter.
+    Whether a header came before is decided in two steps, so that a log of any size is
+    shared by many tasks: which blocks follow a block with a header (one row per block), and
+    within a block, which lines follow a header. Both use the key (file, block), so lines
+    are shuffled once and no task receives more than a block of one file.
     """
     lines = _lines(spark, paths)
-    first = lines.where("is_header").groupBy("file").agg(F.min("block").alias("first_block"))
-    seen = F.max("is_header").over(
-        Window.partitionBy("file", "block").orderBy("position")
-        .rowsBetween(Window.unboundedPreceding, 0))
-    tokens = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
+    blocks = lines.groupBy("file", "block").agg(F.max("is_header").alias("has_header"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = blocks.select(
+        "file", "block", F.coalesce(F.max("has_header").over(earlier), F.lit(False)).alias("opened"))
+    so_far = Window.partitionBy("file", "block").orderBy("position").rowsBetween(
+        Window.unboundedPreceding, 0)
     return (
-        lines.withColumn("seen", seen).join(first, "file")
-        .where(~F.col("is_header"))
-        .where((F.col("block") > F.col("first_block")) | F.col("seen"))
-        .select("file", "line", tokens.alias("tokens"))
-        .where(F.size("tokens") >= LOG_TOKENS)
-        .withColumn("numbers", F.transform(
-            F.slice("tokens", 2, LOG_TOKENS - 1), lambda t: t.try_cast("double")))
+        lines.withColumn("seen", F.max("is_header").over(so_far))
+        .join(opened, ["file", "block"])
+        .where("NOT is_header AND (opened OR seen)")
+        .selectExpr("file", "line", r"split(trim(regexp_replace(line, '\\s+', ' ')), ' ') AS tokens")
+        .where(f"size(tokens) >= {LOG_TOKENS}")
+        .selectExpr("*", f"transform(slice(tokens, 2, {LOG_TOKENS - 1}), t -> try_cast(t AS DOUBLE)) AS numbers")
     )
 
 

@@ -30,13 +30,13 @@ def read_run(spark: SparkSession, path: str, run: str | None = None,
 def write_runs(df: DataFrame, path: str, arrange: bool = False) -> None:
     """Store the runs in `df`, replacing any earlier rows of the same runs.
 
-    Writing a run twice changes nothing. `arrange` spreads rows over tasks by run and
-    timestamp, so a run of any size is written by many tasks, and sorts each file by device
-    and timestamp so that file statistics can skip data. It is meant for new samples; what
-    is derived from stored rows keeps their order and needs no shuffle.
+    Writing a run twice changes nothing. `arrange` is meant for new samples: rows are
+    gathered by run, a run larger than the advisory partition size being split over several
+    tasks, and each file is sorted by device and timestamp so that file statistics can skip
+    data. What is derived from stored rows keeps their order and needs no shuffle.
     """
     if arrange:
-        df = df.repartitionByRange(RUN, "timestamp").sortWithinPartitions(RUN, "device", "timestamp")
+        df = df.hint("rebalance", RUN).sortWithinPartitions(RUN, "device", "timestamp")
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(RUN).parquet(path))
 

@@ -11,6 +11,7 @@ def spark(tmp_path_factory):
         "spindlewatch-tests", "local[4]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
            "spark.ui.showConsoleProgress": "false",
+           "spark.python.sql.dataFrameDebugging.enabled": "false",
            "spark.sql.execution.arrow.pyspark.enabled": "true",
            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))})
     session.sparkContext.setLogLevel("ERROR")

@@ -108,6 +108,8 @@ def test_nulls_and_distinct(spark):
         "s string, x double, n int")
     rows = {r.column_name: (r.null_pct, r.n_distinct) for r in profile.null_and_distinct(df).collect()}
     assert rows == {"s": (20.0, 2), "x": (40.0, 2), "n": (0.0, 2)}
+    near = {r.column_name: (r.null_pct, r.n_distinct) for r in profile.null_and_distinct(df, 0.02).collect()}
+    assert near == rows
 
 
 def test_histogram(spark):
