@@ -9,7 +9,7 @@ from spindlewatch.operators.marts import (
 )
 from spindlewatch.operators.facts import SERIES_COLUMNS
 from spindlewatch.plans.catalog import (
-    BASELINE_METRICS, DIGITS, EVENT_WINDOW, QUARTILE_DIGITS, SUMMED,
+    BASELINE_METRICS, DIGITS, EVENT_WINDOW, QUARTILE_DIGITS, SUMMED, settled_expression,
 )
 from spindlewatch.schema import (
     COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, EVIDENCE_SCHEMA, NO_ANOMALIES, RAW_SCHEMA,
@@ -380,7 +380,7 @@ def sql(body: str, *reads: str) -> str:
 
 
 def settled(body: str, columns: list[str], digits: int = DIGITS) -> str:
-    replaced = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
+    replaced = ", ".join(f"{settled_expression(c, digits)} AS {c}" for c in columns)
     return f"SELECT * REPLACE ({replaced}) FROM ({body})"
 
 

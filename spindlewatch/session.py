@@ -18,9 +18,9 @@ class Limits:
     window_rows        rows one window partition may hold before it is cut into time chunks
     """
 
-    percentile_rows: int = 4_000_000
+    percentile_rows: int = 1_000_000
     broadcast_groups: int = 50_000
-    window_rows: int = 1_000_000
+    window_rows: int = 250_000
 
 
 DEFAULT_LIMITS = Limits()
