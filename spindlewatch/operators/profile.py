@@ -235,6 +235,13 @@ def event_series(events: DataFrame, unit: str = "hour") -> DataFrame:
     ).orderBy("period")
 
 
+def critical_events(events: DataFrame) -> DataFrame:
+    """Critical events in time order."""
+    return events.where(F.col("severity") == "critical").select(
+        "device", "timestamp", "metric_name", "severity", "workload_pattern", "root_cause_hint"
+    ).orderBy("timestamp", "device", "metric_name")
+
+
 def latest_events(events: DataFrame, n: int = 50) -> DataFrame:
     """The newest events."""
     return events.orderBy(F.desc("timestamp"), "device", "metric_name").limit(n)

@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from spindlewatch.functions.features import derive_features
+from spindlewatch.functions.features import derive_features, parsed_timestamp
 from spindlewatch.functions.workload import add_adaptive_patterns, add_workload_patterns
 from spindlewatch.operators import facts, marts, profile, quality, questions, summary
 from spindlewatch.operators.detect import (
@@ -17,8 +17,13 @@ from spindlewatch.operators.detect import (
 )
 from spindlewatch.operators.forest import detect_isolation_forest
 from spindlewatch.operators.runs import latest_runs
-from spindlewatch.schema import COMBINED_METRICS, CURATED_SCHEMA, EVIDENCE_SCHEMA, SEVERITIES
-from spindlewatch.session import stage
+from spindlewatch.plans.pipeline import Warehouse, curate, detect, load, publish, validate
+from spindlewatch.schema import (
+    COMBINED_METRICS, CURATED_SCHEMA, EVIDENCE_SCHEMA, LEGACY_NAMES, LOG_METRICS, RAW_SCHEMA,
+    SEVERITIES,
+)
+from spindlewatch.session import scratch_path, stage
+from spindlewatch.sources import logs, tables
 from spindlewatch.sources.feed import read_feed
 
 DIGITS = 6
@@ -115,6 +120,82 @@ def _details(feed: Feed) -> DataFrame:
                    digits=QUARTILE_DIGITS)
 
 
+LOG_TIME = "2025-01-01 00:00:00"
+LOG_HEADER = "Device r/s w/s rMB/s wMB/s r_await w_await aqu-sz %util"
+CSV_DROPPED = ["svctm", "iowait_pct"]
+
+
+def _iostat_logs(feed: Feed) -> DataFrame:
+    """Samples written as iostat logs and read back.
+
+    Idle samples are written as lines that are too short, so the reader drops them. Every
+    file starts with a line that precedes its header, and then the header.
+    """
+    folder = scratch_path(feed.spark, "iostat")
+    idle = "r_s = 0 AND w_s = 0"
+    fields = ", ".join(["device", *[f"CAST({m} AS STRING)" for m in LOG_METRICS]])
+    files = feed.spark.sparkContext.defaultParallelism
+    samples = feed.raw.selectExpr(
+        f"CAST(pmod(xxhash64(device, timestamp), {files}) AS INT) AS file", "2 AS place",
+        f"IF({idle}, concat_ws('  ', device, r_s, w_s), concat_ws('   ', {fields})) AS line")
+    openings = feed.spark.range(files).selectExpr(
+        "CAST(id AS INT) AS file",
+        f"inline(array(struct(0 AS place, 'early 1 2 3 4 5 6 7 8' AS line), "
+        f"struct(1 AS place, '{LOG_HEADER}' AS line)))")
+    lines = samples.unionByName(openings)
+    # A task writes the numbers that hash to it as one file: early lines, headers, samples.
+    (lines.repartition(files, "file").sortWithinPartitions("place")
+     .select("line").write.text(folder))
+    return logs.read_iostat(feed.spark, folder, LOG_TIME).drop("source_file")
+
+
+def _csv_files(feed: Feed) -> DataFrame:
+    """Samples written as CSV under old column names, some columns left out, and read back."""
+    folder = scratch_path(feed.spark, "csv")
+    old = {new: legacy for legacy, new in LEGACY_NAMES.items()}
+    feed.raw.drop("source_file", "ingest_run_id", *CSV_DROPPED).withColumnsRenamed(old).withColumn(
+        "timestamp", F.col("timestamp").cast("string")).write.option("header", True).csv(folder)
+    rows = logs.raw_rows(logs.with_lineage(logs.read_csv(feed.spark, folder), "loaded", "samples.csv"))
+    return rows.withColumn("timestamp", parsed_timestamp(rows))
+
+
+def _stored_runs(feed: Feed) -> DataFrame:
+    """All runs stored, one of them twice; rows per run and what one run's folder holds."""
+    path = scratch_path(feed.spark, "runs")
+    tables.write_runs(feed.raw, path, arrange=True)
+    tables.write_runs(tables.read_run(feed.spark, path, "run-01", RAW_SCHEMA).transform(
+        lambda df: stage(df, "run")), path)
+    return tables.read_table(feed.spark, path, RAW_SCHEMA).groupBy("ingest_run_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+def _replaced_table(feed: Feed) -> DataFrame:
+    """A table replaced by one with more columns keeps its own and gains the new ones."""
+    path = scratch_path(feed.spark, "overview")
+    tables.replace_table(marts.device_overview_basic(feed.curated, feed.events), path)
+    tables.replace_table(feed.overview.drop("avg_queue_depth"), path)
+    return settled(tables.read_table(feed.spark, path))
+
+
+def _exported_csv(feed: Feed) -> DataFrame:
+    """A dashboard table exported, and its CSV copy under the stable name read back."""
+    folder = scratch_path(feed.spark, "exports")
+    causes = stage(marts.root_cause_summary(feed.found, rounded=True), "causes")
+    tables.export_dataset(causes, folder, "root_cause_summary")
+    return feed.spark.read.schema(causes.schema).option("header", True).csv(
+        f"{folder}/root_cause_summary.csv")
+
+
+def _published_row_counts(feed: Feed) -> DataFrame:
+    """Every step from loading to validation, and the rows of what was published."""
+    house = Warehouse(feed.spark, scratch_path(feed.spark, "warehouse"))
+    run = load(house, feed.raw, "batch-1")
+    curate(house, run)
+    detect(house, run)
+    publish(house, house.path("exports"))
+    return validate(house)
+
+
 def _frequencies(feed: Feed) -> DataFrame:
     return profile.frequency_table(feed.found, [
         "detector_type", "severity", "metric_name", "device", "root_cause_hint", "workload_pattern"])
@@ -154,6 +235,13 @@ _FEED_QUERIES: dict[str, Callable[[Feed], DataFrame]] = {
         "device", "timestamp", "workload_pattern"),
     "workload_adaptive": lambda f: add_adaptive_patterns(derive_features(f.raw, "clipped")).select(
         "device", "timestamp", "workload_pattern"),
+    # files and stored tables
+    "source_iostat_logs": _iostat_logs,
+    "source_csv": _csv_files,
+    "stored_runs": _stored_runs,
+    "replaced_table": _replaced_table,
+    "exported_csv": _exported_csv,
+    "published_row_counts": _published_row_counts,
     # detectors
     "rolling_baseline": lambda f: settled(add_rolling_baselines(f.curated, BASELINE_METRICS).select(
         "device", "timestamp", *[f"{m}_rolling_{s}" for m in BASELINE_METRICS for s in ("mean", "std")])),
@@ -238,6 +326,7 @@ _FEED_QUERIES: dict[str, Callable[[Feed], DataFrame]] = {
     "profile_coverage": lambda f: profile.device_coverage(f.datasets, "device_overview"),
     "profile_event_context": lambda f: settled(
         profile.events_in_context(f.found, f.curated), "anomaly_score").drop("details"),
+    "profile_critical_events": lambda f: profile.critical_events(f.found),
     "profile_event_series": lambda f: profile.event_series(f.found),
     "profile_latest_events": lambda f: settled(profile.latest_events(f.found), "anomaly_score").drop("details"),
     # report

@@ -9,10 +9,11 @@ from spindlewatch.operators.marts import (
 )
 from spindlewatch.operators.facts import SERIES_COLUMNS
 from spindlewatch.plans.catalog import (
-    BASELINE_METRICS, DIGITS, EVENT_WINDOW, QUARTILE_DIGITS, SUMMED, settled_expression,
+    BASELINE_METRICS, CSV_DROPPED, DIGITS, EVENT_WINDOW, LOG_TIME, QUARTILE_DIGITS, SUMMED,
+    settled_expression,
 )
 from spindlewatch.schema import (
-    COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, EVIDENCE_SCHEMA, NO_ANOMALIES, RAW_SCHEMA,
+    COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, EVIDENCE_SCHEMA, LOG_METRICS, NO_ANOMALIES, RAW_SCHEMA,
     WORKLOAD_PATTERNS,
 )
 
@@ -593,6 +594,21 @@ def _recommendations() -> str:
         WHERE NOT EXISTS (SELECT 1 FROM hits))""", "kpis", "top_causes")
 
 
+def _published() -> str:
+    """Row counts when all samples are loaded as one run."""
+    counts = {
+        "device_overview": "(SELECT count(*) FROM overview)",
+        "anomaly_timeline": "(SELECT count(*) FROM found)",
+        "root_cause_summary": "(SELECT count(*) FROM (SELECT DISTINCT root_cause_hint, workload_pattern FROM found))",
+        "device_run_summary": "(SELECT count(*) FROM overview)",
+        "run_summary": "1::BIGINT",
+        "device_health": "(SELECT count(*) FROM health)",
+        "latest_run": "1::BIGINT",
+    }
+    return sql(" UNION ALL ".join(
+        f"SELECT '{name}' AS dataset, {n} AS n" for name, n in counts.items()), "overview", "found", "health")
+
+
 def oracle_sql() -> dict[str, str]:
     found_rows = f"SELECT {EVENT_NAMES} FROM found"
     timeline = ", ".join(TIMELINE_COLUMNS)
@@ -614,6 +630,20 @@ def oracle_sql() -> dict[str, str]:
                 WHEN avg_latency_ms > l90 THEN 'latency_sensitive' ELSE 'balanced' END AS workload_pattern
             FROM clipped, (SELECT quantile_cont(r_s, 0.9) AS r90, quantile_cont(w_s, 0.9) AS w90,
                 quantile_cont(avg_latency_ms, 0.9) AS l90 FROM clipped)""", "clipped"),
+        "source_iostat_logs": sql(f"""
+            SELECT device, TIMESTAMP '{LOG_TIME}' AS timestamp, {', '.join(LOG_METRICS)} FROM raw
+            WHERE NOT (r_s = 0 AND w_s = 0)""", "raw"),
+        "source_csv": sql(f"""
+            SELECT {RAW_NAMES} FROM (SELECT * REPLACE ({', '.join(f'0.0::DOUBLE AS {c}' for c in CSV_DROPPED)},
+                'samples.csv' AS source_file, 'loaded' AS ingest_run_id) FROM raw)""", "raw"),
+        "stored_runs": sql("""SELECT ingest_run_id, count(*) AS n, min(timestamp) AS first,
+            max(timestamp) AS last FROM raw GROUP BY ingest_run_id""", "raw"),
+        "replaced_table": sql(settled(
+            "SELECT * REPLACE (CAST(NULL AS DOUBLE) AS avg_queue_depth) FROM overview", OVERVIEW_DOUBLES),
+            "overview"),
+        "exported_csv": sql(
+            "SELECT * REPLACE (round(avg_anomaly_score, 3) AS avg_anomaly_score) FROM causes", "causes"),
+        "published_row_counts": _published(),
         "rolling_baseline": sql(settled(
             f"SELECT device, timestamp, {', '.join(rolled)} FROM ({rolling(BASELINE_METRICS, 5)})", rolled),
             "curated"),
@@ -779,6 +809,9 @@ def oracle_sql() -> dict[str, str]:
         "profile_pivot": _pivot(),
         "profile_coverage": _coverage(),
         "profile_event_context": _event_context(),
+        "profile_critical_events": sql("""
+            SELECT device, timestamp, metric_name, severity, workload_pattern, root_cause_hint
+            FROM found WHERE severity = 'critical'""", "found"),
         "profile_event_series": sql("""
             SELECT CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS period, count(*) AS events,
                 count(*) FILTER (severity = 'critical') AS critical_events, count(DISTINCT device) AS devices

@@ -58,13 +58,18 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name for one intermediate table."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors, is computed once however many
     consumers follow, and gives the optimizer the real size for its broadcast decisions.
     """
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from spindlewatch.operators.runs import only_run
 
 RUN = "ingest_run_id"
+CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"  # the default drops microseconds
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -72,7 +73,8 @@ def export_dataset(df: DataFrame, folder: str, name: str, run: str | None = None
     written = spark.read.schema(df.schema).parquet(first)
     written.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
     for stem in (named, name):
-        written.write.mode("overwrite").option("header", True).csv(f"{folder}/{stem}.csv")
+        (written.write.mode("overwrite").option("header", True)
+         .option("timestampFormat", CSV_TIMESTAMP).csv(f"{folder}/{stem}.csv"))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str],
