@@ -171,20 +171,32 @@ def detect_combined(df: DataFrame, metrics: list[str] | None = None,
     return tested.selectExpr(*[f"{made.get(name, name)} AS {name}" for name in EVENT_SCHEMA.fieldNames()])
 
 
-def enrich_events(events: DataFrame, curated: DataFrame) -> DataFrame:
-    """Add the sample's context to bare detections and explain them.
-
-    Matched on device and timestamp, and on the run when both sides carry one, so that
-    overlapping runs do not multiply events.
+def with_sample_context(events: DataFrame, curated: DataFrame, columns: list[str],
+                        rename: dict[str, str] | None = None) -> DataFrame:
+    """Events with `columns` of the sample they were found in, null when it is unknown.
+
+    Matched on device and timestamp, and on the run when both sides carry one. Each sample
+    gives one context, the smallest if it is stored repeatedly, so overlapping runs and
+    copies never multiply events. The copies are folded map-side, and the join needs no
+    shuffle of samples beyond the one that folds them.
     """
-    keys = ["device", "timestamp"]
+    keys = {"_device": "device", "_timestamp": "timestamp"}
     if "ingest_run_id" in events.columns and "ingest_run_id" in curated.columns:
-        keys.append("ingest_run_id")
-    context = curated.selectExpr(*[f"{k} AS _{k}" for k in keys], "workload_pattern", *EVENT_CONTEXT)
+        keys["_run"] = "coalesce(ingest_run_id, '')"
+    context = curated.selectExpr(
+        *[f"{expression} AS {name}" for name, expression in keys.items()],
+        f"struct({', '.join(columns)}) AS _context"
+    ).groupBy(*keys).agg(F.min("_context").alias("_context"))
+    match = " AND ".join(f"{expression} = {name}" for name, expression in keys.items())
+    rename = rename or {}
+    return events.join(context, F.expr(match), "left").select(
+        *events.columns, *[F.col(f"_context.{c}").alias(rename.get(c, c)) for c in columns])
+
+
+def enrich_events(events: DataFrame, curated: DataFrame) -> DataFrame:
+    """Add the sample's context to bare detections and explain them."""
     bare = events.drop("workload_pattern", "root_cause_hint", *EVENT_CONTEXT)
-    joined = bare.join(
-        context, F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys)), "left"
-    ).drop(*[f"_{k}" for k in keys])
+    joined = with_sample_context(bare, curated, ["workload_pattern", *EVENT_CONTEXT])
     return joined.withColumn("root_cause_hint", F.expr(root_cause_hint(joined.columns)))
 
 

@@ -8,6 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from spindlewatch.functions.quantiles import grouped_statistics, without_nan
+from spindlewatch.operators.detect import with_sample_context
 from spindlewatch.operators.runs import count_where
 from spindlewatch.session import DEFAULT_LIMITS, Limits
 
@@ -220,9 +221,8 @@ def events_in_context(events: DataFrame, curated: DataFrame) -> DataFrame:
 
     Columns both sides have keep the event's value; the sample's gets the suffix `_sample`.
     """
-    context = curated.select("device", "timestamp", *[
-        F.col(c).alias(f"{c}_sample" if c in events.columns else c) for c in CONTEXT_COLUMNS])
-    return events.join(context, ["device", "timestamp"], "left").orderBy(
+    shared = {c: f"{c}_sample" for c in CONTEXT_COLUMNS if c in events.columns}
+    return with_sample_context(events, curated, CONTEXT_COLUMNS, shared).orderBy(
         F.desc("anomaly_score"), "device", "timestamp", "metric_name")
 
 

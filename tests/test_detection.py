@@ -240,6 +240,18 @@ def test_enrichment_does_not_multiply_overlapping_runs(curated):
     assert enrich_events(bare, twice).count() == bare.count()
 
 
+def test_enrichment_does_not_multiply_copies(curated):
+    bare = detect_iqr(curated, ["avg_latency_ms"])
+    copies = curated.unionByName(curated).unionByName(curated)
+    same(enrich_events(bare, copies), enrich_events(bare, curated), "device", "timestamp")
+
+
+def test_enrichment_matches_samples_without_a_run(curated):
+    bare = detect_iqr(curated, ["avg_latency_ms"]).withColumn("ingest_run_id", F.lit(None).cast("string"))
+    unnamed = curated.withColumn("ingest_run_id", F.lit(None).cast("string"))
+    assert enrich_events(bare, unnamed).where("workload_pattern IS NULL").isEmpty()
+
+
 def test_enrichment_of_an_unknown_sample(spark, curated):
     bare = detect_iqr(curated, ["avg_latency_ms"]).limit(1).withColumn("device", F.lit("other"))
     row = enrich_events(bare, curated).first()
