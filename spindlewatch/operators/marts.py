@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spindlewatch.functions.quantiles import grouped_statistics
+from spindlewatch.functions.rounding import reported
 from spindlewatch.operators.runs import count_where
 from spindlewatch.schema import NO_ANOMALIES, UNKNOWN_WORKLOAD
 from spindlewatch.session import DEFAULT_LIMITS, Limits
@@ -101,7 +102,7 @@ def root_cause_summary(events: DataFrame, rounded: bool = False) -> DataFrame:
         count_where(_severity_is("critical")).alias("critical_count"),
         count_where(_severity_is("high")).alias("high_count"),
         F.count_distinct("device").alias("affected_devices"),
-        (F.round(score, 3) if rounded else score).alias("avg_anomaly_score"),
+        (reported(score, 3) if rounded else score).alias("avg_anomaly_score"),
     ).orderBy(F.desc("critical_count"), F.desc("anomaly_count"),
               "ingest_run_id", "root_cause_hint", "workload_pattern")
 
@@ -129,7 +130,7 @@ def device_run_summary(curated: DataFrame, events: DataFrame, rounded: bool = Fa
         dominant_workload().alias("dominant_workload_pattern"),
     )
     if rounded:
-        perf = perf.withColumns({c: F.round(c, d) for c, d in RUN_SUMMARY_DIGITS.items()})
+        perf = perf.withColumns({c: reported(c, d) for c, d in RUN_SUMMARY_DIGITS.items()})
     # Counted per cause first: the second step is then a handful of rows per device and run.
     per_cause = events.groupBy(*keys, "root_cause_hint").agg(
         F.count(F.lit(1)).alias("n"),

@@ -8,6 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from spindlewatch.functions.quantiles import grouped_statistics, without_nan
+from spindlewatch.functions.rounding import reported
 from spindlewatch.operators.detect import with_sample_context
 from spindlewatch.operators.runs import count_where
 from spindlewatch.session import DEFAULT_LIMITS, Limits
@@ -85,7 +86,7 @@ def null_and_distinct(df: DataFrame, error: float | None = None) -> DataFrame:
     numbers = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     others = [f.name for f in df.schema if f.name not in numbers]
     missing = {c: f"{c} IS NULL OR isnan({c})" if c in numbers else f"{c} IS NULL" for c in df.columns}
-    figures = "'null_pct', round(count_if({test}) * 100D / count(1), 2)"
+    figures = "'null_pct', round(round(count_if({test}) * 100D / count(1), 9), 2)"
     if error is not None:
         figures += f", 'n_distinct', approx_count_distinct(IF({{test}}, NULL, {{c}}), {error})"
     nulls = _rows(
@@ -121,7 +122,7 @@ def quantile_table(df: DataFrame, columns: list[str] | None = None,
 
 def means_by(df: DataFrame, key: str, columns: list[str], digits: int) -> DataFrame:
     """Rounded metric means per value of `key`, slowest first."""
-    return df.groupBy(key).agg(*[F.round(F.avg(c), digits).alias(c) for c in columns]).orderBy(
+    return df.groupBy(key).agg(*[reported(F.avg(c), digits).alias(c) for c in columns]).orderBy(
         F.desc("avg_latency_ms"), key)
 
 

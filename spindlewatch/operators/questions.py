@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spindlewatch.functions.quantiles import grouped_statistics
+from spindlewatch.functions.rounding import reported
 from spindlewatch.functions.rules import severity_rank
 from spindlewatch.operators.runs import count_where, only_latest
 from spindlewatch.session import DEFAULT_LIMITS, Limits
@@ -66,7 +67,7 @@ def best_devices(runs: DataFrame, n: int = 5) -> DataFrame:
     """Devices with the fewest events over all runs."""
     return runs.groupBy("device").agg(
         F.sum("total_anomalies").alias("total_anomalies"),
-        F.round(F.avg("avg_latency_ms"), 2).alias("avg_latency"),
+        reported(F.avg("avg_latency_ms"), 2).alias("avg_latency"),
     ).orderBy("total_anomalies", "device").limit(n)
 
 
@@ -130,7 +131,7 @@ def critical_share(events: DataFrame, patterns: tuple[str, ...] = ("write_heavy"
     return events.where(F.col("workload_pattern").isin(*patterns)).groupBy("workload_pattern").agg(
         total.alias("total"),
         critical.alias("critical_count"),
-        F.round(critical * 100.0 / total, 1).alias("critical_pct"),
+        reported(critical * 100.0 / total, 1).alias("critical_pct"),
     ).orderBy(F.desc("critical_pct"), "workload_pattern")
 
 
@@ -138,7 +139,7 @@ def score_p95(events: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """95th percentile of the event score per device."""
     stats = grouped_statistics(events, ["device"], ["anomaly_score"], [0.95], limits)
     return stats.frame.select(
-        "device", F.round(F.col("anomaly_score").q[0], 3).alias("p95_score")
+        "device", reported(F.col("anomaly_score").q[0], 3).alias("p95_score")
     ).orderBy(F.desc("p95_score"), "device")
 
 
@@ -152,7 +153,7 @@ def last_two_runs(runs: DataFrame) -> DataFrame:
 
 def worst_sample(curated: DataFrame) -> DataFrame:
     """The sample with the worst mix of latency, queue and utilization."""
-    stress = F.round(
+    stress = reported(
         F.col("avg_latency_ms") * 0.4 + F.col("aqu_sz") * 30.0 + F.col("util_pct") * 0.3, 2)
     return curated.select(
         "device", "timestamp", "avg_latency_ms", "aqu_sz", "util_pct", stress.alias("composite_stress")
@@ -188,7 +189,7 @@ def saturation_slope(curated: DataFrame) -> DataFrame:
     numbered = per_run.withColumn("run_num", F.row_number().over(
         Window.partitionBy("device").orderBy("run_time", "ingest_run_id")))
     return numbered.groupBy("device").agg(
-        F.round(F.regr_slope("avg_saturation", "run_num"), 4).alias("saturation_slope")
+        reported(F.regr_slope("avg_saturation", "run_num"), 4).alias("saturation_slope")
     ).orderBy(F.desc("saturation_slope"), "device")
 
 
@@ -213,7 +214,7 @@ def top_causes_per_run(causes: DataFrame, n: int = 3) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("ingest_run_id").orderBy(*_cause_order()))
     return causes.withColumn("rank_in_run", rank).where(F.col("rank_in_run") <= n).select(
         "ingest_run_id", "root_cause_hint", "workload_pattern", "anomaly_count", "critical_count",
-        "affected_devices", F.round("avg_anomaly_score", 3).alias("avg_anomaly_score"), "rank_in_run"
+        "affected_devices", reported("avg_anomaly_score", 3).alias("avg_anomaly_score"), "rank_in_run"
     ).orderBy("ingest_run_id", "rank_in_run")
 
 
@@ -228,11 +229,11 @@ def performance_with_cause(curated: DataFrame, events: DataFrame, devices: list[
         curated, events = curated.where(wanted), events.where(wanted)
     perf = curated.groupBy(*keys).agg(
         F.min("timestamp").alias("run_time"),
-        F.round(F.avg("avg_latency_ms"), 2).alias("avg_latency_ms"),
-        F.round(F.avg("util_pct"), 2).alias("avg_util_pct"),
-        F.round(F.avg("total_iops"), 0).alias("avg_iops"),
-        F.round(F.avg("total_throughput_mb_s"), 2).alias("avg_throughput_mb_s"),
-        F.round(F.avg("saturation_score"), 3).alias("avg_saturation"),
+        reported(F.avg("avg_latency_ms"), 2).alias("avg_latency_ms"),
+        reported(F.avg("util_pct"), 2).alias("avg_util_pct"),
+        reported(F.avg("total_iops"), 0).alias("avg_iops"),
+        reported(F.avg("total_throughput_mb_s"), 2).alias("avg_throughput_mb_s"),
+        reported(F.avg("saturation_score"), 3).alias("avg_saturation"),
     )
     per_cause = events.groupBy(*keys, "root_cause_hint", "workload_pattern").agg(
         F.count(F.lit(1)).alias("n"), count_where(_is_critical()).alias("critical"))
@@ -263,16 +264,16 @@ def events_per_run(events: DataFrame) -> DataFrame:
 def read_write_ratios(curated: DataFrame) -> DataFrame:
     """Mean read and write ratio per device in the latest run."""
     return _of_latest(curated, curated).groupBy("device").agg(
-        F.round(F.avg("read_ratio"), 3).alias("avg_read_ratio"),
-        F.round(F.avg("write_ratio"), 3).alias("avg_write_ratio"),
+        reported(F.avg("read_ratio"), 3).alias("avg_read_ratio"),
+        reported(F.avg("write_ratio"), 3).alias("avg_write_ratio"),
     ).orderBy(F.desc("avg_read_ratio"), "device")
 
 
 def saturation_by_device(curated: DataFrame) -> DataFrame:
     """Mean and maximum saturation per device in the latest run."""
     return _of_latest(curated, curated).groupBy("device").agg(
-        F.round(F.avg("saturation_score"), 3).alias("avg_saturation"),
-        F.round(F.max("saturation_score"), 3).alias("max_saturation"),
+        reported(F.avg("saturation_score"), 3).alias("avg_saturation"),
+        reported(F.max("saturation_score"), 3).alias("max_saturation"),
     ).orderBy(F.desc("avg_saturation"), "device")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spindlewatch.functions.rounding import reported
 from spindlewatch.operators.runs import count_where
 
 # --- Fixed values: report sizes and sentences ---
@@ -31,8 +32,8 @@ def key_figures(overview: DataFrame, timeline: DataFrame) -> DataFrame:
     """One row: devices, events, critical and high events, mean latency and utilization."""
     devices = overview.agg(F.struct(
         F.count_distinct("device").alias("total_devices"),
-        F.round(F.coalesce(F.avg("avg_latency_ms"), F.lit(0.0)), 2).alias("avg_latency_ms"),
-        F.round(F.coalesce(F.avg("avg_util_pct"), F.lit(0.0)), 2).alias("avg_util_pct")))
+        reported(F.coalesce(F.avg("avg_latency_ms"), F.lit(0.0)), 2).alias("avg_latency_ms"),
+        reported(F.coalesce(F.avg("avg_util_pct"), F.lit(0.0)), 2).alias("avg_util_pct")))
     return timeline.agg(
         F.count(F.lit(1)).alias("total_anomalies"),
         count_where(F.col("severity") == "critical").alias("critical_anomalies"),

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spindlewatch.functions.features import derive_features, parsed_timestamp
+from spindlewatch.functions.rounding import reported
 from spindlewatch.functions.workload import add_adaptive_patterns, add_workload_patterns
 from spindlewatch.operators import facts, marts, profile, quality, questions, summary
 from spindlewatch.operators.detect import (
@@ -27,10 +28,6 @@ from spindlewatch.sources import logs, tables
 from spindlewatch.sources.feed import read_feed
 
 DIGITS = 6
-# Quartiles and fences are exact decimals of at most nine digits here; cutting them at fewer
-# would round ties. Only what is summed differs in its last bits.
-QUARTILE_DIGITS = 9
-SUMMED = ["mean", "std", "z_score"]
 BASELINE_METRICS = ["avg_latency_ms", "total_iops"]
 # Five rows cannot contain a three-deviation outlier, so events use a longer baseline.
 EVENT_WINDOW = 60
@@ -38,20 +35,13 @@ FOREST_METRICS = ["avg_latency_ms", "saturation_score", "total_iops"]
 AS_OF = datetime(2024, 1, 31)
 
 
-def settled_expression(column: str, digits: int = DIGITS) -> str:
-    """Rounding that hides the order in which doubles were summed.
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """Round the named doubles, or all, so that summation order does not show.
 
-    Means of few decimal values often fall exactly between two roundings, where the last bit
-    decides; the small shift, alike on both engines, takes them off that edge. Adding 0
-    turns -0.0 into 0.0.
+    Adding 0 turns -0.0 into 0.0.
     """
-    return f"round({column} + 1.3e-{digits + 2}, {digits}) + 0e0"
-
-
-def settled(df: DataFrame, *names: str, digits: int = DIGITS) -> DataFrame:
-    """Round the named doubles, or all, for comparison."""
     chosen = names or [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({n: F.expr(settled_expression(n, digits)) for n in chosen})
+    return df.withColumns({n: reported(n, DIGITS) + 0.0 for n in chosen})
 
 
 class Feed:
@@ -115,9 +105,7 @@ class Feed:
 def _details(feed: Feed) -> DataFrame:
     parsed = feed.found.select(
         "device", "timestamp", "metric_name", F.from_json("details", EVIDENCE_SCHEMA).alias("d"))
-    flat = parsed.select("device", "timestamp", "metric_name", "d.*")
-    return settled(settled(flat, *SUMMED), *[c for c in EVIDENCE_SCHEMA.fieldNames() if c not in SUMMED],
-                   digits=QUARTILE_DIGITS)
+    return settled(parsed.select("device", "timestamp", "metric_name", "d.*"))
 
 
 LOG_TIME = "2025-01-01 00:00:00"

@@ -9,8 +9,7 @@ from spindlewatch.operators.marts import (
 )
 from spindlewatch.operators.facts import SERIES_COLUMNS
 from spindlewatch.plans.catalog import (
-    BASELINE_METRICS, CSV_DROPPED, DIGITS, EVENT_WINDOW, LOG_TIME, QUARTILE_DIGITS, SUMMED,
-    settled_expression,
+    BASELINE_METRICS, CSV_DROPPED, DIGITS, EVENT_WINDOW, LOG_TIME,
 )
 from spindlewatch.schema import (
     COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, EVIDENCE_SCHEMA, LOG_METRICS, NO_ANOMALIES, RAW_SCHEMA,
@@ -352,8 +351,8 @@ PARTS: dict[str, tuple[str, list[str]]] = {
     "run_counts": ("""SELECT ingest_run_id, min(timestamp) AS run_time, count(*) AS anomaly_count
         FROM found GROUP BY ingest_run_id""", ["found"]),
     "kpis": ("""SELECT d.total_devices, e.*, d.avg_latency_ms, d.avg_util_pct FROM (
-            SELECT count(DISTINCT device) AS total_devices, round(avg(avg_latency_ms), 2) AS avg_latency_ms,
-                round(avg(avg_util_pct), 2) AS avg_util_pct FROM overview) d,
+            SELECT count(DISTINCT device) AS total_devices, CAST(round(CAST(avg(avg_latency_ms) AS DECIMAL(38, 9)), 2) AS DOUBLE) AS avg_latency_ms,
+                CAST(round(CAST(avg(avg_util_pct) AS DECIMAL(38, 9)), 2) AS DOUBLE) AS avg_util_pct FROM overview) d,
             (SELECT count(*) AS total_anomalies,
                 count(*) FILTER (severity = 'critical') AS critical_anomalies,
                 count(*) FILTER (severity = 'high') AS high_anomalies FROM found) e
@@ -380,8 +379,8 @@ def sql(body: str, *reads: str) -> str:
     return f"WITH {parts}\n{body}"
 
 
-def settled(body: str, columns: list[str], digits: int = DIGITS) -> str:
-    replaced = ", ".join(f"{settled_expression(c, digits)} AS {c}" for c in columns)
+def settled(body: str, columns: list[str]) -> str:
+    replaced = ", ".join(f"CAST(round(CAST({c} AS DECIMAL(38, 9)), {DIGITS}) AS DOUBLE) AS {c}" for c in columns)
     return f"SELECT * REPLACE ({replaced}) FROM ({body})"
 
 
@@ -392,7 +391,7 @@ CAUSE_ORDER = "critical_count DESC, anomaly_count DESC, root_cause_hint, workloa
 
 
 def _means(key: str, columns: list[str], digits: int) -> str:
-    means = ", ".join(f"round(avg({c}), {digits}) AS {c}" for c in columns)
+    means = ", ".join(f"CAST(round(CAST(avg({c}) AS DECIMAL(38, 9)), {digits}) AS DOUBLE) AS {c}" for c in columns)
     return sql(f"SELECT {key}, {means} FROM curated GROUP BY {key}", "curated")
 
 
@@ -407,7 +406,7 @@ def _describe() -> str:
 def _nulls() -> str:
     return sql(" UNION ALL ".join(
         f"""SELECT '{c}' AS column_name,
-            round(100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct,
+            CAST(round(CAST(100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*) AS DECIMAL(38, 9)), 2) AS DOUBLE) AS null_pct,
             count(DISTINCT {c}) AS n_distinct FROM curated""" for c in CURATED_SCHEMA.fieldNames()), "curated")
 
 
@@ -548,10 +547,10 @@ def _with_cause(per_run: bool) -> str:
     return sql(f"""
     SELECT p.*, c.root_cause_hint AS top_root_cause, c.workload_pattern AS root_cause_workload,
         c.n AS root_cause_events
-    FROM (SELECT {keys}, min(timestamp) AS run_time, round(avg(avg_latency_ms), 2) AS avg_latency_ms,
-            round(avg(util_pct), 2) AS avg_util_pct, round(avg(total_iops), 0) AS avg_iops,
-            round(avg(total_throughput_mb_s), 2) AS avg_throughput_mb_s,
-            round(avg(saturation_score), 3) AS avg_saturation
+    FROM (SELECT {keys}, min(timestamp) AS run_time, CAST(round(CAST(avg(avg_latency_ms) AS DECIMAL(38, 9)), 2) AS DOUBLE) AS avg_latency_ms,
+            CAST(round(CAST(avg(util_pct) AS DECIMAL(38, 9)), 2) AS DOUBLE) AS avg_util_pct, CAST(round(CAST(avg(total_iops) AS DECIMAL(38, 9)), 0) AS DOUBLE) AS avg_iops,
+            CAST(round(CAST(avg(total_throughput_mb_s) AS DECIMAL(38, 9)), 2) AS DOUBLE) AS avg_throughput_mb_s,
+            CAST(round(CAST(avg(saturation_score) AS DECIMAL(38, 9)), 3) AS DOUBLE) AS avg_saturation
         FROM curated {where_c} GROUP BY {keys}) p
     LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY {keys}
             ORDER BY n DESC, critical DESC, root_cause_hint, workload_pattern) AS rn
@@ -612,7 +611,7 @@ def _published() -> str:
 def oracle_sql() -> dict[str, str]:
     found_rows = f"SELECT {EVENT_NAMES} FROM found"
     timeline = ", ".join(TIMELINE_COLUMNS)
-    rounded_runs = ", ".join(f"round({c}, {d}) AS {c}" for c, d in RUN_SUMMARY_DIGITS.items())
+    rounded_runs = ", ".join(f"CAST(round(CAST({c} AS DECIMAL(38, 9)), {d}) AS DOUBLE) AS {c}" for c, d in RUN_SUMMARY_DIGITS.items())
     latest_c, latest_e = newest("curated"), newest("found")
     evidence = EVIDENCE_SCHEMA.fieldNames()
     rolled = [f"{m}_rolling_{s}" for m in BASELINE_METRICS for s in ("mean", "std")]
@@ -642,7 +641,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT * REPLACE (CAST(NULL AS DOUBLE) AS avg_queue_depth) FROM overview", OVERVIEW_DOUBLES),
             "overview"),
         "exported_csv": sql(
-            "SELECT * REPLACE (round(avg_anomaly_score, 3) AS avg_anomaly_score) FROM causes", "causes"),
+            "SELECT * REPLACE (CAST(round(CAST(avg_anomaly_score AS DECIMAL(38, 9)), 3) AS DOUBLE) AS avg_anomaly_score) FROM causes", "causes"),
         "published_row_counts": _published(),
         "rolling_baseline": sql(settled(
             f"SELECT device, timestamp, {', '.join(rolled)} FROM ({rolling(BASELINE_METRICS, 5)})", rolled),
@@ -650,9 +649,8 @@ def oracle_sql() -> dict[str, str]:
         "rolling_zscore_events": sql(settled(rolling_events(), ["anomaly_score"]), "rolled"),
         "iqr_events": sql(settled(iqr_events(COMBINED_METRICS), ["anomaly_score"]), "curated"),
         "combined_events": sql(settled(found_rows, ["anomaly_score"]), "found"),
-        "event_details": sql(settled(settled(
-            f"SELECT device, timestamp, metric_name, {', '.join(evidence)} FROM found", SUMMED),
-            [c for c in evidence if c not in SUMMED], QUARTILE_DIGITS), "found"),
+        "event_details": sql(settled(
+            f"SELECT device, timestamp, metric_name, {', '.join(evidence)} FROM found", evidence), "found"),
         "severity_union": sql(settled("SELECT * FROM all_events", ["anomaly_score"]), "all_events"),
         "enriched_events": sql(settled(enriched(iqr_events(COMBINED_METRICS)), ["anomaly_score"]), "curated"),
         "device_overview": sql(settled("SELECT * FROM overview", OVERVIEW_DOUBLES), "overview"),
@@ -662,7 +660,7 @@ def oracle_sql() -> dict[str, str]:
         "anomaly_timeline": sql(settled(f"SELECT {timeline} FROM found", ["anomaly_score"]), "found"),
         "root_cause_summary": sql(settled("SELECT * FROM causes", ["avg_anomaly_score"]), "causes"),
         "root_cause_summary_rounded": sql(
-            "SELECT * REPLACE (round(avg_anomaly_score, 3) AS avg_anomaly_score) FROM causes", "causes"),
+            "SELECT * REPLACE (CAST(round(CAST(avg_anomaly_score AS DECIMAL(38, 9)), 3) AS DOUBLE) AS avg_anomaly_score) FROM causes", "causes"),
         "device_run_summary": sql(settled("SELECT * FROM runs", RUN_DOUBLES), "runs"),
         "device_run_summary_rounded": sql(f"SELECT * REPLACE ({rounded_runs}) FROM runs", "runs"),
         "device_health": sql("SELECT * FROM health", "health"),
@@ -700,7 +698,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE device ILIKE 'sda' OR device ILIKE 'sdb'""", ["avg_latency_ms", "avg_util_pct"]), "runs"),
         "q05_best_devices": sql("""
             SELECT device, CAST(sum(total_anomalies) AS BIGINT) AS total_anomalies,
-                round(avg(avg_latency_ms), 2) AS avg_latency
+                CAST(round(CAST(avg(avg_latency_ms) AS DECIMAL(38, 9)), 2) AS DOUBLE) AS avg_latency
             FROM runs GROUP BY device ORDER BY total_anomalies, device LIMIT 5""", "runs"),
         "q06_device_trend": sql(settled("""
             SELECT ingest_run_id, run_time, total_anomalies, critical_count, avg_latency_ms,
@@ -729,17 +727,17 @@ def oracle_sql() -> dict[str, str]:
         "q13_critical_share": sql(f"""
             , relabelled AS (SELECT * REPLACE ({EIGHT_CLASSES} AS workload_pattern) FROM curated)
             SELECT workload_pattern, count(*) AS total, count(*) FILTER (severity = 'critical') AS critical_count,
-                round(100.0::DOUBLE * count(*) FILTER (severity = 'critical') / count(*), 1) AS critical_pct
+                CAST(round(CAST(100.0::DOUBLE * count(*) FILTER (severity = 'critical') / count(*) AS DECIMAL(38, 9)), 1) AS DOUBLE) AS critical_pct
             FROM ({combined('relabelled')}) WHERE workload_pattern IN ('write_heavy', 'read_heavy')
             GROUP BY workload_pattern""", "curated"),
-        "q14_score_p95": sql("""SELECT device, round(quantile_cont(anomaly_score, 0.95), 3) AS p95_score
+        "q14_score_p95": sql("""SELECT device, CAST(round(CAST(quantile_cont(anomaly_score, 0.95) AS DECIMAL(38, 9)), 3) AS DOUBLE) AS p95_score
             FROM found GROUP BY device""", "found"),
         "q15_last_two_runs": sql("""
             SELECT ingest_run_id, min(run_time) AS run_time, CAST(sum(critical_count) AS BIGINT) AS critical_count
             FROM runs GROUP BY ingest_run_id ORDER BY run_time DESC, ingest_run_id LIMIT 2""", "runs"),
         "q16_worst_sample": sql("""
             SELECT device, timestamp, avg_latency_ms, aqu_sz, util_pct,
-                round(avg_latency_ms * 0.4::DOUBLE + aqu_sz * 30 + util_pct * 0.3::DOUBLE, 2) AS composite_stress
+                CAST(round(CAST(avg_latency_ms * 0.4::DOUBLE + aqu_sz * 30 + util_pct * 0.3::DOUBLE AS DECIMAL(38, 9)), 2) AS DOUBLE) AS composite_stress
             FROM curated ORDER BY composite_stress DESC, timestamp, device LIMIT 1""", "curated"),
         "q17_worst_events": sql(settled(f"""
             SELECT device, timestamp, metric_name, severity, anomaly_score, root_cause_hint FROM found
@@ -753,7 +751,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE ingest_run_id = {latest_e} AND root_cause_hint ILIKE '%queue%'
             ORDER BY anomaly_count DESC, critical_count DESC, root_cause_hint, workload_pattern LIMIT 10""", "causes"),
         "q20_saturation_slope": sql("""
-            SELECT device, round(regr_slope(avg_saturation, run_num), 4) AS saturation_slope FROM (
+            SELECT device, CAST(round(CAST(regr_slope(avg_saturation, run_num) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS saturation_slope FROM (
                 SELECT *, row_number() OVER (PARTITION BY device ORDER BY run_time, ingest_run_id) AS run_num
                 FROM (SELECT device, ingest_run_id, min(timestamp) AS run_time,
                     avg(saturation_score) AS avg_saturation FROM curated GROUP BY device, ingest_run_id))
@@ -767,7 +765,7 @@ def oracle_sql() -> dict[str, str]:
             "found"),
         "q23_top_causes_per_run": sql(f"""
             SELECT ingest_run_id, root_cause_hint, workload_pattern, anomaly_count, critical_count,
-                affected_devices, round(avg_anomaly_score, 3) AS avg_anomaly_score,
+                affected_devices, CAST(round(CAST(avg_anomaly_score AS DECIMAL(38, 9)), 3) AS DOUBLE) AS avg_anomaly_score,
                 CAST(rank_in_run AS INTEGER) AS rank_in_run
             FROM (SELECT *, row_number() OVER (PARTITION BY ingest_run_id ORDER BY {CAUSE_ORDER}) AS rank_in_run
                 FROM causes) WHERE rank_in_run <= 3""", "causes"),
@@ -779,11 +777,11 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY root_cause_hint ORDER BY occurrences DESC, root_cause_hint LIMIT 10""", "found"),
         "q26_events_per_run": sql("SELECT * FROM run_counts", "run_counts"),
         "q27_read_write_ratios": sql(f"""
-            SELECT device, round(avg(read_ratio), 3) AS avg_read_ratio, round(avg(write_ratio), 3) AS avg_write_ratio
+            SELECT device, CAST(round(CAST(avg(read_ratio) AS DECIMAL(38, 9)), 3) AS DOUBLE) AS avg_read_ratio, CAST(round(CAST(avg(write_ratio) AS DECIMAL(38, 9)), 3) AS DOUBLE) AS avg_write_ratio
             FROM curated WHERE ingest_run_id = {latest_c} GROUP BY device""", "curated"),
         "q28_saturation_by_device": sql(f"""
-            SELECT device, round(avg(saturation_score), 3) AS avg_saturation,
-                round(max(saturation_score), 3) AS max_saturation
+            SELECT device, CAST(round(CAST(avg(saturation_score) AS DECIMAL(38, 9)), 3) AS DOUBLE) AS avg_saturation,
+                CAST(round(CAST(max(saturation_score) AS DECIMAL(38, 9)), 3) AS DOUBLE) AS max_saturation
             FROM curated WHERE ingest_run_id = {latest_c} GROUP BY device""", "curated"),
         "q29_device_change": _changes(),
         "q29_run_change": _run_change(),
