@@ -5,10 +5,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from conftest import DATA
+from spindlewatch.plans import catalog, oracle
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
          "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
 
