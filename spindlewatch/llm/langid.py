@@ -105,7 +105,7 @@ def _sample(docs: DataFrame, text: str, label: str, train: Column, per_label: in
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", label: str = "lang",
-        per_label: int = 1500, rejected: float = 0.001, epochs: int = 6) -> LangModel:
+        per_label: int = 600, rejected: float = 0.001, epochs: int = 6) -> LangModel:
     """Train on the rows where `train` holds and the label is not null.
 
     per_label   expected rows sampled of each label: the bound of the training sample
@@ -122,21 +122,21 @@ def fit(docs: DataFrame, train: Column, text: str = "text", label: str = "lang",
                     counts += np.bincount(grams(pieces)[0], minlength=1 << BITS)
                 at = np.flatnonzero(counts)
                 if len(at):
+                    share = (counts[at] / counts.sum()).astype(np.float32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([label_]), pa.array([at.tolist()], pa.list_(pa.int32())),
-                         pa.array([(counts[at] / counts.sum()).tolist()], pa.list_(pa.float32()))],
-                        names=["label", "at", "share"])
+                        [pa.array([label_]), pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
+                         pa.array([share.tobytes()], pa.binary())], names=["label", "at", "share"])
 
-    rows = (_sample(docs, text, label, train, per_label)
-            .mapInArrow(features, "label string, at array<int>, share array<float>").collect())
+    found = (_sample(docs, text, label, train, per_label)
+             .mapInArrow(features, "label string, at binary, share binary").toArrow())
     # The order of arrival must not matter.
-    rows = sorted(rows, key=lambda r: (r["label"], len(r["at"]), r["at"], r["share"]))
-    labels = sorted({r["label"] for r in rows})
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("label", "at", "share"))))
+    labels = sorted({r[0] for r in rows})
     if not labels:
         return LangModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(7)
-    data = [(np.array(r["at"]), np.array(r["share"], np.float32), labels.index(r["label"]))
-            for r in rows]
+    data = [(np.frombuffer(at, np.uint16).astype(np.int32), np.frombuffer(share, np.float32), labels.index(name))
+            for name, at, share in rows]
     data = [data[i] for i in rng.permutation(len(data))]
     held = max(1, len(data) // 5) if len(data) > 4 else 0
     learn, check = data[held:], data[:held] or data
