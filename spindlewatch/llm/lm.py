@@ -16,13 +16,15 @@ that start from the same weights; the tuned weights are averaged by token counts
 
 Word counts, subword counts and the vocabulary cover all training documents. Documents are
 tokenised once, in groups of bounded size, into a staged table: a row per group, with its distinct
-words and the words of its texts as numbers into them. Counts are joined to distinct words only.
+words and the words of its texts as numbers into them. Only distinct words are shuffled, packed by
+hash bucket; a bucket sums a word's counts over all groups and returns them to each of these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -244,14 +246,24 @@ def score_ids(scorer: Scorer, ids: np.ndarray, fresh_start: np.ndarray) -> np.nd
 
 
 GROUPS = ("chunk long, doc_ids array<long>, trains array<boolean>, sizes array<long>, ids binary, "
-          "words array<binary>, counts array<long>")
+          "words binary, counts binary, ends long")
+MERGED = "chunk long, bucket int, found binary, total long, known long, pieces array<int>, uses array<long>"
 
 
-def tokenise(docs: DataFrame, learns: Column, doc_id: str, text: str) -> DataFrame:
-    """The staged table of groups: ids of texts' words, ends included, and the distinct words.
+def _pack(words: list[bytes]) -> bytes:
+    return b"\n".join(words)  # a word holds no white space
 
-    `counts` is how often the group's training texts hold each word. A group has GROUP_BYTES of
-    text, or one text that is longer.
+
+def _unpack(packed: bytes) -> list[bytes]:
+    return packed.split(b"\n") if packed else []
+
+
+def tokenise(docs: DataFrame, learns: Column, doc_id: str, text: str, buckets: int) -> DataFrame:
+    """The staged table of groups: numbers of the texts' words, ends included, and distinct words.
+
+    Number 0 is the end of a text, number i the i-th distinct word; these are in order of their
+    hash bucket. `counts` is how often the group's training texts hold each distinct word, `ends`
+    how many training texts there are. A group has GROUP_BYTES of text, or one longer text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -261,7 +273,7 @@ def tokenise(docs: DataFrame, learns: Column, doc_id: str, text: str) -> DataFra
             cuts = [0, *(np.flatnonzero(np.diff(edges)) + 1), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 if b > a:
-                    yield _group(chunk, batch.slice(a, b - a))
+                    yield _group(chunk, batch.slice(a, b - a), buckets)
                     chunk += 1
 
     held = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(learns, F.lit(False)).alias("l"),
@@ -269,44 +281,89 @@ def tokenise(docs: DataFrame, learns: Column, doc_id: str, text: str) -> DataFra
     return stage(held.mapInArrow(run, GROUPS), "word-groups")
 
 
-def _group(chunk: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+def _buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
+
+
+def _group(chunk: int, batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     words, sizes = split_words(batch.column(2).to_pylist())
     coded = words.dictionary_encode()
-    # Number 0 is the end of a text.
+    names = coded.dictionary.to_pylist()
+    order = np.argsort(_buckets(names, buckets), kind="stable")
+    number = np.empty(len(names), np.int32)
+    number[order] = np.arange(len(names), dtype=np.int32)
     flat = np.zeros(int(sizes.sum()) + len(sizes), np.int32)
-    ends = np.cumsum(sizes + 1) - 1
     inside = np.ones(len(flat), bool)
-    inside[ends] = False
-    flat[inside] = coded.indices.to_numpy() + 1
+    inside[np.cumsum(sizes + 1) - 1] = False
+    flat[inside] = number[coded.indices.to_numpy()] + 1
     learns = np.array(batch.column(1).to_pylist(), bool)
-    counts = np.bincount(flat[np.repeat(learns, sizes + 1)], minlength=len(coded.dictionary) + 1)
+    counts = np.bincount(flat[np.repeat(learns, sizes + 1)], minlength=len(names) + 1)[1:]
     one = lambda x, kind: pa.array([x], kind)
-    names = pa.concat_arrays([pa.array([b""], pa.binary()), coded.dictionary])
     return pa.RecordBatch.from_arrays(
         [one(chunk, pa.int64()), pa.ListArray.from_arrays([0, len(sizes)], batch.column(0)),
          one(learns.tolist(), pa.list_(pa.bool_())), one((sizes + 1).tolist(), pa.list_(pa.int64())),
-         one(flat.tobytes(), pa.binary()), pa.ListArray.from_arrays([0, len(names)], names),
-         pa.ListArray.from_arrays([0, len(counts)], pa.array(counts))],
-        names=["chunk", "doc_ids", "trains", "sizes", "ids", "words", "counts"])
+         one(flat.tobytes(), pa.binary()), one(_pack([names[i] for i in order]), pa.binary()),
+         one(counts.astype(np.int32).tobytes(), pa.binary()), one(int(learns.sum()), pa.int64())],
+        names=["chunk", "doc_ids", "trains", "sizes", "ids", "words", "counts", "ends"])
 
 
-def fit_vocabulary(counts: DataFrame, path: str, pattern: str) -> Vocabulary:
-    """From (word, c) of all training words. The driver gets one number per subword of the file."""
-    size = encoder(path, pattern).n_vocab
+def merge_counts(groups: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
+    """The staged counts of all training words, bucket by bucket.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = Vocabulary(path, pattern, np.zeros(0), np.zeros(0))
-        total = np.zeros(size)
+    For each group and bucket `found`, the counts of the group's distinct words; for each bucket,
+    in a row without a chunk, the tokens and distinct words it counts, and their subwords' uses.
+    """
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, n = plain.pieces(batch.column(0).to_pylist())
-            weight = np.repeat(batch.column(1).to_numpy(), n)
-            total += np.bincount(flat[flat >= 0], weight[flat >= 0], size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["piece", "c"])
-
+            for g in range(batch.num_rows):
+                words = _unpack(batch.column("words")[g].as_py())
+                counts = np.frombuffer(batch.column("counts")[g].as_py(), np.int32)
+                edges = np.searchsorted(_buckets(words, buckets), np.arange(buckets + 1))
+                some = np.flatnonzero(np.diff(edges))
+                parts = [slice(edges[k], edges[k + 1]) for k in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), batch.column("chunk")[g].as_py(), np.int64)), pa.array(some.astype(np.int32)),
+                     pa.array([_pack(words[k]) for k in parts], pa.binary()),
+                     pa.array([counts[k].tobytes() for k in parts], pa.binary())],
+                    names=["chunk", "bucket", "words", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        lists = [_unpack(w) for w in table.column("words").to_pylist()]
+        coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+        numbers = coded.indices.to_numpy()
+        own = np.concatenate([np.frombuffer(c, np.int32) for c in table.column("counts").to_pylist()])
+        total = np.bincount(numbers, own, len(coded.dictionary)).astype(np.int64)
+        found, at = [], 0
+        for x in lists:
+            found.append(total[numbers[at:at + len(x)]].tobytes())
+            at += len(x)
+        plain = Vocabulary(path, pattern, np.zeros(0), np.zeros(0))
+        seen = np.flatnonzero(total)
+        names = coded.dictionary.to_pylist()
+        flat, n = plain.pieces([names[i] for i in seen])
+        uses = np.bincount(flat, np.repeat(total[seen], n)) if len(flat) else np.zeros(0)
+        some = np.flatnonzero(uses)
+        bucket, rows = table.column("bucket")[0].as_py(), len(lists)
+        return pa.table({
+            "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
+            "bucket": pa.array([bucket] * (rows + 1), pa.int32()), "found": pa.array([*found, None], pa.binary()),
+            "total": pa.array([None] * rows + [int(total.sum())], pa.int64()),
+            "known": pa.array([None] * rows + [len(seen)], pa.int64()),
+            "pieces": pa.array([None] * rows + [some.tolist()], pa.list_(pa.int32())),
+            "uses": pa.array([None] * rows + [uses[some].astype(np.int64).tolist()], pa.list_(pa.int64()))})
+
+    packed = groups.select("chunk", "words", "counts").mapInArrow(
+        split, "chunk long, bucket int, words binary, counts binary")
+    return stage(packed.groupBy("bucket").applyInArrow(merge, MERGED), "word-counts")
+
+
+def fit_vocabulary(merged: DataFrame, path: str, pattern: str) -> Vocabulary:
+    """From the uses of all subwords. The driver gets one number per subword of the file."""
+    size = encoder(path, pattern).n_vocab
     total = np.zeros(size)
-    summed = counts.mapInArrow(run, "piece long, c long").groupBy("piece").agg(F.sum("c").alias("c"))
-    for row in summed.toLocalIterator():
+    uses = (merged.filter("chunk is null").select(F.explode(F.arrays_zip("pieces", "uses")).alias("x"))
+            .groupBy(F.col("x.pieces").alias("piece")).agg(F.sum("x.uses").alias("c")))
+    for row in uses.toLocalIterator():
         total[row["piece"]] = row["c"]
     kept = np.lexsort((np.arange(size), -total))[:KEPT]
     kept = kept[total[kept] > 0]
@@ -331,7 +388,7 @@ def windows_of(groups: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             for g in range(batch.num_rows):
                 words = np.frombuffer(batch.column("ids")[g].as_py(), np.int32)
-                ids, _, counts = vocabulary.encode(batch.column("words")[g].as_py())
+                ids, _, counts = vocabulary.encode([b"", *_unpack(batch.column("words")[g].as_py())])
                 ids, n = _spread(ids, counts, words)
                 sizes = np.array(batch.column("sizes")[g].as_py())
                 trains = batch.column("trains")[g].as_py()
@@ -402,7 +459,7 @@ def fit(groups: DataFrame, vocabulary: Vocabulary, warm: int = WARM_WINDOWS, ste
     return out
 
 
-def _scorer(model: dict, vocabulary: Vocabulary, total: int, distinct: int):
+def _scorer(model: dict, vocabulary: Vocabulary, ends: int, total: int, distinct: int):
     floor = total + distinct + 1
     scorer = Scorer(model)
 
@@ -410,10 +467,9 @@ def _scorer(model: dict, vocabulary: Vocabulary, total: int, distinct: int):
         for batch in batches:
             for g in range(batch.num_rows):
                 words = np.frombuffer(batch.column("ids")[g].as_py(), np.int32)
-                names = batch.column("words")[g].as_py()
-                c = np.zeros(len(names), np.int64)
-                at = batch.column("places")[g].values.to_numpy()
-                c[at] = batch.column("found")[g].values.to_numpy()
+                names = [b"", *_unpack(batch.column("words")[g].as_py())]
+                found = b"".join(x["found"] for x in batch.column("merged")[g].as_py() or ())
+                c = np.concatenate([[ends], np.frombuffer(found, np.int64)])
                 sizes = np.array(batch.column("sizes")[g].as_py())
                 first = np.cumsum(sizes) - sizes
                 ids, extra, counts = vocabulary.encode(names)
@@ -443,19 +499,17 @@ def score_documents(docs: DataFrame, learns: Column, vocabulary: str, pattern: s
     alike and each counts in training; null ids are kept. Without training rows the model is the
     untrained one and no token is known.
     """
-    groups = tokenise(docs, learns, doc_id, text)
-    distinct = groups.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-    distinct = distinct.select("chunk", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counts = stage(distinct.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = fit_vocabulary(counts, vocabulary, pattern)
+    # Some buckets for each task of a shuffle: a bucket holds a share of all distinct words.
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = tokenise(docs, learns, doc_id, text, buckets)
+    merged = merge_counts(groups, vocabulary, pattern, buckets)
+    ends = groups.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
+    sums = merged.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    known = fit_vocabulary(merged, vocabulary, pattern)
     model = fit(groups, known, **options)
-    # A group's distinct words are bounded, so is its list.
-    found = (distinct.select("chunk", "place", "word").join(counts, "word").groupBy("chunk")
-             .agg(F.collect_list(F.struct("place", "c")).alias("f"))
-             .select("chunk", F.col("f.place").alias("places"), F.col("f.c").alias("found")))
-    none = F.array().cast("array<int>"), F.array().cast("array<long>")
-    held = (groups.select("chunk", "doc_ids", "sizes", "ids", "words").join(found, "chunk", "left")
-            .withColumn("places", F.coalesce("places", none[0])).withColumn("found", F.coalesce("found", none[1])))
-    return held.mapInArrow(_scorer(model, known, totals[0], totals[1]),
+    # A group's distinct words are bounded, so is what returns to it.
+    found = (merged.filter("chunk is not null").groupBy("chunk")
+             .agg(F.sort_array(F.collect_list(F.struct("bucket", "found"))).alias("merged")))
+    held = groups.select("chunk", "doc_ids", "sizes", "ids", "words").join(found, "chunk", "left")
+    return held.mapInArrow(_scorer(model, known, ends, sums[0] + ends, sums[1] + (ends > 0)),
                            "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
