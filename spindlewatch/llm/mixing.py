@@ -18,6 +18,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spindlewatch.llm.common import SPLIT, lower_ascii, without
+from spindlewatch.llm.components import may_hold
 from spindlewatch.session import stage
 
 BUCKETS = 1 << 14
@@ -42,8 +43,10 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id:
     texts = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     known = (labelled.select(F.col(labelled.columns[0]).alias("d"), F.col(labelled.columns[1]).alias("domain"))
              .filter(F.col("d").isNotNull() & F.col("domain").isin(domains)).distinct())
-    # Labels meet texts before these become words: a row per text is shuffled, not one per word.
-    per_bucket = words(texts.join(known, "d"), "domain").groupBy("bucket").agg(
+    # Labels meet texts before these become words: a row per text is shuffled, not one per word, and
+    # few texts without a label. Labels grow with the input, so they are never broadcast.
+    matched = may_hold(texts, "d", known.select("d")).join(known.hint("merge"), "d")
+    per_bucket = words(matched, "domain").groupBy("bucket").agg(
         *[F.count(F.when(F.col("domain") == k, 1)).alias(f"n{i}") for i, k in enumerate(domains)])
     per_bucket = stage(per_bucket, "bucket-counts")  # at most `buckets` rows
     every = range(len(domains))
