@@ -2,8 +2,9 @@
 
 A line's shingles are 12 characters long and start at the words of the line, and at every twelfth
 character inside a longer word, so each character is covered and a change touches few of them.
-Their hashes give `rows * bands` minima; lines that agree in all rows of a band become
-candidates. Candidates are verified by the exact Jaccard similarity of their shingle sets, and
+Their hashes give `rows * bands / 2` minima. A band is `rows` of them, and each minimum is in two
+bands; two bands share one minimum at most. Lines that agree in a whole band become candidates:
+with 4 rows and 10 bands about 99.5 % of the pairs whose similarity is 0.8, and more above. Candidates are verified by the exact Jaccard similarity of their shingle sets, and
 linked lines are joined by distributed union-find. Each component keeps one line: that of the
 smallest doc_id, and there the first. DataFrame functions only.
 """
@@ -16,7 +17,7 @@ from spindlewatch.llm.components import link, may_hold
 from spindlewatch.session import stage
 
 WIDTH = 12
-ROWS = 3
+ROWS = 4
 BANDS = 10
 SIMILAR = 0.8
 
@@ -50,9 +51,15 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
     Lines that are equal have one key and need no link; keys without a link are not listed.
     """
     lines = split_lines(docs, doc_id, text)
-    pieces = lines.select(line_key(F.col("line")).alias("k"), F.explode(shingles(F.col("line"))).alias("s"))
-    minima = pieces.groupBy("k").agg(*[F.min(F.hash("s", F.lit(i))).alias(f"m{i}") for i in range(rows * bands)])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
+    hashed = lines.select(line_key(F.col("line")).alias("k"), shingles(F.col("line")).alias("s"))
+    half = bands // 2
+    places = range(rows * half)
+    per_line = hashed.select("k", *[F.array_min(F.transform("s", lambda x, i=i: F.hash(x, F.lit(i)))).alias(f"m{i}")
+                                    for i in places])
+    minima = per_line.groupBy("k").agg(*[F.min(f"m{i}").alias(f"m{i}") for i in places])  # equal lines are one
+    chosen = [[b * rows + r for r in range(rows)] for b in range(half)]
+    chosen += [[b + r * half for r in range(rows)] for b in range(half)]
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in one]) for b, one in enumerate(chosen)])
     postings = minima.select(F.explode(keys).alias("key"), F.col("k").alias("node"))
 
     def verify(pairs: DataFrame) -> DataFrame:
