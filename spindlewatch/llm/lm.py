@@ -421,8 +421,13 @@ def _stacked(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("window").flatten().to_numpy().reshape(-1, REACH + 1).astype(np.int64)
 
 
-def fit(groups: DataFrame, vocabulary: Vocabulary, warm: int = WARM_WINDOWS, steps: int = 1500) -> dict:
-    """Warm up on `warm` windows, then tune on all windows and average."""
+def fit(groups: DataFrame, vocabulary: Vocabulary, warm: int = WARM_WINDOWS, steps: int = 1500,
+        epochs: int = 8) -> dict:
+    """Warm up on `warm` windows, then tune on all windows and average.
+
+    The warm-up takes `steps` batches, and no more than `epochs` passes: few windows would be
+    learned by heart.
+    """
     spark = groups.sparkSession
     windows = stage(windows_of(groups, vocabulary), "windows")
     drawn = windows.orderBy(F.xxhash64("chunk", "place"), "chunk", "place").limit(warm).toArrow()
@@ -430,7 +435,8 @@ def fit(groups: DataFrame, vocabulary: Vocabulary, warm: int = WARM_WINDOWS, ste
     rows = [_stacked(b) for b in drawn.to_batches() if b.num_rows]
     if not rows:
         return model
-    model = train(model, np.concatenate(rows), steps, 0.03, 1)
+    data = np.concatenate(rows)
+    model = train(model, data, min(steps, max(1, epochs * len(data) // 64)), 0.03, 1)
 
     def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = model, 0

@@ -103,7 +103,7 @@ def scan_tokens(spark: SparkSession, path: str, end: int = END, width: int = 2,
     none = F.array().cast("array<long>")
     borders = (
         pieces.select("path", "block", "is_last", "seps", "tail", "size", "first", "open",
-                      F.col("at")[0].alias("stop"))
+                      F.get("at", F.lit(0)).alias("stop"))
         .withColumn("ordinal", F.coalesce(F.sum("seps").over(before), F.lit(0)))
         .withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0)))
         # Where the document after the block's last separator begins, and its first tokens,
