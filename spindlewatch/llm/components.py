@@ -54,16 +54,16 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     needed     (node, least): a pair is verified once it shares the smaller `least` of its two
     Returns (node, component) of linked nodes and the verified links (a, b).
 
-    Pairs within a key are never all made. First every node of a key is tried against the
-    smallest node of that key. Then only nodes outside a key's largest component are paired, with
+    Pairs within a key are never all made. First every node is tried against one other: of the
+    smallest nodes of its keys, the one that it shares most keys with. Then only nodes outside a key's largest component are paired, with
     the nodes of the key in other components: pairs that are already connected need no test, and
     every other pair that shares a key is counted over all keys it shares.
     """
     heads = (postings.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1").select("key", "head"))
     held = stage(postings.join(heads, "key"), "shared-keys")
-    tried = stage(held.filter("node != head")
-                  .select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "tried")
+    tried = stage(held.filter("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
+                  .groupBy(F.col("node").alias("b")).agg(F.max_by("head", "n").alias("a")).select("a", "b"), "tried")
     first = stage(verify(tried).select("a", "b"), "links")
     found = stage(components(first), "components")
     placed = stage(held.join(found, "node", "left")

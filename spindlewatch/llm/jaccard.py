@@ -224,23 +224,16 @@ def _flagged(source: DataFrame, flags: np.ndarray) -> DataFrame:
 
 def _verifier(size: int, numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            ta, tb = batch.column("ta"), batch.column("tb")
-            good = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                sets = []
-                for name, column in ((a[i], ta), (b[i], tb)):
-                    if name not in known:
-                        if len(known) >= 64:  # a head meets many others in a row
-                            known.pop(next(iter(known)))
-                        known[name] = next(shingle_sets([column[i].as_py()], size))
-                    sets.append(known[name])
-                common = len(np.intersect1d(*sets, assume_unique=True))
-                union = len(sets[0]) + len(sets[1]) - common
-                good[i] = denominator * common >= numerator * union
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+                texts = dict(zip(a, batch.column("ta"))) | dict(zip(b, batch.column("tb")))
+                sets = dict(zip(texts, shingle_sets([t.as_py() for t in texts.values()], size)))
+                common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)])
+                union = np.array([len(sets[x]) + len(sets[y]) for x, y in zip(a, b)]) - common
+                good = denominator * common >= numerator * union
+                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
     return run
 
 
