@@ -164,9 +164,10 @@ def histogram(df: DataFrame, column: str = "avg_latency_ms", bins: int = HISTOGR
 
 def above_p99(df: DataFrame, column: str = "avg_latency_ms",
               limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """Rows above the column's overall 99th percentile."""
+    """Rows above the column's overall 99th percentile; NaN counts as missing."""
     stats = grouped_statistics(df, [], [column], [0.99], limits).frame
-    return df.where(F.col(column) > stats.select(F.col(column).q[0]).scalar()).select(*SLOWEST_COLUMNS)
+    high = F.col(column) > stats.select(F.col(column).q[0]).scalar()
+    return df.where(high & ~F.isnan(F.col(column))).select(*SLOWEST_COLUMNS)
 
 
 def top_rows(df: DataFrame, by: str, n: int, *tie_break: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -44,17 +43,14 @@ def build_session(app: str = "spindlewatch", master: str | None = None, **conf:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder.
+    """Folder for intermediate tables: spark.checkpoint.dir, else one below the warehouse.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Both are shared by all executors; the code is the same for every master.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spindlewatch-"))
-        folder = context.getCheckpointDir()
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    context = spark.sparkContext
     return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
