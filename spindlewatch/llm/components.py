@@ -45,6 +45,15 @@ def components(edges: DataFrame) -> DataFrame:
             .union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
 
 
+def _enough(pairs: DataFrame, needed: DataFrame | None) -> DataFrame:
+    """Pairs (a, b, shared) that share the smaller `least` of their two nodes."""
+    if needed is None:
+        return pairs
+    return (pairs.join(needed.select(F.col("node").alias("a"), F.col("least").alias("la")), "a")
+            .join(needed.select(F.col("node").alias("b"), F.col("least").alias("lb")), "b")
+            .filter(F.col("shared") >= F.least("la", "lb")))
+
+
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
          needed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of the nodes whose pairs share a key and pass `verify`.
@@ -62,8 +71,9 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     heads = (postings.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1").select("key", "head"))
     held = stage(postings.join(heads, "key"), "shared-keys")
-    tried = stage(held.filter("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
-                  .groupBy(F.col("node").alias("b")).agg(F.max_by("head", "n").alias("a")).select("a", "b"), "tried")
+    best = (held.filter("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(F.col("node").alias("b")).agg(F.max_by("head", "n").alias("a"), F.max("n").alias("shared")))
+    tried = stage(_enough(best, needed).select("a", "b"), "tried")
     first = stage(verify(tried).select("a", "b"), "links")
     found = stage(components(first), "components")
     placed = stage(held.join(found, "node", "left")
@@ -82,11 +92,7 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
              .filter((F.col("xc") != F.col("yc")) & (F.col("major") | (F.col("x") < F.col("y"))))
              .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
              .agg(F.count(F.lit(1)).alias("shared")))
-    if needed is not None:
-        pairs = (pairs.join(needed.select(F.col("node").alias("a"), F.col("least").alias("la")), "a")
-                 .join(needed.select(F.col("node").alias("b"), F.col("least").alias("lb")), "b")
-                 .filter(F.col("shared") >= F.least("la", "lb")))
-    fresh = stage(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
+    fresh = stage(_enough(pairs, needed).select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
     more = stage(verify(fresh).select("a", "b"), "more-links")
     links = first.union(more)
     return components(links), links

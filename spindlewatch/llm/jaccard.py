@@ -28,6 +28,7 @@ from spindlewatch.session import stage
 SIZE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 MOST_MATCHES = 4
+UNCOUNTED = 0.25  # other documents expected on the list of an n-gram that was not counted
 LEVEL_BITS = 22
 COUNT_AT = 1 << 21
 NODE_BITS = 23
@@ -130,7 +131,7 @@ def prefix(grams: np.ndarray, level: np.ndarray, numerator: int, denominator: in
     order = np.lexsort((grams, rank))
     base = n - -(-numerator * n // denominator)
     limit = min(most, n - base)
-    lists = np.cumsum(np.where(rank[order[:base + limit]] > 0, 2.0 ** rank[order[:base + limit]], 0))
+    lists = np.cumsum(np.where(rank[order[:base + limit]] > 0, 2.0 ** rank[order[:base + limit]], UNCOUNTED))
     matches = np.arange(1, limit + 1)
     cost = base + matches + 50 * lists[base + matches - 1] / 2.0 ** (matches - 1)
     m = int(matches[cost.argmin()])
