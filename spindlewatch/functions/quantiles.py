@@ -1,41 +1,31 @@
 """Exact interpolated percentiles per group, bounded in memory at any group size.
 
-`percentile` keeps every distinct value of a group in one task, so it is used only when
-the measured row count is small. Beyond that the order statistics are located by counting:
+`percentile` keeps every distinct value of a group in one task, so the order statistics are
+located by counting, whatever the size of the input:
 
 1. count values per coarse bucket (equal steps of sign(v) * log1p(|v|)), combined map-side;
 2. inside the few buckets that hold a wanted rank, count per fine bucket;
 3. inside those fine buckets, count per distinct value and pick the rank.
 
-Both bucket functions never decrease as the value grows, so the ranks are exact. Only
-counts are shuffled, never the rows, and no group is ever gathered in one task.
+Both bucket functions never decrease as the value grows, so the ranks are exact. Counts are
+shuffled, and no group is gathered in one task. The values meet the cells that hold a wanted
+rank, a few per group, in a broadcast join while these are small; beyond that in a shuffled one.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spindlewatch.session import DEFAULT_LIMITS, Limits, footprint, stage
+from spindlewatch.session import stage
 
 COARSE_STEPS = 128     # buckets per factor e
 COARSE_EDGE = 100_000  # beyond the largest finite double; only infinities are clamped
 FINE_BUCKETS = 1024
 
 
-@dataclass(frozen=True)
-class GroupedStatistics:
-    """One row per group: the keys and a struct `<metric>` of n, mean, std, q (an array)."""
-
-    frame: DataFrame
-    groups: int
-    rows: int
-
-
 def cleaned(metric: str) -> str:
     """NaN sorts above every number in Spark; treat it as missing."""
-    return f"nullif(CAST({metric} AS DOUBLE), double('NaN')) AS {metric}"
+    return f"nullif(CAST(`{metric}` AS DOUBLE), double('NaN')) AS `{metric}`"
 
 
 def without_nan(df: DataFrame, metrics: list[str]) -> DataFrame:
@@ -45,29 +35,20 @@ def without_nan(df: DataFrame, metrics: list[str]) -> DataFrame:
 
 def to_long(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     """Wide to long: one row per input row and metric."""
-    return df.selectExpr(*ids, *[f"CAST({m} AS DOUBLE) AS {m}" for m in metrics]).unpivot(
-        ids, metrics, "metric_name", "metric_value")
+    return df.selectExpr(*ids, *[f"CAST(`{m}` AS DOUBLE) AS `{m}`" for m in metrics]).unpivot(
+        ids, [F.col(f"`{m}`") for m in metrics], "metric_name", "metric_value")
 
 
-MOMENTS = "'n', count({m}), 'mean', avg({m}), 'std', stddev_pop({m})"
+MOMENTS = "'n', count(`{m}`), 'mean', avg(`{m}`), 'std', stddev_pop(`{m}`)"
 
 
-def grouped_statistics(df: DataFrame, keys: list[str], metrics: list[str], probs: list[float],
-                       limits: Limits = DEFAULT_LIMITS) -> GroupedStatistics:
-    """Count, mean, population deviation and percentiles of each metric per group.
+def grouped_statistics(df: DataFrame, keys: list[str], metrics: list[str], probs: list[float]) -> DataFrame:
+    """One row per group: the keys and a struct `<metric>` of n, mean, std, q (an array).
 
-    One count over the key columns decides the plan: a single aggregation while all values
-    fit in `percentile`, the counting search otherwise.
+    Count, mean, population deviation and percentiles of each metric. The result is staged, so
+    that a join with it is planned by its real size.
     """
-    size = footprint(df, keys)
     clean = df.selectExpr(*keys, *[cleaned(m) for m in metrics])
-    if size.rows <= limits.percentile_rows:
-        wanted = ", ".join(f"{p}D" for p in probs)
-        frame = clean.groupBy(*keys).agg(*[
-            F.expr(f"named_struct({MOMENTS.format(m=m)}, 'q', percentile({m}, array({wanted})))").alias(m)
-            for m in metrics])
-        return GroupedStatistics(frame, size.groups, size.rows)
-
     moments = clean.groupBy(*keys).agg(*[
         F.expr(f"named_struct({MOMENTS.format(m=m)})").alias(m) for m in metrics])
     found = search_quantiles(to_long(clean, keys, metrics), [*keys, "metric_name"], probs)
@@ -79,8 +60,8 @@ def grouped_statistics(df: DataFrame, keys: list[str], metrics: list[str], probs
         both = moments.withColumn("_q", spread.select(F.struct(*spread.columns)).scalar()).select(
             *moments.columns, "_q.*")
     frame = both.selectExpr(*keys, *[
-        f"named_struct('n', {m}.n, 'mean', {m}.mean, 'std', {m}.std, 'q', _{m}) AS {m}" for m in metrics])
-    return GroupedStatistics(stage(frame, "statistics"), size.groups, size.rows)
+        f"named_struct('n', `{m}`.n, 'mean', `{m}`.mean, 'std', `{m}`.std, 'q', `_{m}`) AS `{m}`" for m in metrics])
+    return stage(frame, "statistics")
 
 
 def _coarse(value: Column) -> Column:

@@ -1,8 +1,10 @@
 """Rolling row frames per device that do not gather a device in one task.
 
-A window partitioned by device alone puts a device's whole history in one task. Larger
-devices are cut into time chunks; each chunk also receives the few rows that precede it,
-so every frame is complete and the result is the same as with the plain window.
+A window partitioned by device alone puts a device's whole history in one task. Here rows are
+dealt into ranges of (device, order columns) of about equal size: a sparse device lies in one
+range, two if it stands on a border, and a dense one in many, even if all its rows carry one
+timestamp. Each range also receives the few rows of the device that precede it, so every frame
+is complete and the result is that of the plain window.
 """
 
 from __future__ import annotations
@@ -11,68 +13,39 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from spindlewatch.session import DEFAULT_LIMITS, Limits
-
-MAX_CUTS = 12
+from spindlewatch.session import stage
 
 
 def rolling(df: DataFrame, key: str, order: list[str], preceding: int,
             columns: Callable[[WindowSpec], dict[str, Column]],
-            limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+            chunks: int | None = None) -> DataFrame:
     """Add `columns(window)` over the current row and the `preceding` ones of the same key.
 
-    `order[0]` is the timestamp; the other order columns settle equal timestamps.
+    `order[0]` is the timestamp; the other order columns settle equal timestamps. Only rows equal
+    in all of them always share a range. `chunks` is the number of ranges, by default that of the
+    session's shuffle partitions.
     """
-    ordering = [F.col(c).asc_nulls_last() for c in order]
-    width = _chunk_seconds(df, key, order[0], limits.window_rows)
-    if width is None:
-        frame = Window.partitionBy(key).orderBy(*ordering).rowsBetween(-preceding, 0)
-        return df.withColumns(columns(frame))
-
-    chunked = df.withColumn("_chunk", _chunk(order[0], width))
-    cell = [key, "_chunk"]
-    counts = chunked.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    frame = Window.partitionBy(key, "_chunk").orderBy(*_ascending(order)).rowsBetween(-preceding, 0)
+    return (with_halo(df, key, order, preceding, chunks)
+            .withColumns(columns(frame))
+            .where(~F.col("_halo"))
+            .drop("_chunk", "_halo"))
+
+
+def with_halo(df: DataFrame, key: str, order: list[str], preceding: int,
+              chunks: int | None = None) -> DataFrame:
+    """Rows with the number of their range, `_chunk`, and again, as `_halo`, where a later one needs them."""
+    places = [F.col(key), *_ascending(order)]
+    ranged = df.repartitionByRange(chunks, *places) if chunks else df.repartitionByRange(*places)
+    # Staged, as ranges come from a sample: a second evaluation may draw other borders.
+    chunked = stage(ranged.withColumn("_chunk", F.spark_partition_id()), "chunks")
+    counts = chunked.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     halo = _preceding_rows(chunked, counts, key, order, preceding)
-    frame = Window.partitionBy(*cell).orderBy(*ordering).rowsBetween(-preceding, 0)
-    return (
-        chunked.withColumn("_halo", F.lit(False)).unionByName(halo)
-        .withColumns(columns(frame))
-        .where(~F.col("_halo"))
-        .drop("_chunk", "_halo")
-    )
-
+    return chunked.withColumn("_halo", F.lit(False)).unionByName(halo)
 
-def _chunk(timestamp: str, seconds: float) -> Column:
-    # Rows without a timestamp sort last, so they form the last chunk.
-    number = F.floor(F.unix_micros(timestamp) / F.lit(seconds * 1e6))
-    return F.coalesce(number, F.lit(2 ** 62))
 
-
-def _chunk_seconds(df: DataFrame, key: str, timestamp: str, target: int) -> float | None:
-    """Chunk length that keeps every chunk near `target` rows; None when no key exceeds it.
-
-    The first length follows the densest key; it is then shortened until the fullest chunk,
-    as counted, fits. Only single-row aggregates reach the driver.
-    """
-    seconds = F.unix_micros(timestamp) / 1e6
-    per_key = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.min(seconds).alias("lo"), F.max(seconds).alias("hi"))
-    row = per_key.agg(
-        F.max("n").alias("largest"),
-        F.min(F.when(F.col("n") > target, (F.col("hi") - F.col("lo")) * target / F.col("n")))
-        .alias("width")).first()
-    if row["largest"] is None or row["largest"] <= target or not row["width"]:
-        return None
-    width = row["width"]
-    for _ in range(MAX_CUTS):
-        fullest = (
-            df.where(F.col(timestamp).isNotNull())
-            .groupBy(key, _chunk(timestamp, width).alias("_chunk")).count()
-            .agg(F.max("count")).first()[0])
-        if fullest <= 2 * target or width <= 1e-6:
-            break
-        width = max(width * target / fullest, 1e-6)
-    return width
+def _ascending(order: list[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in order]
 
 
 def _preceding_rows(chunked: DataFrame, counts: DataFrame, key: str, order: list[str],

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spindlewatch.functions.quantiles import grouped_statistics
-from spindlewatch.session import DEFAULT_LIMITS, Limits
 
 
 def quoted(text: str) -> str:
@@ -52,13 +51,13 @@ def add_workload_patterns(df: DataFrame) -> DataFrame:
     return df.withColumn("workload_pattern", F.expr(EIGHT_CLASS_PATTERN)).drop(*absent)
 
 
-def add_adaptive_patterns(df: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def add_adaptive_patterns(df: DataFrame) -> DataFrame:
     """Label rows against the data's own 90th percentiles of r_s, w_s and latency.
 
     The three percentiles are one row, read as a scalar subquery.
     """
-    stats = grouped_statistics(df, [], ["r_s", "w_s", "avg_latency_ms"], [0.9], limits)
-    cut = stats.frame.select(F.struct("r_s", "w_s", "avg_latency_ms")).scalar()
+    stats = grouped_statistics(df, [], ["r_s", "w_s", "avg_latency_ms"], [0.9])
+    cut = stats.select(F.struct("r_s", "w_s", "avg_latency_ms")).scalar()
     return df.withColumn("_p90", cut).withColumn("workload_pattern", F.expr(first_match([
         (OVERLOADED, "saturated"),
         ("r_s > _p90.r_s.q[0] OR w_s > _p90.w_s.q[0]", "burst_io"),

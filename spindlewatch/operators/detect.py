@@ -15,7 +15,7 @@ from spindlewatch.schema import (
     COMBINED_METRICS, DETECTION_SCHEMA, EVENT_CONTEXT, EVENT_SCHEMA, IQR_MULTIPLIER,
     MIN_GROUP_VALUES, ROLLING_WINDOW, ZSCORE_THRESHOLD,
 )
-from spindlewatch.session import DEFAULT_LIMITS, Limits, join_statistics
+from spindlewatch.session import stage
 
 
 def _present(df: DataFrame, names: list[str]) -> list[str]:
@@ -29,7 +29,7 @@ def lineage(df: DataFrame) -> list[str]:
 
 
 def add_rolling_baselines(df: DataFrame, metrics: list[str], window: int = ROLLING_WINDOW,
-                          limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+                          chunks: int | None = None) -> DataFrame:
     """Rolling mean and sample deviation per device over the last `window` rows.
 
     Null until two values are present. Rows with equal timestamps are ordered by run, then
@@ -44,7 +44,7 @@ def add_rolling_baselines(df: DataFrame, metrics: list[str], window: int = ROLLI
         return added
 
     order = ["timestamp", *_present(df, ["ingest_run_id"]), *metrics]
-    return rolling(without_nan(df, metrics), "device", order, window - 1, columns, limits)
+    return rolling(without_nan(df, metrics), "device", order, window - 1, columns, chunks)
 
 
 def _one_row_per_metric(df: DataFrame, carried: list[str], per_metric: list[str]) -> DataFrame:
@@ -85,7 +85,7 @@ def detect_rolling_zscore(df: DataFrame, metrics: list[str],
 
 
 def _with_fences(df: DataFrame, metrics: list[str], multiplier: float, threshold: float | None,
-                 min_values: int, limits: Limits) -> DataFrame:
+                 min_values: int) -> DataFrame:
     """Rows that may be outliers, each with its device's statistics as `_<metric>`.
 
     Per device and metric the statistics include the fences, and `low` and `high`: values
@@ -94,7 +94,7 @@ def _with_fences(df: DataFrame, metrics: list[str], multiplier: float, threshold
     The statistics are one row per device, so a sample is probed once for all its metrics.
     Rows without a device belong to no group and drop out.
     """
-    stats = grouped_statistics(df, ["device"], metrics, [0.25, 0.75], limits)
+    stats = grouped_statistics(df, ["device"], metrics, [0.25, 0.75])
 
     def fenced(m: str) -> str:
         iqr = f"({m}.q[1] - {m}.q[0])"
@@ -109,14 +109,13 @@ def _with_fences(df: DataFrame, metrics: list[str], multiplier: float, threshold
                 f"'low', CASE WHEN {enough} THEN {low} END, "
                 f"'high', CASE WHEN {enough} THEN {high} END) AS _{m}")
 
-    fences = stats.frame.selectExpr("device", *[fenced(m) for m in metrics])
-    joined = join_statistics(without_nan(df, metrics), fences, ["device"], stats.groups, limits)
+    fences = stats.selectExpr("device", *[fenced(m) for m in metrics])
+    joined = without_nan(df, metrics).join(fences, "device")
     return joined.where(" OR ".join(
         f"coalesce({m} < _{m}.low OR {m} > _{m}.high, false)" for m in metrics))
 
 
-def detect_iqr(df: DataFrame, metrics: list[str], multiplier: float = IQR_MULTIPLIER,
-               limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def detect_iqr(df: DataFrame, metrics: list[str], multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     """Events outside the interquartile fences of their device and metric.
 
     The score is the distance past the fence in interquartile units, 0 when that unit is 0.
@@ -129,7 +128,7 @@ def detect_iqr(df: DataFrame, metrics: list[str], multiplier: float = IQR_MULTIP
                 f"'lower', {s}.lower, 'upper', {s}.upper, "
                 f"'keep', {m} < {s}.lower OR {m} > {s}.upper)")
 
-    rows = _with_fences(df, metrics, multiplier, None, 1, limits)
+    rows = _with_fences(df, metrics, multiplier, None, 1)
     long = _one_row_per_metric(rows, ["device", "timestamp", *lineage(df)],
                                [evidence(m) for m in metrics])
     return _as_detections(long, "iqr", "format_string('lower=%.2f, upper=%.2f', lower, upper)")
@@ -137,15 +136,14 @@ def detect_iqr(df: DataFrame, metrics: list[str], multiplier: float = IQR_MULTIP
 
 def detect_combined(df: DataFrame, metrics: list[str] | None = None,
                     threshold: float = ZSCORE_THRESHOLD, multiplier: float = IQR_MULTIPLIER,
-                    min_values: int = MIN_GROUP_VALUES,
-                    limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+                    min_values: int = MIN_GROUP_VALUES) -> DataFrame:
     """The pipeline's detector: device-wide z-score and interquartile fences together.
 
     Returns complete events: graded, explained and with the sample's context. Samples with
     no outlying metric are dropped before rows are made per metric.
     """
     metrics = _present(df, COMBINED_METRICS) if metrics is None else metrics
-    rows = _with_fences(df, metrics, multiplier, threshold, min_values, limits)
+    rows = _with_fences(df, metrics, multiplier, threshold, min_values)
     context = [f"{e} AS {name}" for name, e in event_context(df.columns).items()]
     inputs = [f"{name} AS hint_{name}" for name in _present(df, list(HINT_INPUTS))]
     pattern = "workload_pattern" if "workload_pattern" in df.columns else "'balanced'"
@@ -177,16 +175,19 @@ def with_sample_context(events: DataFrame, curated: DataFrame, columns: list[str
 
     Matched on device and timestamp, and on the run when both sides carry one. Each sample
     gives one context, the smallest if it is stored repeatedly, so overlapping runs and
-    copies never multiply events. The copies are folded map-side, and the join needs no
-    shuffle of samples beyond the one that folds them.
+    copies never multiply events. Samples are first reduced to those that share a key with an
+    event, and only these are folded. The events are staged, so that the reduction broadcasts
+    their keys while they are small.
     """
     keys = {"_device": "device", "_timestamp": "timestamp"}
     if "ingest_run_id" in events.columns and "ingest_run_id" in curated.columns:
         keys["_run"] = "coalesce(ingest_run_id, '')"
+    events = stage(events, "detections")
+    named = [f"{expression} AS {name}" for name, expression in keys.items()]
+    wanted = stage(events.selectExpr(*named).distinct(), "event-keys")
     context = curated.selectExpr(
-        *[f"{expression} AS {name}" for name, expression in keys.items()],
-        f"struct({', '.join(columns)}) AS _context"
-    ).groupBy(*keys).agg(F.min("_context").alias("_context"))
+        *named, f"struct({', '.join(columns)}) AS _context"
+    ).join(wanted, list(keys), "left_semi").groupBy(*keys).agg(F.min("_context").alias("_context"))
     match = " AND ".join(f"{expression} = {name}" for name, expression in keys.items())
     rename = rename or {}
     return events.join(context, F.expr(match), "left").select(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from spindlewatch.functions.quantiles import grouped_statistics
 from spindlewatch.functions.rolling import rolling
-from spindlewatch.session import DEFAULT_LIMITS, Limits
 
 SERIES_COLUMNS = [
     "device", "timestamp", "total_iops", "total_throughput_mb_s", "avg_latency_ms", "util_pct",
@@ -15,7 +14,7 @@ SERIES_COLUMNS = [
 SERIES_WINDOW = 10
 
 
-def device_timeseries(curated: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def device_timeseries(curated: DataFrame) -> DataFrame:
     """Samples with the mean and sample deviation of latency over ten rows of their device."""
     def columns(frame):
         return {"latency_rolling_mean": F.avg("avg_latency_ms").over(frame),
@@ -23,7 +22,7 @@ def device_timeseries(curated: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Da
 
     series = curated.select(*SERIES_COLUMNS)
     order = ["timestamp", *[c for c in SERIES_COLUMNS[2:]]]
-    return rolling(series, "device", order, SERIES_WINDOW - 1, columns, limits)
+    return rolling(series, "device", order, SERIES_WINDOW - 1, columns)
 
 
 def device_hourly(curated: DataFrame) -> DataFrame:
@@ -37,14 +36,13 @@ def device_hourly(curated: DataFrame) -> DataFrame:
     )
 
 
-def device_percentiles(curated: DataFrame, accuracy: int | None = None,
-                       limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def device_percentiles(curated: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Median, p95 and p99 latency per device; `accuracy` switches to approximate values."""
     if accuracy is not None:
         approx = F.percentile_approx("avg_latency_ms", [0.5, 0.95, 0.99], accuracy)
         q, frame = F.col("q"), curated.groupBy("device").agg(approx.alias("q"))
     else:
         frame = grouped_statistics(
-            curated, ["device"], ["avg_latency_ms"], [0.5, 0.95, 0.99], limits).frame
+            curated, ["device"], ["avg_latency_ms"], [0.5, 0.95, 0.99])
         q = F.col("avg_latency_ms").q
     return frame.select("device", q[0].alias("p50"), q[1].alias("p95"), q[2].alias("p99"))

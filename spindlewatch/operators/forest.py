@@ -1,8 +1,10 @@
 """Isolation forest over joint metrics (Liu, Ting and Zhou, ICDM 2008).
 
-Each tree is grown from a subsample of at most 256 rows drawn in Spark, one task group per
-tree. The finished forest is a few thousand nodes whatever the input size, so it travels
-with the scoring function; scoring is one Arrow pass with no shuffle.
+Each tree is grown from a subsample of about 256 rows drawn in Spark, one task group per
+tree. Rows are drawn by a hash of their content, so the forest depends on the data alone, not on
+how it is partitioned, and a task that is run again draws the same rows. The finished forest is
+a few thousand nodes whatever the input size, so it travels with the scoring function; scoring is
+one Arrow pass with no shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from spindlewatch.operators.detect import lineage
 from spindlewatch.schema import (
     CONTAMINATION, DETECTION_SCHEMA, FOREST_MIN_ROWS, FOREST_SEED,
 )
-from spindlewatch.session import DEFAULT_LIMITS, Limits, stage
+from spindlewatch.session import stage
 
 TREES = 100
 SUBSAMPLE = 256
@@ -65,27 +67,25 @@ def grow(tree: int, points: np.ndarray, seed: int) -> list[tuple]:
     return nodes
 
 
-def _subsamples(features: DataFrame, rows: int, trees: int, seed: int) -> DataFrame:
-    """Rows labelled with the tree they help grow, about `SUBSAMPLE` per tree.
+def _subsamples(rows: DataFrame, distinct: int, trees: int, subsample: int, seed: int) -> DataFrame:
+    """Rows labelled with the tree they help grow, about `subsample` per tree.
 
-    One draw per row places it in one of rows/SUBSAMPLE slots, of which the first `trees`
-    are kept. Inputs too small for that many disjoint samples are drawn from repeatedly.
-    The draw is per row, so copies of a row are sampled in proportion and spread evenly.
+    One draw per row, from the hash of all its columns, places it in one of distinct/subsample
+    slots, of which the first `trees` are kept. Inputs too small for that many disjoint samples
+    are drawn from repeatedly. Rows equal in every column are drawn together and count once, so a
+    tree's sample is bounded however often a row is repeated.
     """
-    size = min(SUBSAMPLE, rows)
-    slots = rows / size
+    slots = distinct / min(subsample, distinct)
     per_round = max(1, int(slots))
     rounds = -(-trees // per_round)
-    if rounds > 1:
-        features = features.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    else:
-        features = features.withColumn("_round", F.lit(0))
-    slot = F.floor(F.rand(seed) * slots).cast("int")
+    places = F.sequence(F.lit(0), F.lit(rounds - 1))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "_round", *rows.columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
     return (
-        features.withColumn("_slot", slot).where(F.col("_slot") < per_round)
+        rows.withColumn("_round", F.explode(places))
+        .withColumn("_slot", F.floor(draw * slots).cast("int")).where(F.col("_slot") < per_round)
         .withColumn("tree", F.col("_round") * per_round + F.col("_slot"))
         .where(F.col("tree") < trees)
-        .drop("_round", "_slot")
+        .drop("_round", "_slot").distinct()
     )
 
 
@@ -127,18 +127,24 @@ def _features(df: DataFrame, metrics: list[str]) -> list:
 
 
 def fit_forest(df: DataFrame, metrics: list[str], seed: int = FOREST_SEED,
-               trees: int = TREES, rows: int | None = None) -> Forest:
-    """Grow the forest on executors and collect its nodes (bounded by trees * 2 * SUBSAMPLE)."""
-    rows = df.count() if rows is None else rows
+               trees: int = TREES, subsample: int = SUBSAMPLE) -> Forest:
+    """Grow the forest on executors and collect its nodes (bounded by trees * 2 * subsample).
+
+    A row's identity is its device, timestamp and run, where present, and its metrics.
+    """
     names = [f"_f{i}" for i in range(len(metrics))]
+    identity = [c for c in ("device", "timestamp", "ingest_run_id") if c in df.columns]
+    rows = df.select(*_features(df, metrics), *identity)
+    # A sketch of fixed size, the same for every partitioning.
+    distinct = rows.agg(F.approx_count_distinct(F.xxhash64(*rows.columns), 0.01)).first()[0]
 
     def build(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
         nodes = grow(int(key[0]), sample[names].to_numpy(dtype=float), seed)
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
 
-    sampled = _subsamples(df.select(*_features(df, metrics)), rows, trees, seed)
+    sampled = _subsamples(rows, distinct, trees, subsample, seed).select("tree", *names)
     nodes = sampled.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
-    return Forest(nodes, min(SUBSAMPLE, rows))
+    return Forest(nodes, min(subsample, distinct))
 
 
 def score_rows(df: DataFrame, metrics: list[str], forest: Forest) -> DataFrame:
@@ -153,7 +159,7 @@ def score_rows(df: DataFrame, metrics: list[str], forest: Forest) -> DataFrame:
 
 def detect_isolation_forest(df: DataFrame, metrics: list[str],
                             contamination: float = CONTAMINATION, seed: int = FOREST_SEED,
-                            limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+                            trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
     """Events for the `contamination` share of rows that are easiest to isolate.
 
     One model for the whole frame; fewer than ten rows give no events. The event's score is
@@ -163,14 +169,14 @@ def detect_isolation_forest(df: DataFrame, metrics: list[str],
     rows = df.count()
     if rows < FOREST_MIN_ROWS:
         return spark.createDataFrame([], DETECTION_SCHEMA)
-    forest = fit_forest(df, metrics, seed, rows=rows)
+    forest = fit_forest(df, metrics, seed, trees, subsample)
     # Scored once and written down: the cut-off needs several looks at the scores.
     scored = stage(score_rows(
         df.selectExpr("device", "timestamp", *lineage(df), *metrics), metrics, forest
     ).drop(*metrics), "isolation-scores")
     cut = grouped_statistics(
         scored.withColumnRenamed("isolation_score", "score"), [], ["score"],
-        [1.0 - contamination], limits).frame.select(F.col("score").q[0]).scalar()
+        [1.0 - contamination]).select(F.col("score").q[0]).scalar()
     past = F.col("isolation_score") - F.col("_cut")
     return scored.withColumn("_cut", cut).where(past > 0).select(
         "device", "timestamp",

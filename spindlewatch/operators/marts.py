@@ -11,7 +11,6 @@ from spindlewatch.functions.quantiles import grouped_statistics
 from spindlewatch.functions.rounding import reported
 from spindlewatch.operators.runs import count_where
 from spindlewatch.schema import NO_ANOMALIES, UNKNOWN_WORKLOAD
-from spindlewatch.session import DEFAULT_LIMITS, Limits
 
 TIMELINE_COLUMNS = [
     "device", "timestamp", "metric_name", "detector_type", "severity", "anomaly_score",
@@ -48,11 +47,10 @@ def _zero_when_absent(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in names})
 
 
-def device_overview(curated: DataFrame, events: DataFrame,
-                    limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def device_overview(curated: DataFrame, events: DataFrame) -> DataFrame:
     """One row per device: means, tail latencies, dominant workload and event counts."""
     return _with_event_counts(_null_safe_left(
-        _device_means(curated), _tail_latency(curated, limits), ["device"]), events)
+        _device_means(curated), _tail_latency(curated), ["device"]), events)
 
 
 def device_overview_basic(curated: DataFrame, events: DataFrame) -> DataFrame:
@@ -72,10 +70,10 @@ def _device_means(curated: DataFrame) -> DataFrame:
     )
 
 
-def _tail_latency(curated: DataFrame, limits: Limits) -> DataFrame:
-    stats = grouped_statistics(curated, ["device"], ["avg_latency_ms"], [0.95, 0.99], limits)
+def _tail_latency(curated: DataFrame) -> DataFrame:
+    stats = grouped_statistics(curated, ["device"], ["avg_latency_ms"], [0.95, 0.99])
     q = F.col("avg_latency_ms").q
-    return stats.frame.select("device", q[0].alias("p95_latency_ms"), q[1].alias("p99_latency_ms"))
+    return stats.select("device", q[0].alias("p95_latency_ms"), q[1].alias("p99_latency_ms"))
 
 
 def _with_event_counts(overview: DataFrame, events: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from spindlewatch.functions.quantiles import grouped_statistics, without_nan
 from spindlewatch.functions.rounding import reported
 from spindlewatch.operators.detect import with_sample_context
 from spindlewatch.operators.runs import count_where
-from spindlewatch.session import DEFAULT_LIMITS, Limits
 
 # --- Fixed values: the columns each profile looks at ---
 DESCRIBED = [
@@ -60,13 +59,12 @@ def _rows(df: DataFrame, structs: list[str]) -> DataFrame:
     return df.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def describe(df: DataFrame, columns: list[str] | None = None,
-             limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and upper percentiles, one row per column."""
     columns = [c for c in (columns or DESCRIBED) if c in df.columns]
     # The extremes are the percentiles 0 and 1, and the sample deviation follows from the
     # population one, so one set of statistics serves every figure.
-    stats = grouped_statistics(df, [], columns, [0.0, *QUANTILES, 1.0], limits).frame
+    stats = grouped_statistics(df, [], columns, [0.0, *QUANTILES, 1.0])
     last = len(QUANTILES) + 1
     return _rows(stats, [
         f"named_struct('metric_name', '{c}', 'count', {c}.n, 'mean', {c}.mean, "
@@ -110,11 +108,10 @@ def null_and_distinct(df: DataFrame, error: float | None = None) -> DataFrame:
         "n_distinct", F.coalesce("n_distinct", F.lit(0))).orderBy(F.desc("null_pct"), "column_name")
 
 
-def quantile_table(df: DataFrame, columns: list[str] | None = None,
-                   limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def quantile_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per quantile, one column per metric."""
     columns = columns or QUANTILE_METRICS
-    stats = grouped_statistics(df, [], columns, QUANTILES, limits).frame
+    stats = grouped_statistics(df, [], columns, QUANTILES)
     return _rows(stats, [
         f"named_struct('quantile', {p}D, " + ", ".join(f"'{c}', {c}.q[{i}]" for c in columns) + ")"
         for i, p in enumerate(QUANTILES)])
@@ -162,10 +159,9 @@ def histogram(df: DataFrame, column: str = "avg_latency_ms", bins: int = HISTOGR
         "coalesce(counts[bin], 0L) AS n").orderBy("bin")
 
 
-def above_p99(df: DataFrame, column: str = "avg_latency_ms",
-              limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def above_p99(df: DataFrame, column: str = "avg_latency_ms") -> DataFrame:
     """Rows above the column's overall 99th percentile; NaN counts as missing."""
-    stats = grouped_statistics(df, [], [column], [0.99], limits).frame
+    stats = grouped_statistics(df, [], [column], [0.99])
     high = F.col(column) > stats.select(F.col(column).q[0]).scalar()
     return df.where(high & ~F.isnan(F.col(column))).select(*SLOWEST_COLUMNS)
 

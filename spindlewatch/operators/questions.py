@@ -14,7 +14,6 @@ from spindlewatch.functions.quantiles import grouped_statistics
 from spindlewatch.functions.rounding import reported
 from spindlewatch.functions.rules import severity_rank
 from spindlewatch.operators.runs import count_where, only_latest
-from spindlewatch.session import DEFAULT_LIMITS, Limits
 
 # --- Fixed values: words used in answers ---
 BUSINESS_HOURS = (9, 17)
@@ -135,10 +134,10 @@ def critical_share(events: DataFrame, patterns: tuple[str, ...] = ("write_heavy"
     ).orderBy(F.desc("critical_pct"), "workload_pattern")
 
 
-def score_p95(events: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def score_p95(events: DataFrame) -> DataFrame:
     """95th percentile of the event score per device."""
-    stats = grouped_statistics(events, ["device"], ["anomaly_score"], [0.95], limits)
-    return stats.frame.select(
+    stats = grouped_statistics(events, ["device"], ["anomaly_score"], [0.95])
+    return stats.select(
         "device", reported(F.col("anomaly_score").q[0], 3).alias("p95_score")
     ).orderBy(F.desc("p95_score"), "device")
 

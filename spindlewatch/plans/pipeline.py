@@ -16,7 +16,6 @@ from spindlewatch.operators import marts, quality, summary
 from spindlewatch.operators.detect import detect_combined
 from spindlewatch.operators.runs import latest_run, latest_runs
 from spindlewatch.schema import CURATED_SCHEMA, EVENT_SCHEMA, RAW_SCHEMA
-from spindlewatch.session import DEFAULT_LIMITS, Limits
 from spindlewatch.sources.logs import raw_rows, with_lineage
 from spindlewatch.sources.tables import (
     export_dataset, read_run, read_table, replace_table, write_runs,
@@ -33,7 +32,6 @@ class Warehouse:
 
     spark: SparkSession
     root: str
-    limits: Limits = DEFAULT_LIMITS
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -80,15 +78,15 @@ def curate(warehouse: Warehouse, run: str | None = None) -> str | None:
 def detect(warehouse: Warehouse, run: str | None = None) -> str | None:
     """Find events for a run, the newest unless given."""
     run = run or _newest(warehouse.curated())
-    events = detect_combined(warehouse.curated(run), limits=warehouse.limits)
+    events = detect_combined(warehouse.curated(run))
     write_runs(events, warehouse.path("anomaly_events"))
     return run
 
 
-def build_marts(curated: DataFrame, events: DataFrame, limits: Limits = DEFAULT_LIMITS) -> dict[str, DataFrame]:
+def build_marts(curated: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
     """The five dashboard tables."""
     return {
-        "device_overview": marts.device_overview(curated, events, limits),
+        "device_overview": marts.device_overview(curated, events),
         "anomaly_timeline": marts.anomaly_timeline(events),
         "root_cause_summary": marts.root_cause_summary(events),
         "device_run_summary": marts.device_run_summary(curated, events),
@@ -101,7 +99,7 @@ def publish(warehouse: Warehouse, export_folder: str, run: str | None = None) ->
     curated, events = warehouse.curated(run), warehouse.events(run)
     if curated.isEmpty() or events.isEmpty():
         raise ValueError(f"no curated samples or no events for run {run}")
-    built = build_marts(curated, events, warehouse.limits)
+    built = build_marts(curated, events)
     quality.enforce(quality.union_checks(*[
         quality.check_mart(built[name].limit(0), name) for name in MART_NAMES]))
     for name in MART_NAMES:

@@ -1,28 +1,10 @@
-"""Session set-up, the shared scratch folder, and the size limits plans are checked against."""
+"""Session set-up and the shared scratch folder."""
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-
-@dataclass(frozen=True)
-class Limits:
-    """Sizes up to which the short plan is used; beyond them the distributed one takes over.
-
-    percentile_rows    rows whose values `percentile` may hold in its per-group maps
-    broadcast_groups   groups whose statistics may be broadcast (well under 1 KB each)
-    window_rows        rows one window partition may hold before it is cut into time chunks
-    """
-
-    percentile_rows: int = 1_000_000
-    broadcast_groups: int = 50_000
-    window_rows: int = 250_000
-
-
-DEFAULT_LIMITS = Limits()
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "spindlewatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,37 +53,3 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@dataclass(frozen=True)
-class Footprint:
-    """Measured size of a frame over some grouping columns."""
-
-    rows: int
-    groups: int
-    largest: int
-
-
-def footprint(df: DataFrame, keys: list[str]) -> Footprint:
-    """Count rows, groups and the largest group; reads only the key columns."""
-    if not keys:
-        n = df.count()
-        return Footprint(n, 1, n)
-    row = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.sum("n").alias("rows"), F.count("n").alias("groups"), F.max("n").alias("largest"))
-        .first()
-    )
-    return Footprint(row["rows"] or 0, row["groups"], row["largest"] or 0)
-
-
-def join_statistics(df: DataFrame, stats: DataFrame, keys: list[str], groups: int,
-                    limits: Limits = DEFAULT_LIMITS, how: str = "inner") -> DataFrame:
-    """Join per-group statistics onto rows: broadcast when the group count was measured small.
-
-    Otherwise a shuffle join, where AQE splits the partitions of hot groups.
-    """
-    if groups <= limits.broadcast_groups:
-        stats = F.broadcast(stats)
-    return df.join(stats, keys, how)

@@ -46,10 +46,6 @@ def read_feed(spark: SparkSession, folder: str) -> DataFrame:
     }
     events = spark.read.parquet(f"{folder}/events.parquet").select(
         "ts", "value", "event_type", "props", "user_id")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        # A table too small to give every core a split; its few rows are spread by hand.
-        events = events.repartition(cores, "ts", "user_id")
     return (
         events.selectExpr("ts", "value", "event_type", "CAST(get_json_object(props, '$.k') AS DOUBLE) AS k",
                     f"{slot(DEVICES)} AS device", f"CAST({slot(SLOWNESS)} AS DOUBLE) AS f")
