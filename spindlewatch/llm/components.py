@@ -58,19 +58,20 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
          needed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of the nodes whose pairs share a key and pass `verify`.
 
-    postings   (key, node), each pair once
+    postings   (key, node); pairs may repeat. Read twice: it should be cheap, as a staged table is
     verify     takes distinct pairs (a, b), a < b, and returns those that are linked
     needed     (node, least): a pair is verified once it shares the smaller `least` of its two
     Returns (node, component) of linked nodes and the verified links (a, b).
 
     Pairs within a key are never all made. First every node is tried against one other: of the
-    smallest nodes of its keys, the one that it shares most keys with. Then only nodes outside a key's largest component are paired, with
-    the nodes of the key in other components: pairs that are already connected need no test, and
-    every other pair that shares a key is counted over all keys it shares.
+    smallest nodes of its keys, the one that it shares most keys with. Then only nodes outside a
+    key's largest component are paired, with the nodes of the key in other components: pairs that
+    are already connected need no test, and every other pair that shares a key is counted over all
+    keys it shares.
     """
-    heads = (postings.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select("key", "head"))
-    held = stage(postings.join(heads, "key"), "shared-keys")
+    heads = stage(postings.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"))
+                  .filter("head < last").select("key", "head"), "heads")
+    held = stage(may_hold(postings, "key", heads.select("key")).distinct().join(heads, "key"), "shared-keys")
     best = (held.filter("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
             .groupBy(F.col("node").alias("b")).agg(F.max_by("head", "n").alias("a"), F.max("n").alias("shared")))
     tried = stage(_enough(best, needed).select("a", "b"), "tried")
@@ -105,7 +106,8 @@ def may_hold(df: DataFrame, column: str, keys: DataFrame, words: int = FILTER_WO
     """Rows of `df` whose `column` may be among the one column of `keys`: none of those is lost.
 
     A bit table of fixed size, `words` rows of 64 bits, is broadcast and drops most other rows
-    before they are shuffled. With more keys than bits it only drops less.
+    before they are shuffled. With more keys than bits it only drops less. Follow it by an inner
+    join: the optimizer moves a semi join ahead of the filter, which then saves no shuffle.
     """
     def place(c):
         mixed = F.xxhash64(c)

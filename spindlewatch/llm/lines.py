@@ -2,15 +2,20 @@
 
 A line's shingles are 12 characters long and start at the words of the line, and at every twelfth
 character inside a longer word, so each character is covered and a change touches few of them.
-Their hashes give `rows * bands / 2` minima. A band is `rows` of them, and each minimum is in two
-bands; two bands share one minimum at most. Lines that agree in a whole band become candidates:
-with 4 rows and 10 bands about 99.5 % of the pairs whose similarity is 0.8, and more above. Candidates are verified by the exact Jaccard similarity of their shingle sets, and
-linked lines are joined by distributed union-find. Each component keeps one line: that of the
+Their hashes give `rows * bands / 2` minima, under as many rotations of the order of hashes: the
+minimum that starts the order at a mark is the first hash at or above the mark, around the ring.
+So one sort gives all minima, and two lines agree in one with a probability of their similarity. A
+band is `rows` of them, and each minimum is in two bands; two bands share one minimum at most.
+Lines that agree in a whole band become candidates: with 4 rows and 10 bands about 99.5 % of the
+pairs whose similarity is 0.8, and more above. Candidates are verified by the exact Jaccard
+similarity of their shingle sets, and linked lines are joined by distributed union-find. Each component keeps one line: that of the
 smallest doc_id, and there the first. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spindlewatch.llm.components import link, may_hold
@@ -37,6 +42,36 @@ def shingles(line: Column) -> Column:
         trimmed(line), F.lit(rf"(?=(\S.{{0,{WIDTH - 1}}}))\S{{1,{WIDTH}}}\s*"), F.lit(1)), lambda s: F.xxhash64(s))
 
 
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), where `value` is computed once though functions over arrays use it many times."""
+    return F.transform(F.array(value), make)[0]
+
+
+def minima(hashes: Column, count: int) -> Column:
+    """The first hash after each of `count` marks, around the ring; `hashes` is not empty.
+
+    Marks are sorted among the hashes: a mark's place, less the marks before it, is that of its
+    first hash among the hashes alone. Short functions over arrays: a column per minimum makes
+    generated code too long to be compiled.
+    """
+    marks = F.array(*[F.lit(-(1 << 63) + i * ((1 << 64) // count)).cast("long") for i in range(count)])
+
+    def follow(p: Column) -> Column:
+        return F.transform(marks, lambda m, i: F.get(p["own"], (
+            (F.array_position(p["all"], m) - 1 - i) % F.size(p["own"])).cast("int")))
+
+    return once(F.struct(F.sort_array(hashes).alias("own"), F.sort_array(F.concat(hashes, marks)).alias("all")), follow)
+
+
+def band_keys(hashes: Column, rows: int, bands: int) -> Column:
+    half = bands // 2
+    chosen = [[b * rows + r for r in range(rows)] for b in range(half)]
+    chosen += [[b + r * half for r in range(rows)] for b in range(half)]
+    places = F.array(*[F.array(*map(F.lit, one)) for one in chosen])
+    return once(minima(hashes, rows * half), lambda least: F.transform(
+        places, lambda band: F.xxhash64(band, F.transform(band, lambda i: F.get(least, i)))))
+
+
 def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, line_no, line) of the lines that are not blank; rows with a null id are left out."""
     return (docs.filter(F.col(doc_id).isNotNull())
@@ -51,21 +86,16 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
     Lines that are equal have one key and need no link; keys without a link are not listed.
     """
     lines = split_lines(docs, doc_id, text)
-    hashed = lines.select(line_key(F.col("line")).alias("k"), shingles(F.col("line")).alias("s"))
-    half = bands // 2
-    places = range(rows * half)
-    per_line = hashed.select("k", *[F.array_min(F.transform("s", lambda x, i=i: F.hash(x, F.lit(i)))).alias(f"m{i}")
-                                    for i in places])
-    minima = per_line.groupBy("k").agg(*[F.min(f"m{i}").alias(f"m{i}") for i in places])  # equal lines are one
-    chosen = [[b * rows + r for r in range(rows)] for b in range(half)]
-    chosen += [[b + r * half for r in range(rows)] for b in range(half)]
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in one]) for b, one in enumerate(chosen)])
-    postings = minima.select(F.explode(keys).alias("key"), F.col("k").alias("node"))
+    hashed = lines.select(line_key(F.col("line")).alias("node"), shingles(F.col("line")).alias("s"))
+    # The hashes are named twice below, so the optimizer keeps them a column of their own.
+    banded = stage(hashed.select("node", band_keys(F.col("s"), rows, bands).alias("keys")), "band-keys")
+    postings = banded.select(F.explode("keys").alias("key"), "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+        nodes = stage(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "nodes")
         keyed = lines.select(line_key(F.col("line")).alias("k"), "line")
-        sets = stage(may_hold(keyed, "k", nodes.select("k")).join(nodes, "k", "left_semi").groupBy("k").agg(F.any_value("line").alias("line"))
+        # An inner join: the optimizer would put a semi join ahead of the filter.
+        sets = stage(may_hold(keyed, "k", nodes).join(nodes, "k").groupBy("k").agg(F.any_value("line").alias("line"))
                      .select("k", F.array_distinct(shingles(F.col("line"))).alias("s")), "line-sets")
         both = (pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
                 .join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b"))
@@ -80,15 +110,18 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     found = stage(line_classes(docs, doc_id, text, **options)[0], "line-classes")
     lines = stage(split_lines(docs, doc_id, text)
                   .select("doc_id", "line_no", line_key(F.col("line")).alias("k")), "line-keys")
-    classed = lines.join(found, F.col("k") == F.col("node"), "left").select(
-        "doc_id", "line_no", F.coalesce("component", "k").alias("c"))
-    # Smallest document first, then its first line: both are plain minima, kept in hash tables.
-    in_doc = classed.groupBy("c", "doc_id").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n"))
-    keep = (in_doc.groupBy("c").agg(F.min("doc_id").alias("keep_doc"), F.min_by("line_no", "doc_id").alias("keep_line"),
-                                    F.sum("n").alias("n"))
-            .filter("n > 1").drop("n"))
-    gone = classed.join(keep, "c").filter(~((F.col("doc_id") == F.col("keep_doc"))
-                                            & (F.col("line_no") == F.col("keep_line"))))
+    # A key that is neither repeated nor linked loses nothing, and most keys end here.
+    per_key = lines.groupBy("k").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    classed = stage(per_key.join(found.withColumnRenamed("node", "k"), "k", "left")
+                    .filter("n > 1 or component is not null")
+                    .select("k", F.coalesce("component", "k").alias("c"), "first_doc", "n"), "key-classes")
+    keep = (classed.groupBy("c").agg(F.min("first_doc").alias("keep_doc"), F.sum("n").alias("n"))
+            .filter("n > 1").select("c", "keep_doc"))
+    losing = stage(classed.select("k", "c").join(keep, "c"), "losing-keys")
+    held = stage(may_hold(lines, "k", losing.select("k")).join(losing, "k")
+                 .select("doc_id", "line_no", "c", "keep_doc"), "losing-lines")
+    keep_line = held.filter("doc_id = keep_doc").groupBy("c").agg(F.min("line_no").alias("keep_line"))
+    gone = held.join(keep_line, "c").filter("doc_id <> keep_doc or line_no <> keep_line")
     return gone.groupBy(F.col("doc_id").alias(doc_id)).agg(F.collect_set("line_no").alias("gone"))
 
 
@@ -104,7 +137,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_gone", "gone", "gone_doc")]
     lines = F.split(text, "\n")
     numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.array_join(F.transform(numbers, lambda i: lines[i]), "\n")
+    kept = once(lines, lambda whole: F.array_join(F.transform(numbers, lambda i: whole[i]), "\n"))
     return (docs.select(*names).join(gone, F.col(doc_id) == F.col("gone_doc"), "left")
             .select(*[F.when(F.col("gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c)
                       for c in names],

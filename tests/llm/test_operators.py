@@ -268,6 +268,29 @@ def test_line_dedup_keeps_one_line_per_component(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_minima_are_those_of_rotated_orders(spark):
+    rng = random.Random(3)
+    sets = [[rng.randrange(-2 ** 63, 2 ** 63) for _ in range(n)] for n in (1, 2, 5, 40, 300)] + [[7, 7, -(2 ** 63)]]
+    df = spark.createDataFrame(list(enumerate(sets)), "i int, s array<long>")
+    for row in df.select("s", lines.minima(F.col("s"), 20).alias("m")).collect():
+        marks = [-(1 << 63) + i * ((1 << 64) // 20) for i in range(20)]
+        assert row["m"] == [min(row["s"], key=lambda x: (x - m) % (1 << 64)) for m in marks]
+
+
+def test_similar_lines_are_found(spark):
+    rng = random.Random(4)
+    rows = []
+    for pair in range(400):  # pairs of lines of 6 to 60 words that differ in some
+        words = [f"w{rng.randrange(100000)}" for _ in range(rng.randrange(6, 60))]
+        other = [f"x{rng.randrange(100000)}" if rng.random() < 0.06 else w for w in words]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(r[0]) for r in df.orderBy("doc_id").select(lines.shingles(F.col("text"))).collect()]
+    near = {i + 1 for i in range(0, 800, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    gone = {r["doc_id"] for r in lines.dedup_lines(df).filter("n_gone > 0").collect()}
+    assert len(near) > 100 and gone <= near and len(gone) >= 0.97 * len(near)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     connection = duckdb.connect()
