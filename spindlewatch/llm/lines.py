@@ -47,28 +47,37 @@ def once(value: Column, make: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), make)[0]
 
 
-def minima(hashes: Column, count: int) -> Column:
-    """The first hash after each of `count` marks, around the ring; `hashes` is not empty.
+def with_rings(hashed: DataFrame, count: int) -> DataFrame:
+    """`hashed`, its array s replaced by `own`, sorted, and `ring`, sorted with `count` marks.
 
-    Marks are sorted among the hashes: a mark's place, less the marks before it, is that of its
-    first hash among the hashes alone. Short functions over arrays: a column per minimum makes
-    generated code too long to be compiled.
+    Both are columns of their own, as they are sorted in compiled code only outside of a function
+    over arrays. The optimizer leaves them apart, since `minima` names `own` twice.
     """
-    marks = F.array(*[F.lit(-(1 << 63) + i * ((1 << 64) // count)).cast("long") for i in range(count)])
+    return hashed.select(*[c for c in hashed.columns if c != "s"], F.sort_array("s").alias("own"),
+                         F.sort_array(F.concat("s", marks(count))).alias("ring"))
 
-    def follow(p: Column) -> Column:
-        return F.transform(marks, lambda m, i: F.get(p["own"], (
-            (F.array_position(p["all"], m) - 1 - i) % F.size(p["own"])).cast("int")))
 
-    return once(F.struct(F.sort_array(hashes).alias("own"), F.sort_array(F.concat(hashes, marks)).alias("all")), follow)
+def marks(count: int) -> Column:
+    return F.array(*[F.lit(-(1 << 63) + i * ((1 << 64) // count)).cast("long") for i in range(count)])
 
 
-def band_keys(hashes: Column, rows: int, bands: int) -> Column:
+def minima(count: int) -> Column:
+    """From `own` and `ring`: the first hash after each of `count` marks, around the ring.
+
+    A mark's place in `ring`, less the marks before it, is that of its first hash in `own`. Short
+    functions over arrays: a column per minimum makes generated code too long to be compiled.
+    """
+    return F.transform(marks(count), lambda m, i: F.get("own", (
+        (F.array_position("ring", m) - 1 - i) % F.size("own")).cast("int")))
+
+
+def band_keys(rows: int, bands: int) -> Column:
+    """From `own` and `ring`: a key per band."""
     half = bands // 2
     chosen = [[b * rows + r for r in range(rows)] for b in range(half)]
     chosen += [[b + r * half for r in range(rows)] for b in range(half)]
     places = F.array(*[F.array(*map(F.lit, one)) for one in chosen])
-    return once(minima(hashes, rows * half), lambda least: F.transform(
+    return once(minima(rows * half), lambda least: F.transform(
         places, lambda band: F.xxhash64(band, F.transform(band, lambda i: F.get(least, i)))))
 
 
@@ -79,17 +88,24 @@ def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             .filter(trimmed(F.col("line")) != ""))
 
 
-def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS,
-                 bands: int = BANDS, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+def banded_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS,
+                 bands: int = BANDS) -> DataFrame:
+    """(doc_id, line_no, k, keys), staged: the key of every line, and those of its bands."""
+    hashed = split_lines(docs, doc_id, text).select(
+        "doc_id", "line_no", line_key(F.col("line")).alias("k"), shingles(F.col("line")).alias("s"))
+    return stage(with_rings(hashed, rows * bands // 2)
+                 .select("doc_id", "line_no", "k", band_keys(rows, bands).alias("keys")), "banded-lines")
+
+
+def line_classes(docs: DataFrame, banded: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """Components of similar lines (node, component) by line key, and the links between keys.
 
-    Lines that are equal have one key and need no link; keys without a link are not listed.
+    banded is what `banded_lines` makes of docs. Lines that are equal have one key and need no link;
+    keys without a link are not listed.
     """
     lines = split_lines(docs, doc_id, text)
-    hashed = lines.select(line_key(F.col("line")).alias("node"), shingles(F.col("line")).alias("s"))
-    # The hashes are named twice below, so the optimizer keeps them a column of their own.
-    banded = stage(hashed.select("node", band_keys(F.col("s"), rows, bands).alias("keys")), "band-keys")
-    postings = banded.select(F.explode("keys").alias("key"), "node")
+    postings = banded.select(F.explode("keys").alias("key"), F.col("k").alias("node"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = stage(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "nodes")
@@ -105,11 +121,12 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
     return link(postings, verify)
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS,
+                  bands: int = BANDS, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, gone): numbers of the lines that each document loses, for documents that lose any."""
-    found = stage(line_classes(docs, doc_id, text, **options)[0], "line-classes")
-    lines = stage(split_lines(docs, doc_id, text)
-                  .select("doc_id", "line_no", line_key(F.col("line")).alias("k")), "line-keys")
+    banded = banded_lines(docs, doc_id, text, rows, bands)
+    found = stage(line_classes(docs, banded, doc_id, text, similar)[0], "line-classes")
+    lines = banded.select("doc_id", "line_no", "k")
     # A key that is neither repeated nor linked loses nothing, and most keys end here.
     per_key = lines.groupBy("k").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
     classed = stage(per_key.join(found.withColumnRenamed("node", "k"), "k", "left")

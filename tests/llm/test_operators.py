@@ -272,7 +272,8 @@ def test_minima_are_those_of_rotated_orders(spark):
     rng = random.Random(3)
     sets = [[rng.randrange(-2 ** 63, 2 ** 63) for _ in range(n)] for n in (1, 2, 5, 40, 300)] + [[7, 7, -(2 ** 63)]]
     df = spark.createDataFrame(list(enumerate(sets)), "i int, s array<long>")
-    for row in df.select("s", lines.minima(F.col("s"), 20).alias("m")).collect():
+    for row in lines.with_rings(df.withColumn("whole", F.col("s")), 20).select(
+            F.col("whole").alias("s"), lines.minima(20).alias("m")).collect():
         marks = [-(1 << 63) + i * ((1 << 64) // 20) for i in range(20)]
         assert row["m"] == [min(row["s"], key=lambda x: (x - m) % (1 << 64)) for m in marks]
 
