@@ -188,7 +188,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     classes = stage(plain.filter("n_shingles > 0 and doc_id is not null")
                     .groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep")), "classes")
     # One row per class; a repeated row of the representative adds nothing.
-    first = made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    first = stage(made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+                  .select("doc_id", "least", "prefix"), "representatives")
     postings = first.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("node"))
     needed = first.groupBy(F.col("doc_id").alias("node")).agg(F.min("least").alias("least"))
 
