@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each staged as Parquet.
 
 language    documents whose language is not recognised go
-lines       every line is kept once, fuzzy copies included; a document of which nothing is left,
-            or under a fifth of its characters, is a copy and goes
+lines       every line is kept once, fuzzy copies included; a document of which nothing but white
+            space is left goes
 copies      one document of each group of similar documents stays
 benchmark   documents that hold a benchmark passage go
 mixing      each document gets a rate and the copies an epoch takes; rate 0 goes
@@ -17,7 +17,6 @@ from spindlewatch.llm.common import table
 from spindlewatch.llm.queries import TARGETS
 from spindlewatch.session import stage
 
-LEAST_LEFT = 0.2
 # Similar documents: five words, a similarity of 0.8.
 NEAR = {"size": 5, "numerator": 80, "denominator": 100}
 ORACLE_SQL = None
@@ -30,9 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines, n_chars with them; documents that lost none are as before."""
-    done = lines.dedup_lines(docs.withColumn("whole_chars", F.length("text")))
+    done = lines.dedup_lines(docs)
     left = F.length(F.regexp_replace("text", r"\s+", ""))
-    kept = done.filter((F.col("n_gone") == 0) | ((left > 0) & (F.length("text") >= LEAST_LEFT * F.col("whole_chars"))))
+    kept = done.filter((F.col("n_gone") == 0) | (left > 0))
     length = F.when(F.col("n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", length).select(*docs.columns)
 
