@@ -10,9 +10,10 @@ ends at the token itself. Windows overlap: each gives context to the tokens of i
 and scores only those, so every token is scored once. The next id is drawn in two steps, its group
 and its place in the group, each a softmax over 32.
 
-Training: every training document gives windows to learn from, one for each `STRIDE` of its
-tokens. The model is warmed up on a bounded sample of windows, then tuned on all windows by tasks
-that start from the same weights; the tuned weights are averaged by token counts, in Spark.
+Training: the model is warmed up on a bounded sample of windows, drawn from one for each `STRIDE`
+tokens of every training document. Then it is tuned on all training documents, cut into consecutive
+windows so that every token is a target, by tasks that start from the same weights; the tuned
+weights are averaged by window counts, in Spark.
 
 Word counts, subword counts and the vocabulary cover all training documents. Documents are
 tokenised once, in groups of bounded size, into a staged table: a row per group, with its distinct
@@ -43,6 +44,7 @@ HALF = 16
 REACH = 2 * HALF
 STRIDE = 4096
 GROUP_BYTES = 6 << 20
+BLOCK_WINDOWS = 1 << 15
 WARM_WINDOWS = 20_000
 PARTS = ("own", "query", "key", "value", "bias", "group", "group0", "member", "member0")
 
@@ -103,6 +105,13 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 class Scorer:
     """The trained weights, laid out for scoring."""
 
@@ -162,23 +171,29 @@ def gradient(model: dict, ids: np.ndarray) -> dict[str, np.ndarray]:
     hidden3, (safe, q, k, v, a, back, _) = _attend(model, inputs, 0)
     hidden = hidden3.reshape(-1, DIM)
     live = np.flatnonzero(target >= 0)
+    live = live[np.argsort(target[live] // SIDE, kind="stable")]
     g = {name: np.zeros_like(x) for name, x in model.items()}
     d_hidden = np.zeros_like(hidden)
-    group, place = target[live] // SIDE, target[live] % SIDE
+    group, place, rows = target[live] // SIDE, target[live] % SIDE, np.arange(len(live))
     scale = np.float32(1 / max(len(live), 1))
-    d = np.exp(_log_softmax(hidden[live] @ model["group"] + model["group0"]))
-    d[np.arange(len(live)), group] -= 1
+    h = hidden[live]
+    d = _softmax(h @ model["group"] + model["group0"])
+    d[rows, group] -= 1
+    d *= scale
+    g["group"], g["group0"] = h.T @ d, d.sum(0)
+    d_h = d @ model["group"].T
+    edges = np.searchsorted(group, np.arange(SIDE + 1))
+    parts = [(one, slice(edges[one], edges[one + 1])) for one in range(SIDE) if edges[one] < edges[one + 1]]
+    z = model["member0"][group]
+    for one, at in parts:
+        z[at] += h[at] @ model["member"][one]
+    d = _softmax(z)
+    d[rows, place] -= 1
     d *= scale
-    g["group"], g["group0"] = hidden[live].T @ d, d.sum(0)
-    d_hidden[live] = d @ model["group"].T
-    for one in np.unique(group):
-        at = np.flatnonzero(group == one)
-        rows = live[at]
-        d = np.exp(_log_softmax(hidden[rows] @ model["member"][one] + model["member0"][one]))
-        d[np.arange(len(at)), place[at]] -= 1
-        d *= scale
-        g["member"][one], g["member0"][one] = hidden[rows].T @ d, d.sum(0)
-        d_hidden[rows] += d @ model["member"][one].T
+    for one, at in parts:
+        g["member"][one], g["member0"][one] = h[at].T @ d[at], d[at].sum(0)
+        d_h[at] += d[at] @ model["member"][one].T
+    d_hidden[live] = d_h
     d_pre = (d_hidden * (1 - hidden ** 2)).reshape(hidden3.shape)
     d_a = np.matmul(d_pre, v.transpose(0, 2, 1))
     d_v = np.matmul(a.transpose(0, 2, 1), d_pre)
@@ -187,10 +202,15 @@ def gradient(model: dict, ids: np.ndarray) -> dict[str, np.ndarray]:
     causal = back >= 0
     g["bias"] = np.bincount(back[causal], per_back[causal], REACH).astype(np.float32)
     d_score *= np.float32(DIM ** -0.5)
-    flat = safe.ravel()
-    for name, x in (("own", d_pre), ("value", d_v), ("query", np.matmul(d_score, k)),
-                    ("key", np.matmul(d_score.transpose(0, 2, 1), q))):
-        np.add.at(g[name], flat, x.reshape(-1, DIM))
+    # Gradients of the same id are summed, for all four tables at once.
+    names = ("own", "value", "query", "key")
+    rows = np.concatenate([d_pre, d_v, np.matmul(d_score, k), np.matmul(d_score.transpose(0, 2, 1), q)], axis=2)
+    order = np.argsort(safe.ravel(), kind="stable")
+    flat = safe.ravel()[order]
+    first = np.flatnonzero(np.diff(flat, prepend=-1))
+    sums = np.add.reduceat(rows.reshape(-1, len(names) * DIM)[order], first, axis=0)
+    for i, name in enumerate(names):
+        g[name][flat[first]] = sums[:, i * DIM:(i + 1) * DIM]
     return g
 
 
@@ -382,17 +402,42 @@ def _spread(ids: np.ndarray, counts: np.ndarray, words: np.ndarray) -> tuple[np.
     return ids[at], n
 
 
+def _subwords(batch: pa.RecordBatch, g: int, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts of a group in a row, how many each text has, and whether it is for training."""
+    words = np.frombuffer(batch.column("ids")[g].as_py(), np.int32)
+    ids, _, counts = vocabulary.encode([b"", *_unpack(batch.column("words")[g].as_py())])
+    ids, n = _spread(ids, counts, words)
+    sizes = np.array(batch.column("sizes")[g].as_py(), np.int64)
+    tokens = np.add.reduceat(n, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.int64)
+    return ids, tokens, np.array(batch.column("trains")[g].as_py(), bool)
+
+
+def consecutive(ids: np.ndarray, tokens: np.ndarray, trains: np.ndarray,
+                most: int = BLOCK_WINDOWS) -> Iterator[np.ndarray]:
+    """Rows of REACH + 1 ids in blocks of `most`; each token of a training text is a target once.
+
+    A row leads with the id before its targets, the end id at the start of a text; negative: no token.
+    """
+    first = (np.cumsum(tokens) - tokens)[trains]
+    size = tokens[trains]
+    count = -(-size // REACH)
+    done = np.cumsum(count)
+    for at in range(0, int(count.sum()), most):
+        row = np.arange(at, min(at + most, done[-1]))
+        text = np.searchsorted(done, row, side="right")
+        start = first[text] + (row - done[text] + count[text]) * REACH
+        place = start[:, None] + np.arange(-1, REACH)
+        out = np.where(place < (first + size)[text][:, None], ids[np.clip(place, 0, len(ids) - 1)], np.int16(-1))
+        out[start == first[text], 0] = END_ID
+        yield out
+
+
 def windows_of(groups: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(place, window): rows of REACH + 1 ids, one for each STRIDE tokens of every training text."""
+    """(place, window) for the warm-up: rows of REACH + 1 ids, one for each STRIDE tokens of every training text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g in range(batch.num_rows):
-                words = np.frombuffer(batch.column("ids")[g].as_py(), np.int32)
-                ids, _, counts = vocabulary.encode([b"", *_unpack(batch.column("words")[g].as_py())])
-                ids, n = _spread(ids, counts, words)
-                sizes = np.array(batch.column("sizes")[g].as_py())
-                trains = batch.column("trains")[g].as_py()
-                tokens = np.add.reduceat(n, np.cumsum(sizes) - sizes) if len(sizes) else []
+                ids, tokens, trains = _subwords(batch, g, vocabulary)
                 out, at = [], 0
                 for size, learn in zip(tokens, trains):
                     if learn:
@@ -423,7 +468,7 @@ def _stacked(batch: pa.RecordBatch) -> np.ndarray:
 
 def fit(groups: DataFrame, vocabulary: Vocabulary, warm: int = WARM_WINDOWS, steps: int = 1500,
         epochs: int = 8) -> dict:
-    """Warm up on `warm` windows, then tune on all windows and average.
+    """Warm up on `warm` windows, then tune on all tokens of the training texts and average.
 
     The warm-up takes `steps` batches, and no more than `epochs` passes: few windows would be
     learned by heart.
@@ -441,20 +486,20 @@ def fit(groups: DataFrame, vocabulary: Vocabulary, warm: int = WARM_WINDOWS, ste
     def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = model, 0
         for batch in batches:
-            if batch.num_rows:
-                data = _stacked(batch)
-                own = train(own, data, max(1, len(data) // 64), 0.002, 2)
-                seen += len(data)
+            for g in range(batch.num_rows):
+                for block in consecutive(*_subwords(batch, g, vocabulary)):
+                    own = train(own, block.astype(np.int64), max(1, len(block) // 64), 0.002, 2)
+                    seen += len(block)
         if seen:
             flat = np.concatenate([own[k].ravel() for k in PARTS]).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))],
                 names=["at", "x", "n"])
 
-    # A bounded number of tasks, each with its share of all windows.
-    spread = windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk", "place")
-    spread = spread.sortWithinPartitions(F.xxhash64("chunk", "place"))
-    merged = (spread.mapInArrow(tune, "at long, x double, n long").groupBy("at")
+    # A bounded number of tasks, since each returns all weights.
+    held = (groups.select("chunk", "trains", "sizes", "ids", "words")
+            .coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    merged = (held.mapInArrow(tune, "at long, x double, n long").groupBy("at")
               .agg((F.sum("x") / F.sum("n")).alias("x")).toArrow())
     flat = np.zeros(sum(x.size for x in model.values()))
     flat[merged.column("at").to_numpy()] = merged.column("x").to_numpy()

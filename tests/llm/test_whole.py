@@ -1,9 +1,17 @@
 """Operators do the whole job: nothing is left out that the plain definition includes."""
 
 import random
+from collections import Counter
+from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from spindlewatch.llm import lm, queries
+from spindlewatch.llm.tokens import encoder
+
+VOCAB = f"{queries.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+
 
 def test_line_dedup_keeps_the_last_copy_of_short_remainders(spark):
     import corpus_pipeline
@@ -13,3 +21,38 @@ def test_line_dedup_keeps_the_last_copy_of_short_remainders(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert got == {1: (common, len(common)), 2: ("only here", 9), 5: (None, None)}
+
+
+def test_every_training_token_is_a_target_once():
+    ids = np.arange(2, 302, dtype=np.int16)
+    tokens, trains = np.array([1, 32, 33, 100, 134]), np.array([True, True, False, True, True])
+    for most in (1, 3, 1 << 15):
+        rows = np.concatenate(list(lm.consecutive(ids, tokens, trains, most)))
+        ends = np.cumsum(tokens)
+        want = np.concatenate([ids[e - n:e] for e, n, t in zip(ends, tokens, trains) if t])
+        assert rows[:, 1:][rows[:, 1:] >= 0].tolist() == want.tolist()
+        lead = {int(ids[e - n]): lm.END_ID for e, n in zip(ends, tokens)}
+        assert all(r[0] == lead.get(int(r[1]), r[1] - 1) for r in rows)
+
+
+def test_tuning_reads_every_training_token(spark, monkeypatch, tmp_path):
+    plain, seen = lm.train, str(tmp_path)
+
+    def noted(model, windows, steps, rate, *rest):
+        if rate < 0.01:  # of the tuning pass; the workers get this function by value
+            np.save(f"{seen}/{uuid4().hex}.npy", windows)
+        return plain(model, windows, 1, rate, *rest)
+
+    monkeypatch.setattr(lm, "train", noted)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "and", "of", "queue"]) for _ in range(n))) for i, n in enumerate((5, 700, 90, 40))]
+    docs = spark.createDataFrame([*rows, (9, None)], "doc_id long, text string").repartition(2)
+    groups = lm.tokenise(docs, F.col("doc_id") != 2, "doc_id", "text", 4)
+    vocabulary = lm.fit_vocabulary(lm.merge_counts(groups, VOCAB, queries.word_pattern(), 4), VOCAB, queries.word_pattern())
+    code = encoder(VOCAB, queries.word_pattern())
+    want = Counter(x for i, t in rows if i != 2 for w in t.split()
+                   for x in vocabulary.ids[code._encode_single_piece(b" " + w.encode())].tolist())
+    want[lm.END_ID] = 4
+    lm.fit(groups, vocabulary, steps=1)
+    got = np.concatenate([np.load(f)[:, 1:].ravel() for f in tmp_path.glob("*.npy")])
+    assert Counter(got[got >= 0].tolist()) == want
