@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, verified, joined into components.
 
-A line's shingles are 12 characters long and start at the words of the line, and at every twelfth
-character inside a longer word, so each character is covered and a change touches few of them.
+A line's shingles are 12 characters long and start at the words of the line, and at every character
+of a word longer than that: in text without blanks, too, a change touches only those around it.
 Their hashes give `rows * bands / 2` minima, under as many rotations of the order of hashes: the
 minimum that starts the order at a mark is the first hash at or above the mark, around the ring.
 So one sort gives all minima, and two lines agree in one with a probability of their similarity. A
@@ -38,8 +38,10 @@ def trimmed(line: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """Hashes of the line's shingles, with repeats."""
-    return F.transform(F.regexp_extract_all(
-        trimmed(line), F.lit(rf"(?=(\S.{{0,{WIDTH - 1}}}))\S{{1,{WIDTH}}}\s*"), F.lit(1)), lambda s: F.xxhash64(s))
+    # A match looks ahead for a shingle and goes on by a whole short word, or one character of a longer one.
+    found = F.regexp_extract_all(trimmed(line), F.lit(
+        rf"(?=((?<!\S)\S.{{0,{WIDTH - 1}}}|\S.{{{WIDTH - 1}}}))(?:(?<!\S)\S{{1,{WIDTH}}}(?!\S)|\S)\s*"), F.lit(1))
+    return F.transform(found, lambda s: F.xxhash64(s))
 
 
 def once(value: Column, make: Callable[[Column], Column]) -> Column:

@@ -1,13 +1,14 @@
 """Operators do the whole job: nothing is left out that the plain definition includes."""
 
 import random
+import re
 from collections import Counter
 from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindlewatch.llm import lm, queries
+from spindlewatch.llm import lines, lm, queries
 from spindlewatch.llm.tokens import encoder
 
 VOCAB = f"{queries.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
@@ -56,3 +57,37 @@ def test_tuning_reads_every_training_token(spark, monkeypatch, tmp_path):
     lm.fit(groups, vocabulary, steps=1)
     got = np.concatenate([np.load(f)[:, 1:].ravel() for f in tmp_path.glob("*.npy")])
     assert Counter(got[got >= 0].tolist()) == want
+
+
+def test_shingles_start_at_words_and_at_every_character_of_long_ones(spark):
+    texts = ["short", "exactly12chr", "a longer line of words", "see 0123456789abcdef twice", "漢字かな交じり文は空白なしで続く。😀🎉と絵文字も", "  ends in thirteenchars ", ""]
+
+    def plain(text):
+        line, out = text.strip(), []
+        for word in re.finditer(r"\S+", line):
+            starts = [word.start()] if len(word[0]) <= 12 else range(word.start(), word.end())
+            out += [line[i:i + 12] for i in starts if i == word.start() or i + 12 <= len(line)]
+        return out
+
+    rows = [(i, t, plain(t)) for i, t in enumerate(texts)]
+    for r in spark.createDataFrame(rows, "i int, t string, want array<string>").select(
+            lines.shingles(F.col("t")).alias("got"), F.transform("want", lambda s: F.xxhash64(s)).alias("want")).collect():
+        assert r["got"] == r["want"]
+
+
+def test_near_lines_without_blanks_are_found(spark):
+    rng = random.Random(6)
+    rows, near = [], set()
+    for pair in range(120):  # Chinese lines, long tokens and spaced lines; one character differs
+        alphabet, n = [("".join(map(chr, range(0x4E00, 0x5200))), 86), ("0123456789abcdef", 300),
+                       ("abcdefghij klmn op", 200)][pair % 3]
+        line = "".join(rng.choices(alphabet, k=n)).replace("  ", " a").strip()
+        at = rng.randrange(1, 12)
+        other = line[:at] + "x" + line[at + pair % 2:]
+        rows += [(2 * pair, line), (2 * pair + 1, other)]
+        a, b = ({t[i:i + 12] for i in range(len(t) - 11)} for t in (line, other))
+        if len(a & b) >= 0.8 * len(a | b):
+            near.add(2 * pair + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r["doc_id"] for r in lines.dedup_lines(df).filter("n_gone > 0").collect()}
+    assert len(near) > 100 and gone <= near and len(gone) >= 0.97 * len(near)
