@@ -61,7 +61,8 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     postings   (key, node); pairs may repeat. Read twice: it should be cheap, as a staged table is
     verify     takes distinct pairs (a, b), a < b, and returns those that are linked
     needed     (node, least): a pair is verified once it shares the smaller `least` of its two
-    Returns (node, component) of linked nodes and the verified links (a, b).
+    Returns (node, component) of linked nodes and verified links (a, b) that span the components; not all
+    links, as connected pairs are not tried.
 
     Pairs within a key are never all made. First every node is tried against one other: of the
     smallest nodes of its keys, the one that it shares most keys with. Then only nodes outside a

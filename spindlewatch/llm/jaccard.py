@@ -10,6 +10,9 @@ The order puts n-grams seen in few documents first, so that passages which many
 are in no prefix. How often an n-gram is seen comes from counts over all documents: within a task
 every n-gram found twice or more is counted, and the counts are summed. They only shape the
 order, held in a table of fixed size, and the estimates: a pair is never lost by them.
+
+Linking finds the components with as few verified pairs as it can. Every link lies inside a component,
+so all links are found afterwards by testing all pairs of each component, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ UNCOUNTED = 0.25  # other documents expected on the list of an n-gram that was n
 LEVEL_BITS = 22
 COUNT_AT = 1 << 21
 NODE_BITS = 23
+BLOCK = 256
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -169,8 +173,9 @@ def _flags(nodes: DataFrame) -> np.ndarray:
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
-                      numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id) per document, and the links (a, b) between classes.
+                      numerator: int = NUMERATOR, denominator: int = DENOMINATOR, count_links: bool = False,
+                      block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, component_id) per document, and all links (a, b) between classes, a < b.
 
     Two documents link when denominator * |intersection| >= numerator * |union| of their n-gram
     sets. component_id is the smallest doc_id that links reach. Documents with equal sets form a
@@ -178,6 +183,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     texts have an empty set and link with nothing. A null doc_id links with nothing and has a null
     component; each such row is returned. Other rows that share a doc_id are one: should their texts
     differ, it has the largest set's size, the smallest component, and links by its greatest text.
+
+    With count_links there is a column n_links too: how many other documents the document links with,
+    those of its own class included; 0 for a null doc_id. Ids whose rows differ count once for each of
+    their classes, and have the largest of their counts.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     level = levels(source, size)
@@ -186,32 +195,130 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                  "summaries")
     plain = made.select("doc_id", "n_shingles", "one", "two")
     classes = stage(plain.filter("n_shingles > 0 and doc_id is not null")
-                    .groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep")), "classes")
+                    .groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_docs")), "classes")
     # One row per class; a repeated row of the representative adds nothing.
     first = stage(made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
                   .select("doc_id", "least", "prefix"), "representatives")
     postings = first.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("node"))
     needed = first.groupBy(F.col("doc_id").alias("node")).agg(F.min("least").alias("least"))
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return (_flagged(source, _flags(nodes)).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+                .groupBy("doc_id").agg(F.max("text").alias("text")))
+
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = stage(_flagged(source, _flags(nodes)).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-                      .groupBy("doc_id").agg(F.max("text").alias("text")), "candidate-texts")
+        texts = stage(texts_of(nodes), "candidate-texts")
         both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
                 .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"))
         return both.mapInArrow(_verifier(size, numerator, denominator), "a long, b long")
 
-    found, links = link(postings, verify, needed)
+    found = stage(link(postings, verify, needed)[0], "linked-nodes")
+    blocks = _blocks(found, classes, texts_of(found.select("node")), block)
+    links = blocks.mapInArrow(_block_links(size, numerator, denominator, False), "a long, b long")
     reached = classes.join(found, F.col("rep") == F.col("node"), "left").select(
-        "n_shingles", "one", "two", F.coalesce("component", "rep").alias("component_id"))
+        "n_shingles", "one", "two", "rep", "n_docs", F.coalesce("component", "rep").alias("component_id"))
+    more = []
+    if count_links:
+        counted = (blocks.mapInArrow(_block_links(size, numerator, denominator, True), "rep long, n long")
+                   .groupBy("rep").agg(F.sum("n").alias("n")))
+        reached = reached.join(counted, "rep", "left").withColumn(
+            "n_links", F.coalesce("n", F.lit(0)) + F.col("n_docs") - 1)
+        more = [F.coalesce(F.max("n_links"), F.lit(0)).cast("long").alias("n_links")]
     placed = (plain.filter("doc_id is not null").join(reached, ["n_shingles", "one", "two"], "left")
               .groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"),
-                                     F.min(F.coalesce("component_id", "doc_id")).alias("component_id")))
+                                     F.min(F.coalesce("component_id", "doc_id")).alias("component_id"), *more))
     nameless = plain.filter("doc_id is null").select(
-        "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+        "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"),
+        *[F.lit(0).cast("long").alias("n_links")][:len(more)])
     return placed.union(nameless), links
 
 
+def _blocks(found: DataFrame, classes: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Rows (component, i, j, part, node, n_docs, text), those of a (component, i, j) in a row.
+
+    A component's nodes are dealt by hash into parts of about `block`; part i meets part j, i <= j.
+    """
+    parts = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    placed = (found.join(parts, "component").join(classes.select(F.col("rep").alias("node"), "n_docs"), "node")
+              .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    return (placed.join(texts, F.col("node") == F.col("doc_id"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            .select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+                    "part", "node", "n_docs", "text")
+            .repartition("component", "i", "j").sortWithinPartitions("component", "i", "j"))
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of 0/1 matrices."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+    sides = []
+    for sets in (left, right):
+        grams = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        keep = np.isin(grams, shared)
+        column, row = np.searchsorted(shared, grams[keep]), row[keep]
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], row[order], len(sets)))
+    for at in range(0, len(shared), width):
+        one, two = (np.zeros((n, min(width, len(shared) - at)), np.float32) for _, _, n in sides)
+        for matrix, (column, row, _) in zip((one, two), sides):
+            a, b = np.searchsorted(column, [at, at + width])
+            matrix[row[a:b], column[a:b] - at] = 1
+        out += (one @ two.T).astype(np.int64)
+    return out
+
+
+def _block_links(size: int, numerator: int, denominator: int, count: bool):
+    """From `_blocks`: the links (a, b), or for each node the documents it links with."""
+    def block(key: tuple, held: list) -> tuple[np.ndarray, np.ndarray]:
+        part, node, n_docs = (np.array(x, np.int64) for x in list(zip(*held))[:3])
+        sets = [x[3] for x in held]
+        left, right = np.flatnonzero(part == key[1]), np.flatnonzero(part == key[2])
+        if not len(left) or not len(right):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n = np.array([len(s) for s in sets])
+        common = common_counts([sets[k] for k in left], [sets[k] for k in right])
+        good = denominator * common >= numerator * (n[left][:, None] + n[right][None, :] - common)
+        if key[1] == key[2]:
+            good = np.triu(good, 1)
+        if count:
+            whole = np.concatenate([good @ n_docs[right], good.T @ n_docs[left]])
+            return np.concatenate([node[left], node[right]])[whole > 0], whole[whole > 0]
+        a, b = np.nonzero(good)
+        a, b = node[left[a]], node[right[b]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, done = None, [], []
+
+        def made():
+            columns = [pa.array(np.concatenate(x)) for x in zip(*done)]
+            return pa.RecordBatch.from_arrays(columns, names=["rep", "n"] if count else ["a", "b"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                keys = zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j")))
+                rows = zip(*(batch.column(c).to_pylist() for c in ("part", "node", "n_docs")),
+                           shingle_sets(batch.column("text").to_pylist(), size))
+                for now, row in zip(keys, rows):
+                    if now != key:
+                        if len(held) > 1:
+                            done.append(block(key, held))
+                        key, held = now, []
+                        if sum(len(x[0]) for x in done[-1:]) > 1000 or len(done) > 1000:
+                            yield made()
+                            done = []
+                    held.append(row)
+        if len(held) > 1:
+            done.append(block(key, held))
+        if done:
+            yield made()
+    return run
+
+
 def _flagged(source: DataFrame, flags: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(flags).astype(bool)

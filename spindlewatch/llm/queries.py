@@ -67,7 +67,7 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.similar_documents(table(spark, folder, "documents"))[0]
+    return jaccard.similar_documents(table(spark, folder, "documents"), count_links=True)[0]
 
 
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:

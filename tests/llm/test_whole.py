@@ -8,7 +8,7 @@ from uuid import uuid4
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindlewatch.llm import lines, lm, queries
+from spindlewatch.llm import jaccard, lines, lm, queries
 from spindlewatch.llm.tokens import encoder
 
 VOCAB = f"{queries.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
@@ -91,3 +91,33 @@ def test_near_lines_without_blanks_are_found(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     gone = {r["doc_id"] for r in lines.dedup_lines(df).filter("n_gone > 0").collect()}
     assert len(near) > 100 and gone <= near and len(gone) >= 0.97 * len(near)
+
+
+def test_all_links_and_their_numbers_equal_brute_force(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for i in range(40):  # a component with pairs on both sides of the bound, over several parts
+        words = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(50, rows[3][1]), (51, rows[3][1]), (51, rows[3][1]), (60, "all alone here in this text"), (61, None), (None, rows[3][1])]
+    rows += [(70 + i, f"a pair of texts number {i // 2} " + " ".join(base[10 * i // 2:])) for i in range(4)]
+    sets = {}
+    for i, t in rows:
+        words = (t or "").split()
+        if i is not None:
+            sets[i] = frozenset(tuple(words[k:k + 4]) for k in range(len(words) - 3))
+    near = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 85 * len(a | b)
+    reps = {}
+    for i in sorted(sets):
+        reps.setdefault(sets[i], i)
+    want = {(a, b) for x, a in reps.items() for y, b in reps.items() if a < b and near(x, y)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, links = jaccard.similar_documents(df, count_links=True, block=8)
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    numbers = {r["doc_id"]: r["n_links"] for r in found.collect()}
+    assert numbers.pop(None) == 0
+    assert numbers == {i: sum(near(s, o) for k, o in sets.items() if k != i) for i, s in sets.items()}
