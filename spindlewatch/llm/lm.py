@@ -214,14 +214,18 @@ def gradient(model: dict, ids: np.ndarray) -> dict[str, np.ndarray]:
     return g
 
 
-def train(model: dict, windows: np.ndarray, steps: int, rate: float, seed: int, batch: int = 64) -> dict:
-    """Adam on random batches of windows, the rate falling to a tenth."""
+def train(model: dict, windows: np.ndarray, steps: int | None, rate: float, seed: int, batch: int = 64) -> dict:
+    """Adam on random batches of windows, the rate falling to a tenth. Without steps, once over all windows."""
     rng = np.random.default_rng(seed)
+    order = None
+    if steps is None:
+        order, steps = rng.permutation(len(windows)), -(-len(windows) // batch)
     model = {k: x.copy() for k, x in model.items()}
     mean = {k: np.zeros_like(x) for k, x in model.items()}
     square = {k: np.zeros_like(x) for k, x in model.items()}
     for t in range(1, steps + 1):
-        g = gradient(model, windows[rng.integers(0, len(windows), min(batch, len(windows)))])
+        drawn = rng.integers(0, len(windows), min(batch, len(windows))) if order is None else order[(t - 1) * batch:t * batch]
+        g = gradient(model, windows[drawn])
         now = rate * (1 - 0.9 * t / steps)
         for k in PARTS:
             mean[k] += 0.1 * (g[k] - mean[k])
@@ -488,7 +492,7 @@ def fit(groups: DataFrame, vocabulary: Vocabulary, warm: int = WARM_WINDOWS, ste
         for batch in batches:
             for g in range(batch.num_rows):
                 for block in consecutive(*_subwords(batch, g, vocabulary)):
-                    own = train(own, block.astype(np.int64), max(1, len(block) // 64), 0.002, 2)
+                    own = train(own, block.astype(np.int64), None, 0.002, 2)
                     seen += len(block)
         if seen:
             flat = np.concatenate([own[k].ravel() for k in PARTS]).astype(np.float64)

@@ -121,3 +121,11 @@ def test_all_links_and_their_numbers_equal_brute_force(spark):
     numbers = {r["doc_id"]: r["n_links"] for r in found.collect()}
     assert numbers.pop(None) == 0
     assert numbers == {i: sum(near(s, o) for k, o in sets.items() if k != i) for i, s in sets.items()}
+
+
+def test_a_pass_reads_every_window_once(monkeypatch):
+    plain, seen = lm.gradient, []
+    monkeypatch.setattr(lm, "gradient", lambda model, ids: seen.extend(ids[:, 1].tolist()) or plain(model, ids))
+    windows = np.tile(np.arange(150)[:, None], (1, lm.REACH + 1))
+    lm.train(lm.fresh(np.random.default_rng(1)), windows, None, 0.002, 2)
+    assert sorted(seen) == list(range(150)) and seen != sorted(seen)
