@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -15,6 +17,11 @@ PASS_CHARS = 1 << 19
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Bytes that stand inside a word, and inside a term: of the latter letters, digits and all beyond ASCII.
+IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+IN_TERM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+GROUP_CHARS = 1 << 22
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
@@ -89,19 +96,45 @@ def code_points(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def split_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, A-Z lowered, as one binary array, and the words each text has."""
+    return _split(texts, IN_WORD)
+
+
+def split_terms(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The same for terms: what no ASCII sign but letters and digits interrupts."""
+    return _split(texts, IN_TERM)
+
+
+def _split(texts: list[str | None], within: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     if not len(data):
         return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
-    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = within[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     starts = np.flatnonzero(first)
-    packed = np.ascontiguousarray(data[inside])
+    packed = LOWER[data[inside]]
     offsets = np.append(np.cumsum(inside)[starts] - 1, len(packed)).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(starts),
                                   [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
     ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
     counts = np.diff(np.searchsorted(starts, ends), prepend=0)
     return words, counts
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of every word, computed once per distinct word."""
+    coded = words.dictionary_encode()
+    # pandas hashes bytes with SipHash under a fixed key.
+    hashed = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)
+    return hashed[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
+
+
+def text_groups(batch: pa.RecordBatch, column: int, chars: int = GROUP_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have a bounded length in all, or one text that is longer."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    edges = np.cumsum(lengths) // chars
+    cuts = [0, *(np.flatnonzero(np.diff(edges)) + 1), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)

@@ -20,11 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spindlewatch.llm.common import split_words
+from spindlewatch.llm.common import split_words, text_groups, word_hashes
 from spindlewatch.llm.components import link
 from spindlewatch.session import stage
 
@@ -38,14 +37,6 @@ NODE_BITS = 23
 BLOCK = 256
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hash of every word, computed once per distinct word."""
-    coded = words.dictionary_encode()
-    # pandas hashes bytes with SipHash under a fixed key.
-    hashed = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)
-    return hashed[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
-
-
 def shingle_sets(texts: list[str | None], size: int = SIZE) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; a shorter text is one sequence."""
     words, counts = split_words(texts)
@@ -71,16 +62,11 @@ def shingle_sets(texts: list[str | None], size: int = SIZE) -> Iterator[np.ndarr
         at += n
 
 
-def _groups(batches: Iterator[pa.RecordBatch], chars: int = 1 << 22) -> Iterator[tuple[pa.Array, list]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
     """Ids and texts in groups of bounded size, or one text that is longer."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        edges = np.cumsum(lengths) // chars
-        cuts = [0, *(np.flatnonzero(np.diff(edges)) + 1), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            part = batch.slice(a, b - a)
-            if b > a:
-                yield part.column(0), part.column(1).to_pylist()
+        for part in text_groups(batch, 1):
+            yield part.column(0), part.column(1).to_pylist()
 
 
 def _repeated(size: int):

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spindlewatch.llm import chat, decontaminate, jaccard, langid, lines, lm, mixing, tokens, topk, urls
-from spindlewatch.llm.common import bucket_of, table
+from spindlewatch.llm import (
+    chat, decontaminate, jaccard, langid, lexical, lines, lm, mixing, periodic, tokens, topk, toxicity, urls,
+)
+from spindlewatch.llm.common import SPLIT, bucket_of, table
 
 # Folder of the public vocabulary files, and the word pattern their byte-pair encoders use.
 TOKENIZERS = "/opt/tokenizers"
@@ -83,6 +85,49 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_gone", "text")
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the texts, chosen by id, the words from one on become periodic."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(words[a + (i - a) % p])), " ")
+
+    words = F.filter(F.split("text", SPLIT), lambda w: w != "")
+    changed = lines.once(words, lambda w: F.when(F.size(w) > 0, planted(w)).otherwise(F.lit("")))
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic.find_runs(with_planted_periods(docs))
+    # Exact ratios of long values; the first of the largest stays, and runs are in order.
+    best = F.expr("""aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>),
+        (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))""")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    whole = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(whole.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), bucket_of(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+                         F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +136,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [op1_language_id, op2_decontamination, op3_token_counts, op4_top_k, op5_lm_scores, op6_mixing,
-            op7_url_filter, op8_jaccard_join, op9_chat_format, op10_line_dedup, pipeline]
+            op7_url_filter, op8_jaccard_join, op9_chat_format, op10_line_dedup, op11_periodic_runs, op12_toxicity,
+            op13_lexical_search, pipeline]
     return {f.__name__: f for f in made}
 
 
@@ -165,5 +211,35 @@ FROM ruled LEFT JOIN scores USING (host)
 """
 
 
+LEXICAL_SQL = r"""
+WITH found AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT r, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM found WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS held, CAST(sum(n) AS BIGINT) AS total FROM docs),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+items AS (SELECT item_id, min(coalesce(text, '')) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+asked AS (
+    SELECT item_id, term, count(*) AS repeats
+    FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items)
+    GROUP BY item_id, term),
+weighed AS (
+    SELECT item_id, term, repeats * CAST(floor(1000 * ln((2 * held + 2) / (2 * df + 1))) AS BIGINT) AS w
+    FROM asked JOIN df USING (term), whole),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * held) // total)))) AS BIGINT) AS score
+    FROM weighed JOIN tf USING (term) JOIN docs USING (r), whole
+    WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id),
+ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+           doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": TOP_K_SQL, "op7_url_filter": URL_SQL, "op9_chat_format": CHAT_SQL}
+    return {"op4_top_k": TOP_K_SQL, "op7_url_filter": URL_SQL, "op9_chat_format": CHAT_SQL,
+            "op13_lexical_search": LEXICAL_SQL}
