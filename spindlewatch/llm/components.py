@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spindlewatch.session import stage
 
@@ -54,21 +54,26 @@ def _enough(pairs: DataFrame, needed: DataFrame | None) -> DataFrame:
             .filter(F.col("shared") >= F.least("la", "lb")))
 
 
-def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
-         needed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Components of the nodes whose pairs share a key and pass `verify`.
+BLOCK_NODES = 64
+BLOCK_ITEMS = 1 << 14  # entries of signatures a block may hold
 
-    postings   (key, node); pairs may repeat. Read twice: it should be cheap, as a staged table is
-    verify     takes distinct pairs (a, b), a < b, and returns those that are linked
-    needed     (node, least): a pair is verified once it shares the smaller `least` of its two
+
+def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], signatures: Callable[[DataFrame], DataFrame],
+         agree: Callable[[Column, Column], Column], needed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Components of the nodes whose pairs share a key, agree by signature, and pass `verify`.
+
+    postings    (key, node); pairs may repeat. Read twice: it should be cheap, as a staged table is
+    verify      takes distinct pairs (a, b), a < b, and returns those that are linked
+    signatures  takes a table of nodes and returns (node, sig) for these; sig is a struct with an array `items`
+    agree       condition on two signatures that every linked pair which shares a key should meet
+    needed      (node, least): a node's first try asks for the smaller `least` of the two in shared keys
     Returns (node, component) of linked nodes and verified links (a, b) that span the components; not all
     links, as connected pairs are not tried.
 
     Pairs within a key are never all made. First every node is tried against one other: of the
     smallest nodes of its keys, the one that it shares most keys with. Then only nodes outside a
-    key's largest component are paired, with the nodes of the key in other components: pairs that
-    are already connected need no test, and every other pair that shares a key is counted over all
-    keys it shares.
+    key's largest component are compared, with the nodes of the key in other components: these meet
+    in blocks of bounded size, by signature, and a row is made only for a pair that agrees.
     """
     heads = stage(postings.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"))
                   .filter("head < last").select("key", "head"), "heads")
@@ -78,28 +83,45 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     tried = stage(_enough(best, needed).select("a", "b"), "tried")
     first = stage(verify(tried).select("a", "b"), "links")
     found = stage(components(first), "components")
-    placed = stage(held.join(found, "node", "left")
-                   .select("key", "node", F.coalesce("component", "node").alias("component")),
-                   "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = (sizes.groupBy("key").agg(F.max_by("component", "n").alias("most"),
-                                     F.count(F.lit(1)).alias("parts"))
-            .filter("parts > 1").select("key", "most"))
-    mixed = stage(placed.join(most, "key"), "mixed-keys")
-    left = mixed.filter("component != most").select(
-        "key", F.col("node").alias("x"), F.col("component").alias("xc"))
-    right = mixed.select("key", F.col("node").alias("y"), F.col("component").alias("yc"),
-                         (F.col("component") == F.col("most")).alias("major"))
-    pairs = (left.join(right, "key")
-             .filter((F.col("xc") != F.col("yc")) & (F.col("major") | (F.col("x") < F.col("y"))))
-             .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-             .agg(F.count(F.lit(1)).alias("shared")))
-    fresh = stage(_enough(pairs, needed).select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
+    fresh = stage(_agreeing(held, found, signatures, agree).join(tried, ["a", "b"], "left_anti"), "fresh")
     more = stage(verify(fresh).select("a", "b"), "more-links")
     links = first.union(more)
     return components(links), links
 
 
+def _agreeing(held: DataFrame, found: DataFrame, signatures: Callable, agree: Callable) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different components that share a key and agree.
+
+    A key's nodes are dealt by hash into blocks, those of its largest component apart from the others.
+    A block of the others meets every block of the key, itself included.
+    """
+    placed = held.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = stage(placed, "placed")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = (sizes.groupBy("key").agg(F.max_by("component", "n").alias("most"), F.count(F.lit(1)).alias("parts"))
+            .filter("parts > 1").select("key", "most"))
+    mixed = stage(placed.join(most, "key").select("key", "node", "component", (F.col("component") == F.col("most")).alias("major")),
+                  "mixed-keys")
+    signed = stage(signatures(mixed.select("node").distinct()), "signatures")
+    full = mixed.join(signed, "node")
+    parts = full.groupBy("key", "major").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.size("sig.items")) / BLOCK_ITEMS)).alias("parts"))
+    blocks = stage(full.join(parts, ["key", "major"])
+                   .groupBy("key", "major", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+                   .agg(F.collect_list(F.struct("node", "component", "sig")).alias("nodes")), "blocks")
+    left = blocks.filter("not major").select("key", F.col("part").alias("at"), F.col("nodes").alias("left"))
+
+    def pairs(x: Column) -> Column:
+        # Two blocks of the others meet twice, and each pair is taken once.
+        other = F.filter("nodes", lambda y: (x["component"] != y["component"]) & (F.col("major") | (x["node"] < y["node"]))
+                         & agree(x["sig"], y["sig"]))
+        return F.transform(other, lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"),
+                                                     F.greatest(x["node"], y["node"]).alias("b")))
+
+    met = left.join(blocks.select("key", "major", "nodes"), "key")
+    return met.select(F.explode(F.flatten(F.transform("left", pairs))).alias("pair")).select("pair.*").distinct()
+
+
 FILTER_WORDS = 1 << 17
 
 

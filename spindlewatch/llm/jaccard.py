@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spindlewatch.llm.common import split_words, text_groups, word_hashes
 from spindlewatch.llm.components import link
@@ -184,7 +184,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                     .groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_docs")), "classes")
     # One row per class; a repeated row of the representative adds nothing.
     first = stage(made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-                  .select("doc_id", "least", "prefix"), "representatives")
+                  .select("doc_id", "n_shingles", "least", "prefix"), "representatives")
     postings = first.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("node"))
     needed = first.groupBy(F.col("doc_id").alias("node")).agg(F.min("least").alias("least"))
 
@@ -199,7 +199,20 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"))
         return both.mapInArrow(_verifier(size, numerator, denominator), "a long, b long")
 
-    found = stage(link(postings, verify, needed)[0], "linked-nodes")
+    def signatures(nodes: DataFrame) -> DataFrame:
+        # An id whose rows differ stands for all of their sets.
+        return (first.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node"))
+                .agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("least").alias("least"),
+                     F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("items"))
+                .select("node", F.struct("low", "high", "least", "items").alias("sig")))
+
+    def agree(a: Column, b: Column) -> Column:
+        # A smaller set cannot fill its share of a much larger one; else both prefixes must share enough.
+        fits = ((denominator * a["high"] >= numerator * b["low"]) & (denominator * b["high"] >= numerator * a["low"]))
+        shared = F.size(F.array_intersect(a["items"], b["items"]))
+        return F.when(fits, shared >= F.least(a["least"], b["least"])).otherwise(False)
+
+    found = stage(link(postings, verify, signatures, agree, needed)[0], "linked-nodes")
     blocks = _blocks(found, classes, texts_of(found.select("node")), block)
     links = blocks.mapInArrow(_block_links(size, numerator, denominator, False), "a long, b long")
     reached = classes.join(found, F.col("rep") == F.col("node"), "left").select(

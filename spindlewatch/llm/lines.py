@@ -14,6 +14,7 @@ smallest doc_id, and there the first. DataFrame functions only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,6 +26,7 @@ WIDTH = 12
 ROWS = 4
 BANDS = 10
 SIMILAR = 0.8
+FLOOR = 0.5  # share of equal minima below which a pair is not worth an exact comparison
 
 
 def line_key(line: Column) -> Column:
@@ -73,14 +75,13 @@ def minima(count: int) -> Column:
         (F.array_position("ring", m) - 1 - i) % F.size("own")).cast("int")))
 
 
-def band_keys(rows: int, bands: int) -> Column:
-    """From `own` and `ring`: a key per band."""
+def band_keys(sig: Column, rows: int, bands: int) -> Column:
+    """A key per band from the minima of a line."""
     half = bands // 2
     chosen = [[b * rows + r for r in range(rows)] for b in range(half)]
     chosen += [[b + r * half for r in range(rows)] for b in range(half)]
     places = F.array(*[F.array(*map(F.lit, one)) for one in chosen])
-    return once(minima(rows * half), lambda least: F.transform(
-        places, lambda band: F.xxhash64(band, F.transform(band, lambda i: F.get(least, i)))))
+    return F.transform(places, lambda band: F.xxhash64(band, F.transform(band, lambda i: F.get(sig, i))))
 
 
 def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -90,24 +91,25 @@ def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             .filter(trimmed(F.col("line")) != ""))
 
 
-def banded_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS,
-                 bands: int = BANDS) -> DataFrame:
-    """(doc_id, line_no, k, keys), staged: the key of every line, and those of its bands."""
+def signed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: int = ROWS * BANDS // 2) -> DataFrame:
+    """(doc_id, line_no, k, sig), staged: the key of every line, and half of each of its minima's bits."""
     hashed = split_lines(docs, doc_id, text).select(
         "doc_id", "line_no", line_key(F.col("line")).alias("k"), shingles(F.col("line")).alias("s"))
-    return stage(with_rings(hashed, rows * bands // 2)
-                 .select("doc_id", "line_no", "k", band_keys(rows, bands).alias("keys")), "banded-lines")
+    least = F.transform(minima(count), lambda x: F.shiftright(x, 32).cast("int"))
+    return stage(with_rings(hashed, count).select("doc_id", "line_no", "k", least.alias("sig")), "signed-lines")
 
 
-def line_classes(docs: DataFrame, banded: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                 similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 similar: float = SIMILAR, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
     """Components of similar lines (node, component) by line key, and the links between keys.
 
-    banded is what `banded_lines` makes of docs. Lines that are equal have one key and need no link;
-    keys without a link are not listed.
+    signed is what `signed_lines` makes of docs. Lines that are equal have one key and need no link;
+    keys without a link are not listed. Two lines outside of the first tries are verified if `FLOOR` of
+    their minima are equal.
     """
     lines = split_lines(docs, doc_id, text)
-    postings = banded.select(F.explode("keys").alias("key"), F.col("k").alias("node"))
+    postings = signed.select(F.explode(band_keys(F.col("sig"), rows, bands)).alias("key"), F.col("k").alias("node"))
+    floor = math.ceil(FLOOR * rows * bands / 2)
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = stage(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "nodes")
@@ -120,27 +122,34 @@ def line_classes(docs: DataFrame, banded: DataFrame, doc_id: str = "doc_id", tex
         common = F.size(F.array_intersect("sa", "sb"))
         return both.filter(common >= F.lit(similar) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    return link(postings, verify)
+    def signatures(nodes: DataFrame) -> DataFrame:
+        wanted = nodes.withColumnRenamed("node", "k")
+        return (may_hold(signed.select("k", "sig"), "k", wanted).join(wanted, "k").groupBy(F.col("k").alias("node"))
+                .agg(F.any_value("sig").alias("items")).select("node", F.struct("items").alias("sig")))
+
+    def agree(a: Column, b: Column) -> Column:
+        equal = F.zip_with(a["items"], b["items"], lambda x, y: x == y)
+        return F.size(F.filter(equal, lambda x: x)) >= floor
+
+    return link(postings, verify, signatures, agree)
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS,
                   bands: int = BANDS, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, gone): numbers of the lines that each document loses, for documents that lose any."""
-    banded = banded_lines(docs, doc_id, text, rows, bands)
-    found = stage(line_classes(docs, banded, doc_id, text, similar)[0], "line-classes")
-    lines = banded.select("doc_id", "line_no", "k")
+    signed = signed_lines(docs, doc_id, text, rows * bands // 2)
+    found = stage(line_classes(docs, signed, doc_id, text, similar, rows, bands)[0], "line-classes")
+    lines = signed.select("doc_id", "line_no", "k")
     # A key that is neither repeated nor linked loses nothing, and most keys end here.
-    per_key = lines.groupBy("k").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    per_key = lines.groupBy("k").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     classed = stage(per_key.join(found.withColumnRenamed("node", "k"), "k", "left")
                     .filter("n > 1 or component is not null")
-                    .select("k", F.coalesce("component", "k").alias("c"), "first_doc", "n"), "key-classes")
-    keep = (classed.groupBy("c").agg(F.min("first_doc").alias("keep_doc"), F.sum("n").alias("n"))
-            .filter("n > 1").select("c", "keep_doc"))
-    losing = stage(classed.select("k", "c").join(keep, "c"), "losing-keys")
-    held = stage(may_hold(lines, "k", losing.select("k")).join(losing, "k")
-                 .select("doc_id", "line_no", "c", "keep_doc"), "losing-lines")
-    keep_line = held.filter("doc_id = keep_doc").groupBy("c").agg(F.min("line_no").alias("keep_line"))
-    gone = held.join(keep_line, "c").filter("doc_id <> keep_doc or line_no <> keep_line")
+                    .select("k", F.coalesce("component", "k").alias("c"), "first", "n"), "key-classes")
+    keep = (classed.groupBy("c").agg(F.min("first").alias("kept"), F.sum("n").alias("n"))
+            .filter("n > 1").select("c", "kept"))
+    losing = stage(classed.select("k", "c").join(keep, "c").select("k", "kept"), "losing-keys")
+    gone = (may_hold(lines, "k", losing.select("k")).join(losing, "k")
+            .filter("doc_id <> kept.doc_id or line_no <> kept.line_no"))
     return gone.groupBy(F.col("doc_id").alias(doc_id)).agg(F.collect_set("line_no").alias("gone"))
 
 
