@@ -8,10 +8,10 @@ The model: h = tanh(own embedding + sum over earlier tokens of attention * value
 softmax of query . key plus a bias for the distance, over a window of at most `REACH` tokens that
 ends at the token itself. Windows overlap: each gives context to the tokens of its second half
 and scores only those, so every token is scored once. The next id is drawn in two steps, its group
-and its place in the group, each a softmax over 32.
+and its place in the group, each a softmax over `SIDE`.
 
-Training: the model is warmed up on a bounded sample of windows, drawn from one for each `STRIDE`
-tokens of every training document. Then it is tuned on all training documents, cut into consecutive
+Training: the model is warmed up on a bounded sample of windows, drawn from all that cover the
+training documents, about `WARM_WINDOWS` in all. Then it is tuned on all training documents, cut into consecutive
 windows so that every token is a target, by tasks that start from the same weights; the tuned
 weights are averaged by window counts, in Spark.
 
@@ -36,16 +36,16 @@ from spindlewatch.llm.common import split_words
 from spindlewatch.llm.tokens import encoder
 from spindlewatch.session import stage
 
-SIDE = 32
+SIDE = 64
 KEPT = SIDE * SIDE - 2  # and two more ids: the end of a document, and the escape
 END_ID, ESCAPE = 0, 1
 DIM = 16
 HALF = 16
 REACH = 2 * HALF
-STRIDE = 4096
 GROUP_BYTES = 6 << 20
 BLOCK_WINDOWS = 1 << 15
 WARM_WINDOWS = 20_000
+WARM_BATCH, BATCH = 64, 256  # windows a step
 PARTS = ("own", "query", "key", "value", "bias", "group", "group0", "member", "member0")
 
 
@@ -57,6 +57,7 @@ class Vocabulary:
     pattern: str
     ids: np.ndarray  # of every subword of the file
     rare: np.ndarray  # log probability among the escaped; 0 for kept ones
+    uses: np.ndarray | None = None  # how often training texts hold each id
 
     def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Subwords of all words in a row, and how many each has; b"" stands for the end."""
@@ -74,12 +75,18 @@ class Vocabulary:
                 np.where(end, 0, self.rare[flat]).astype(np.float32), counts)
 
 
-def fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
+def fresh(rng: np.random.Generator, uses: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Weights to begin with; with counted uses of the ids, those of the unigram model in all states."""
     n = SIDE * SIDE
     shapes = {"own": (n, DIM), "query": (n, DIM), "key": (n, DIM), "value": (n, DIM), "bias": (REACH,),
               "group": (DIM, SIDE), "group0": (SIDE,), "member": (SIDE, DIM, SIDE), "member0": (SIDE, SIDE)}
-    return {k: (rng.normal(0, 0.3, s) if k in ("own", "query", "key", "value")
-                else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
+    model = {k: (rng.normal(0, 0.3, s) if k in ("own", "query", "key", "value")
+                 else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
+    if uses is not None:
+        share = (uses + 0.5).reshape(SIDE, SIDE)
+        model["group0"] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
+        model["member0"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+    return model
 
 
 def _attend(model: dict, ids: np.ndarray, first: int):
@@ -143,7 +150,7 @@ class Scorer:
     def log_probs(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | hidden), row by row; hidden and target in the same order."""
         model = self.model
-        group, place = target >> 5, target & 31
+        group, place = target // SIDE, target % SIDE
         z = hidden @ model["group"] + model["group0"]
         if self.cut:
             np.clip(z, -80, 80, out=z)
@@ -214,7 +221,7 @@ def gradient(model: dict, ids: np.ndarray) -> dict[str, np.ndarray]:
     return g
 
 
-def train(model: dict, windows: np.ndarray, steps: int | None, rate: float, seed: int, batch: int = 64) -> dict:
+def train(model: dict, windows: np.ndarray, steps: int | None, rate: float, seed: int, batch: int = BATCH) -> dict:
     """Adam on random batches of windows, the rate falling to a tenth. Without steps, once over all windows."""
     rng = np.random.default_rng(seed)
     order = None
@@ -381,7 +388,7 @@ def merge_counts(groups: DataFrame, path: str, pattern: str, buckets: int) -> Da
     return stage(packed.groupBy("bucket").applyInArrow(merge, MERGED), "word-counts")
 
 
-def fit_vocabulary(merged: DataFrame, path: str, pattern: str) -> Vocabulary:
+def fit_vocabulary(merged: DataFrame, path: str, pattern: str, ends: int = 0) -> Vocabulary:
     """From the uses of all subwords. The driver gets one number per subword of the file."""
     size = encoder(path, pattern).n_vocab
     total = np.zeros(size)
@@ -395,7 +402,10 @@ def fit_vocabulary(merged: DataFrame, path: str, pattern: str) -> Vocabulary:
     ids[kept] = np.arange(len(kept)) + 2
     others = np.where(ids == ESCAPE, total + 1, 0)
     rare = np.where(others > 0, np.log(np.maximum(others, 1) / max(others.sum(), 1)), 0).astype(np.float32)
-    return Vocabulary(path, pattern, ids, rare)
+    held = np.zeros(SIDE * SIDE)
+    held[END_ID], held[ESCAPE] = ends, total[ids == ESCAPE].sum()
+    held[np.arange(len(kept)) + 2] = total[kept]
+    return Vocabulary(path, pattern, ids, rare, held)
 
 
 def _spread(ids: np.ndarray, counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -436,31 +446,20 @@ def consecutive(ids: np.ndarray, tokens: np.ndarray, trains: np.ndarray,
         yield out
 
 
-def windows_of(groups: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(place, window) for the warm-up: rows of REACH + 1 ids, one for each STRIDE tokens of every training text."""
+def windows_of(groups: DataFrame, vocabulary: Vocabulary, rate: float) -> DataFrame:
+    """(chunk, place, window) for the warm-up: the share `rate` of the windows that cover the training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g in range(batch.num_rows):
-                ids, tokens, trains = _subwords(batch, g, vocabulary)
-                out, at = [], 0
-                for size, learn in zip(tokens, trains):
-                    if learn:
-                        for place in range(0, size, STRIDE):
-                            # Somewhere in the stride, not always at the start of a text.
-                            shift = (at * 7919) % max(1, min(STRIDE, size - place) - REACH)
-                            part = ids[at + place + shift:at + min(size, place + shift + REACH)]
-                            lead = ids[at + place + shift - 1] if place + shift else END_ID
-                            row = np.full(REACH + 1, -1, np.int16)
-                            row[0], row[1:len(part) + 1] = lead, part
-                            out.append(row)
-                    at += size
-                if out:
-                    flat = pa.array(np.concatenate(out))
-                    rows = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * (REACH + 1), flat)
-                    chunk = batch.column("chunk")[g].as_py()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(out), chunk)), pa.array(np.arange(len(out))), rows],
-                        names=["chunk", "place", "window"])
+                chunk, at = batch.column("chunk")[g].as_py(), 0
+                for block in consecutive(*_subwords(batch, g, vocabulary)):
+                    # Drawn by place, so that equal data give equal draws.
+                    drawn = np.flatnonzero(np.random.default_rng([3, chunk, at]).random(len(block)) < rate)
+                    rows = pa.ListArray.from_arrays(np.arange(len(drawn) + 1, dtype=np.int32) * (REACH + 1),
+                                                    pa.array(block[drawn].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(drawn), chunk)), pa.array(drawn + at), rows],
+                                                     names=["chunk", "place", "window"])
+                    at += len(block)
 
     return groups.select("chunk", "trains", "sizes", "ids", "words").mapInArrow(
         run, "chunk long, place long, window array<smallint>")
@@ -472,27 +471,27 @@ def _stacked(batch: pa.RecordBatch) -> np.ndarray:
 
 def fit(groups: DataFrame, vocabulary: Vocabulary, warm: int = WARM_WINDOWS, steps: int = 1500,
         epochs: int = 8) -> dict:
-    """Warm up on `warm` windows, then tune on all tokens of the training texts and average.
+    """Warm up on about `warm` windows, then tune on all tokens of the training texts and average.
 
     The warm-up takes `steps` batches, and no more than `epochs` passes: few windows would be
     learned by heart.
     """
     spark = groups.sparkSession
-    windows = stage(windows_of(groups, vocabulary), "windows")
-    drawn = windows.orderBy(F.xxhash64("chunk", "place"), "chunk", "place").limit(warm).toArrow()
-    model = fresh(np.random.default_rng(11))
+    total = 1.0 if vocabulary.uses is None else max(1.0, vocabulary.uses.sum() / REACH)
+    drawn = windows_of(groups, vocabulary, min(1.0, warm / total)).orderBy("chunk", "place").toArrow()
+    model = fresh(np.random.default_rng(11), vocabulary.uses)
     rows = [_stacked(b) for b in drawn.to_batches() if b.num_rows]
     if not rows:
         return model
     data = np.concatenate(rows)
-    model = train(model, data, min(steps, max(1, epochs * len(data) // 64)), 0.03, 1)
+    model = train(model, data, min(steps, max(1, epochs * len(data) // WARM_BATCH)), 0.03, 1, WARM_BATCH)
 
     def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = model, 0
         for batch in batches:
             for g in range(batch.num_rows):
                 for block in consecutive(*_subwords(batch, g, vocabulary)):
-                    own = train(own, block.astype(np.int64), None, 0.002, 2)
+                    own = train(own, block.astype(np.int64), None, 0.004, 2)
                     seen += len(block)
         if seen:
             flat = np.concatenate([own[k].ravel() for k in PARTS]).astype(np.float64)
@@ -560,7 +559,7 @@ def score_documents(docs: DataFrame, learns: Column, vocabulary: str, pattern: s
     merged = merge_counts(groups, vocabulary, pattern, buckets)
     ends = groups.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
     sums = merged.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    known = fit_vocabulary(merged, vocabulary, pattern)
+    known = fit_vocabulary(merged, vocabulary, pattern, ends)
     model = fit(groups, known, **options)
     # A group's distinct words are bounded, so is what returns to it.
     found = (merged.filter("chunk is not null").groupBy("chunk")

@@ -151,6 +151,12 @@ def test_language_model_learns_what_helps_on_held_out_texts(spark):
     assert held_out(1500) > 0.8 * held_out(1)
 
 
+def test_language_model_beats_its_base_on_held_out_texts(spark):
+    scored = queries.op5_lm_scores(spark, "/root/testdata/sf0.01").filter("held_out")
+    own, base = scored.agg(F.sum("score"), F.sum("base_score")).first()
+    assert own > base
+
+
 def test_mixing_meets_targets_and_equals_plain_descent(spark, docs):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (4, None, 1), (5, 1, 1), (None, 1, 0), (99, 1, 0)],
                                    "doc_id long, quality int, toxic int")

@@ -112,9 +112,9 @@ def test_attention_gradient_agrees_with_differences():
 
 def test_every_token_is_scored_once_in_its_own_text():
     rng = np.random.default_rng(2)
-    model = lm.train(lm.fresh(rng), rng.integers(0, 1024, (64, lm.REACH + 1)), 3, 0.02, 1)
+    model = lm.train(lm.fresh(rng), rng.integers(0, lm.SIDE ** 2, (64, lm.REACH + 1)), 3, 0.02, 1)
     scorer = lm.Scorer(model)
-    one, two = rng.integers(0, 1024, 70).astype(np.int16), rng.integers(0, 1024, 5).astype(np.int16)
+    one, two = rng.integers(0, lm.SIDE ** 2, 70).astype(np.int16), rng.integers(0, lm.SIDE ** 2, 5).astype(np.int16)
     start = np.zeros(75, bool)
     start[[0, 70]] = True
     both = lm.score_ids(scorer, np.concatenate([one, two]), start)
@@ -124,8 +124,8 @@ def test_every_token_is_scored_once_in_its_own_text():
         assert np.allclose(part, lm.score_ids(scorer, text, first), atol=1e-5)
     # All next ids together have probability one.
     hidden = scorer.hidden(np.full((1, lm.REACH), 7, np.int16))[:, -1]
-    every = np.arange(1024, dtype=np.int16)
-    total = np.exp(scorer.log_probs(np.repeat(hidden, 1024, 0), every)).sum()
+    every = np.arange(lm.SIDE ** 2, dtype=np.int16)
+    total = np.exp(scorer.log_probs(np.repeat(hidden, lm.SIDE ** 2, 0), every)).sum()
     assert total == pytest.approx(1, abs=1e-3)
 
 
