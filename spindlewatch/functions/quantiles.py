@@ -79,7 +79,7 @@ def _fine(value: Column, low: Column, high: Column) -> Column:
 
 def _counted(df: DataFrame, cell: list[str]) -> DataFrame:
     return df.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("times").alias("n"),
         F.min("metric_value").alias("low"),
         F.max("metric_value").alias("high"))
 
@@ -94,13 +94,15 @@ def _holding(cells: DataFrame) -> DataFrame:
     return cells.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
 
 
-def search_quantiles(long: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+def search_quantiles(long: DataFrame, keys: list[str], probs: list[float], times: str | None = None) -> DataFrame:
     """Percentiles of `metric_value` per key by repeated counting: columns keys, q (an array).
 
-    `keys` must not be empty; null and NaN values must already be null.
+    `keys` must not be empty; null and NaN values must already be null. `times` names a column that
+    tells how often a value occurs; without it every row is one.
     """
     values = long.where(F.col("metric_value").isNotNull()).select(
-        *keys, "metric_value", _coarse(F.col("metric_value")).alias("coarse"))
+        *keys, "metric_value", (F.col(times) if times else F.lit(1)).cast("long").alias("times"),
+        _coarse(F.col("metric_value")).alias("coarse"))
 
     coarse = _with_rows_before(_counted(values, [*keys, "coarse"]), keys, "coarse")
     total = F.sum("n").over(Window.partitionBy(*keys))
@@ -116,7 +118,7 @@ def search_quantiles(long: DataFrame, keys: list[str], probs: list[float]) -> Da
     # broadcast them when that is safe.
     ranges = first_cells.select(*keys, "coarse", "low", "high").distinct()
     candidates = _null_safe_join(values, ranges, [*keys, "coarse"]).select(
-        *keys, "coarse", "metric_value",
+        *keys, "coarse", "metric_value", "times",
         _fine(F.col("metric_value"), F.col("low"), F.col("high")).alias("fine"))
 
     cell = [*keys, "coarse"]
@@ -130,7 +132,7 @@ def search_quantiles(long: DataFrame, keys: list[str], probs: list[float]) -> Da
     cell = [*cell, "fine"]
     distinct = _null_safe_join(
         candidates, second_cells.select(*cell).distinct(), cell
-    ).groupBy(*cell, "metric_value").agg(F.count(F.lit(1)).alias("n"))
+    ).groupBy(*cell, "metric_value").agg(F.sum("times").alias("n"))
     ordered = _with_rows_before(distinct, cell, "metric_value")
     places = second_cells.groupBy(*cell).agg(
         F.collect_list(F.struct("offset", "place")).alias("places"))

@@ -1,6 +1,7 @@
 """Ready-made questions over curated samples, events and the dashboard tables.
 
-`runs` is the device-run summary and `causes` the root-cause summary of `marts`. Every
+`runs` is the device-run summary and `causes` the root-cause summary of `marts`. Questions about
+the latest run find it in `register`, the register of the table's runs, or else in the table. Every
 ordering that precedes a limit is total, so answers are repeatable.
 """
 
@@ -33,13 +34,13 @@ def _is_critical() -> Column:
     return _named("severity", "critical")
 
 
-def _of_latest(table: DataFrame, source: DataFrame) -> DataFrame:
-    return only_latest(table, source)
+def _of_latest(table: DataFrame, source: DataFrame | None) -> DataFrame:
+    return only_latest(table, table if source is None else source)
 
 
-def critical_devices(events: DataFrame) -> DataFrame:
+def critical_devices(events: DataFrame, register: DataFrame | None = None) -> DataFrame:
     """Devices with critical events in the latest run."""
-    return _of_latest(events, events).where(_is_critical()).select("device").distinct()
+    return _of_latest(events, register).where(_is_critical()).select("device").distinct()
 
 
 def utilization_ranking(runs: DataFrame, curated: DataFrame) -> DataFrame:
@@ -102,17 +103,17 @@ def cause_trend(causes: DataFrame) -> DataFrame:
     ).orderBy("ingest_run_id", *_cause_order())
 
 
-def slow_and_queued(curated: DataFrame, latency: float = 10, queue: float = 2) -> DataFrame:
+def slow_and_queued(curated: DataFrame, latency: float = 10, queue: float = 2, register: DataFrame | None = None) -> DataFrame:
     """Samples of the latest run with high latency and a deep queue at once."""
-    return _of_latest(curated, curated).where(
+    return _of_latest(curated, register).where(
         (F.col("avg_latency_ms") > latency) & (F.col("aqu_sz") > queue)
     ).select("device", "timestamp", "avg_latency_ms", "aqu_sz").orderBy(
         F.desc("avg_latency_ms"), "device", "timestamp")
 
 
-def multi_detector_devices(events: DataFrame, at_least: int = 3) -> DataFrame:
+def multi_detector_devices(events: DataFrame, at_least: int = 3, register: DataFrame | None = None) -> DataFrame:
     """Devices flagged under several detector labels in the latest run."""
-    return _of_latest(events, events).groupBy("device").agg(
+    return _of_latest(events, register).groupBy("device").agg(
         F.count_distinct("detector_type").alias("detector_count")
     ).where(F.col("detector_count") >= at_least)
 
@@ -159,17 +160,17 @@ def worst_sample(curated: DataFrame) -> DataFrame:
     ).orderBy(F.desc("composite_stress"), "timestamp", "device").limit(1)
 
 
-def worst_events(events: DataFrame, n: int = 25) -> DataFrame:
+def worst_events(events: DataFrame, n: int = 25, register: DataFrame | None = None) -> DataFrame:
     """Most severe events of the latest run, by rank and then score."""
-    return _of_latest(events, events).orderBy(
+    return _of_latest(events, register).orderBy(
         severity_rank(F.col("severity")).desc(), F.desc("anomaly_score"),
         "device", "timestamp", "metric_name"
     ).limit(n).select("device", "timestamp", "metric_name", "severity", "anomaly_score", "root_cause_hint")
 
 
-def severity_breakdown(events: DataFrame) -> DataFrame:
+def severity_breakdown(events: DataFrame, register: DataFrame | None = None) -> DataFrame:
     """Events per device and severity in the latest run."""
-    return _of_latest(events, events).groupBy("device", "severity").agg(
+    return _of_latest(events, register).groupBy("device", "severity").agg(
         F.count(F.lit(1)).alias("count")).orderBy("device", F.desc("count"), "severity")
 
 
@@ -192,9 +193,9 @@ def saturation_slope(curated: DataFrame) -> DataFrame:
     ).orderBy(F.desc("saturation_slope"), "device")
 
 
-def queued_but_not_busy(events: DataFrame, below: float = 70) -> DataFrame:
+def queued_but_not_busy(events: DataFrame, below: float = 70, register: DataFrame | None = None) -> DataFrame:
     """Queue-caused events of the latest run on devices that were not busy."""
-    return _of_latest(events, events).where(
+    return _of_latest(events, register).where(
         _named("root_cause_hint", "%queue%") & (F.col("util_pct") < below)
     ).select("device", "timestamp", "metric_name", "severity", "util_pct", "root_cause_hint",
              "anomaly_score").orderBy(F.desc("anomaly_score"), "device", "timestamp", "metric_name"
@@ -218,11 +219,12 @@ def top_causes_per_run(causes: DataFrame, n: int = 3) -> DataFrame:
 
 
 def performance_with_cause(curated: DataFrame, events: DataFrame, devices: list[str] | None = None,
-                           per_run: bool = True) -> DataFrame:
+                           per_run: bool = True, register: DataFrame | None = None,
+                           event_register: DataFrame | None = None) -> DataFrame:
     """Performance per device, and per run unless only the latest is wanted, with its top cause."""
     keys = ["device", "ingest_run_id"] if per_run else ["device"]
     if not per_run:
-        curated, events = _of_latest(curated, curated), _of_latest(events, events)
+        curated, events = _of_latest(curated, register), _of_latest(events, event_register)
     if devices:
         wanted = F.lower("device").isin(*[d.lower() for d in devices])
         curated, events = curated.where(wanted), events.where(wanted)
@@ -260,17 +262,17 @@ def events_per_run(events: DataFrame) -> DataFrame:
     ).orderBy("run_time", "ingest_run_id")
 
 
-def read_write_ratios(curated: DataFrame) -> DataFrame:
+def read_write_ratios(curated: DataFrame, register: DataFrame | None = None) -> DataFrame:
     """Mean read and write ratio per device in the latest run."""
-    return _of_latest(curated, curated).groupBy("device").agg(
+    return _of_latest(curated, register).groupBy("device").agg(
         reported(F.avg("read_ratio"), 3).alias("avg_read_ratio"),
         reported(F.avg("write_ratio"), 3).alias("avg_write_ratio"),
     ).orderBy(F.desc("avg_read_ratio"), "device")
 
 
-def saturation_by_device(curated: DataFrame) -> DataFrame:
+def saturation_by_device(curated: DataFrame, register: DataFrame | None = None) -> DataFrame:
     """Mean and maximum saturation per device in the latest run."""
-    return _of_latest(curated, curated).groupBy("device").agg(
+    return _of_latest(curated, register).groupBy("device").agg(
         reported(F.avg("saturation_score"), 3).alias("avg_saturation"),
         reported(F.max("saturation_score"), 3).alias("max_saturation"),
     ).orderBy(F.desc("avg_saturation"), "device")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -18,9 +18,9 @@ from spindlewatch.operators.detect import (
 )
 from spindlewatch.operators.forest import detect_isolation_forest
 from spindlewatch.operators.runs import latest_runs
-from spindlewatch.plans.pipeline import Warehouse, curate, detect, load, publish, validate
+from spindlewatch.plans.pipeline import Warehouse, curate, detect, load, publish, publish_batch, validate
 from spindlewatch.schema import (
-    COMBINED_METRICS, CURATED_SCHEMA, EVIDENCE_SCHEMA, LEGACY_NAMES, LOG_METRICS, RAW_SCHEMA,
+    COMBINED_METRICS, CURATED_SCHEMA, EVENT_SCHEMA, EVIDENCE_SCHEMA, LEGACY_NAMES, LOG_METRICS, RAW_SCHEMA,
     SEVERITIES,
 )
 from spindlewatch.session import scratch_path, stage
@@ -63,10 +63,35 @@ class Feed:
         """Events, for a query that looks at them once."""
         return detect_combined(self.curated)
 
+    @cached_property
+    def house(self) -> Warehouse:
+        return Warehouse(self.spark, scratch_path(self.spark, "warehouse"))
+
     @cached_property
     def events(self) -> DataFrame:
-        """Events as a stored table, for a query that looks at them several times."""
-        return stage(self.found, "events", ["ingest_run_id"])
+        """Events as a stored table, for a query that looks at them several times or at one run."""
+        tables.write_runs(self.found, self.house.path("anomaly_events"))
+        return self.house.events()
+
+    @cached_property
+    def event_runs(self) -> DataFrame:
+        self.events  # stored first
+        return self.house.runs("anomaly_events")
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        """Curated samples as a stored table, for a query that looks at one run."""
+        tables.write_runs(self.curated, self.house.path("curated_device_metrics"))
+        return self.house.curated()
+
+    @cached_property
+    def curated_runs(self) -> DataFrame:
+        self.stored  # stored first
+        return self.house.runs("curated_device_metrics")
+
+    @cached_property
+    def stored_runs(self) -> DataFrame:
+        return marts.device_run_summary(self.stored, self.events)
 
     @cached_property
     def rolling_events(self) -> DataFrame:
@@ -76,10 +101,11 @@ class Feed:
     @cached_property
     def all_events(self) -> DataFrame:
         """Events of three detectors in one stored table."""
-        return stage(union_events(
+        tables.write_runs(union_events(
             graded(self.rolling_events, self.curated),
             graded(detect_iqr(self.curated, BASELINE_METRICS), self.curated),
-            self.found), "events", ["ingest_run_id"])
+            self.found), self.house.path("all_events"))
+        return tables.read_table(self.spark, self.house.path("all_events"), EVENT_SCHEMA)
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -184,6 +210,40 @@ def _published_row_counts(feed: Feed) -> DataFrame:
     return validate(house)
 
 
+def _published_tables(feed: Feed) -> DataFrame:
+    """The aggregated tables after publishing the runs in two batches, in one frame."""
+    house, folder = feed.house, scratch_path(feed.spark, "exports")
+    tables.write_runs(feed.raw, house.path("raw_device_metrics"))
+    runs = [r[0] for r in feed.curated_runs.select("ingest_run_id").orderBy("ingest_run_id").collect()]
+    feed.events  # stored as well
+    for batch in (runs[:len(runs) // 2], runs[len(runs) // 2:]):
+        publish_batch(house, folder, batch)
+    parts = [house.mart(name).selectExpr(f"'{name}' AS dataset", *chosen) for name, chosen in PUBLISHED.items()]
+    return settled(reduce(DataFrame.union, parts), *[f"v{i}" for i in range(1, 7)])
+
+
+# What `published_tables` shows of each table: device, run, two labels, three counts, six figures.
+PUBLISHED = {
+    "device_overview": [
+        "device", "CAST(NULL AS STRING) AS run", "dominant_workload_pattern AS label", "CAST(NULL AS STRING) AS cause",
+        "sample_count AS n1", "anomaly_count AS n2", "critical_anomaly_count AS n3", "avg_total_iops AS v1",
+        "avg_throughput_mb_s AS v2", "avg_latency_ms AS v3", "avg_util_pct AS v4", "p95_latency_ms AS v5", "p99_latency_ms AS v6"],
+    "root_cause_summary": [
+        "CAST(NULL AS STRING) AS device", "ingest_run_id AS run", "workload_pattern AS label", "root_cause_hint AS cause",
+        "anomaly_count AS n1", "critical_count AS n2", "affected_devices AS n3", "avg_anomaly_score AS v1",
+        *[f"CAST(NULL AS DOUBLE) AS v{i}" for i in range(2, 7)]],
+    "device_run_summary": [
+        "device", "ingest_run_id AS run", "dominant_workload_pattern AS label", "top_root_cause AS cause",
+        "total_anomalies AS n1", "critical_count AS n2", "high_count AS n3", "avg_latency_ms AS v1", "max_latency_ms AS v2",
+        "avg_util_pct AS v3", "avg_iops AS v4", "avg_saturation_score AS v5", "avg_aqu_sz AS v6"],
+    "run_summary": [
+        "CAST(NULL AS STRING) AS device", "ingest_run_id AS run", "CAST(NULL AS STRING) AS label", "CAST(NULL AS STRING) AS cause",
+        "raw_rows AS n1", "curated_rows AS n2", "anomaly_rows AS n3", "max_anomaly_score AS v1",
+        "CAST(affected_devices AS DOUBLE) AS v2", "CAST(critical_anomalies AS DOUBLE) AS v3",
+        "CAST(high_anomalies AS DOUBLE) AS v4", "CAST(NULL AS DOUBLE) AS v5", "CAST(NULL AS DOUBLE) AS v6"],
+}
+
+
 def _frequencies(feed: Feed) -> DataFrame:
     return profile.frequency_table(feed.found, [
         "detector_type", "severity", "metric_name", "device", "root_cause_hint", "workload_pattern"])
@@ -230,6 +290,7 @@ _FEED_QUERIES: dict[str, Callable[[Feed], DataFrame]] = {
     "replaced_table": _replaced_table,
     "exported_csv": _exported_csv,
     "published_row_counts": _published_row_counts,
+    "published_tables": _published_tables,
     # detectors
     "rolling_baseline": lambda f: settled(add_rolling_baselines(f.curated, BASELINE_METRICS).select(
         "device", "timestamp", *[f"{m}_rolling_{s}" for m in BASELINE_METRICS for s in ("mean", "std")])),
@@ -256,39 +317,40 @@ _FEED_QUERIES: dict[str, Callable[[Feed], DataFrame]] = {
         facts.device_timeseries(f.curated), "latency_rolling_mean", "latency_rolling_std"),
     "fact_hourly": lambda f: settled(facts.device_hourly(f.curated)),
     "fact_percentiles": lambda f: settled(facts.device_percentiles(f.curated)),
-    "latest_run": lambda f: latest_runs(f.curated, f.found),
+    "latest_run": lambda f: latest_runs(f.curated_runs, f.event_runs),
     # questions
-    "q01_critical_devices": lambda f: questions.critical_devices(f.events),
-    "q02_utilization_ranking": lambda f: settled(questions.utilization_ranking(f.runs, f.curated)),
+    "q01_critical_devices": lambda f: questions.critical_devices(f.events, f.event_runs),
+    "q02_utilization_ranking": lambda f: settled(questions.utilization_ranking(f.stored_runs, f.curated_runs)),
     "q03_device_history": lambda f: settled(questions.device_history(f.runs, "sda")),
     "q04_compare_devices": lambda f: settled(questions.compare_devices(f.runs, "sda", "sdb")),
     "q05_best_devices": lambda f: questions.best_devices(f.runs),
     "q06_device_trend": lambda f: settled(questions.device_trend(f.runs, "sda")),
-    "q07_explain_device": lambda f: settled(questions.explain_device(f.runs, f.curated, "sdb")),
-    "q08_top_causes": lambda f: questions.top_causes(f.causes, f.events),
+    "q07_explain_device": lambda f: settled(questions.explain_device(f.stored_runs, f.curated_runs, "sdb")),
+    "q08_top_causes": lambda f: questions.top_causes(f.causes, f.event_runs),
     "q09_cause_trend": lambda f: questions.cause_trend(f.causes),
-    "q10_slow_and_queued": lambda f: questions.slow_and_queued(f.curated),
-    "q11_multi_detector_devices": lambda f: questions.multi_detector_devices(f.all_events),
+    "q10_slow_and_queued": lambda f: questions.slow_and_queued(f.stored, register=f.curated_runs),
+    "q11_multi_detector_devices": lambda f: questions.multi_detector_devices(
+        f.all_events, register=f.house.runs("all_events")),
     "q12_business_hours": lambda f: questions.business_hours(f.found, "sdb"),
     "q13_critical_share": lambda f: questions.critical_share(
         detect_combined(add_workload_patterns(f.curated))),
     "q14_score_p95": lambda f: questions.score_p95(f.events),
     "q15_last_two_runs": lambda f: questions.last_two_runs(f.runs),
     "q16_worst_sample": lambda f: questions.worst_sample(f.curated),
-    "q17_worst_events": lambda f: settled(questions.worst_events(f.events), "anomaly_score"),
-    "q18_severity_breakdown": lambda f: questions.severity_breakdown(f.events),
-    "q19_causes_matching": lambda f: questions.causes_matching(f.causes, f.events, "queue"),
+    "q17_worst_events": lambda f: settled(questions.worst_events(f.events, register=f.event_runs), "anomaly_score"),
+    "q18_severity_breakdown": lambda f: questions.severity_breakdown(f.events, f.event_runs),
+    "q19_causes_matching": lambda f: questions.causes_matching(f.causes, f.event_runs, "queue"),
     "q20_saturation_slope": lambda f: questions.saturation_slope(f.curated),
-    "q21_queued_but_not_busy": lambda f: questions.queued_but_not_busy(f.events),
+    "q21_queued_but_not_busy": lambda f: questions.queued_but_not_busy(f.events, register=f.event_runs),
     "q22_saturation_hours": lambda f: questions.saturation_hours(f.found),
     "q23_top_causes_per_run": lambda f: questions.top_causes_per_run(f.causes),
     "q24_performance_with_cause": lambda f: questions.performance_with_cause(f.curated, f.found),
     "q24_latest_run_with_cause": lambda f: questions.performance_with_cause(
-        f.curated, f.events, ["sda", "sdb"], per_run=False),
+        f.stored, f.events, ["sda", "sdb"], per_run=False, register=f.curated_runs, event_register=f.event_runs),
     "q25_causes_this_month": lambda f: questions.causes_this_month(f.found, AS_OF),
     "q26_events_per_run": lambda f: questions.events_per_run(f.found),
-    "q27_read_write_ratios": lambda f: questions.read_write_ratios(f.curated),
-    "q28_saturation_by_device": lambda f: questions.saturation_by_device(f.curated),
+    "q27_read_write_ratios": lambda f: questions.read_write_ratios(f.stored, f.curated_runs),
+    "q28_saturation_by_device": lambda f: questions.saturation_by_device(f.stored, f.curated_runs),
     "q29_device_change": lambda f: settled(questions.device_change(f.runs)),
     "q29_run_change": lambda f: questions.run_change(questions.events_per_run(f.found)),
     # profiles

@@ -9,7 +9,7 @@ from spindlewatch.operators.marts import (
 )
 from spindlewatch.operators.facts import SERIES_COLUMNS
 from spindlewatch.plans.catalog import (
-    BASELINE_METRICS, CSV_DROPPED, DIGITS, EVENT_WINDOW, LOG_TIME,
+    BASELINE_METRICS, CSV_DROPPED, DIGITS, EVENT_WINDOW, LOG_TIME, PUBLISHED,
 )
 from spindlewatch.schema import (
     COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, EVIDENCE_SCHEMA, LOG_METRICS, NO_ANOMALIES, RAW_SCHEMA,
@@ -608,6 +608,14 @@ def _published() -> str:
         f"SELECT '{name}' AS dataset, {n} AS n" for name, n in counts.items()), "overview", "found", "health")
 
 
+def _published_content() -> str:
+    sources = {"device_overview": "overview", "root_cause_summary": "causes", "device_run_summary": "runs",
+               "run_summary": "run_summary"}
+    parts = " UNION ALL ".join(f"SELECT '{name}' AS dataset, {', '.join(chosen)} FROM {sources[name]}"
+                               for name, chosen in PUBLISHED.items())
+    return sql(settled(f"SELECT * FROM ({parts})", [f"v{i}" for i in range(1, 7)]), *sources.values())
+
+
 def oracle_sql() -> dict[str, str]:
     found_rows = f"SELECT {EVENT_NAMES} FROM found"
     timeline = ", ".join(TIMELINE_COLUMNS)
@@ -683,6 +691,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT device, quantile_cont(avg_latency_ms, 0.5) AS p50,
                 quantile_cont(avg_latency_ms, 0.95) AS p95, quantile_cont(avg_latency_ms, 0.99) AS p99
             FROM curated GROUP BY device""", ["p50", "p95", "p99"]), "curated"),
+        "published_tables": _published_content(),
         "latest_run": sql(f"SELECT {latest_e} AS anomaly_run_id, {latest_c} AS curated_run_id", "curated", "found"),
         "q01_critical_devices": sql(f"""SELECT DISTINCT device FROM found
             WHERE ingest_run_id = {latest_e} AND severity ILIKE 'critical'""", "found"),

@@ -12,11 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spindlewatch.functions.features import derive_features, parsed_timestamp
-from spindlewatch.operators import marts, quality, summary
+from spindlewatch.operators import marts, quality, states, summary
 from spindlewatch.operators.detect import detect_combined
 from spindlewatch.operators.runs import latest_run, latest_runs
 from spindlewatch.schema import CURATED_SCHEMA, EVENT_SCHEMA, RAW_SCHEMA
 from spindlewatch.sources.logs import raw_rows, with_lineage
+from spindlewatch.sources.register import read_register
 from spindlewatch.sources.tables import (
     export_dataset, read_run, read_table, replace_table, write_runs,
 )
@@ -48,13 +49,21 @@ class Warehouse:
     def mart(self, name: str) -> DataFrame:
         return read_table(self.spark, self.path(name))
 
+    def runs(self, name: str) -> DataFrame:
+        """Register of the runs of a stored table."""
+        return read_register(self.spark, self.path(name))
+
     def latest(self) -> DataFrame:
-        """Latest run of the events and of the curated samples."""
-        return latest_runs(self.curated(), self.events())
+        """Latest run of the events and of the curated samples, from their registers."""
+        return latest_runs(self.runs("curated_device_metrics"), self.runs("anomaly_events"))
+
+    def states(self) -> dict[str, DataFrame]:
+        """Partial states of all published runs."""
+        return {name: read_table(self.spark, self.path(name)) for name in states.STATES}
 
 
-def _newest(table: DataFrame) -> str | None:
-    return latest_run(table).first()[0]
+def _newest(register: DataFrame) -> str | None:
+    return latest_run(register).first()[0]
 
 
 def load(warehouse: Warehouse, samples: DataFrame, run: str | None = None,
@@ -69,7 +78,7 @@ def load(warehouse: Warehouse, samples: DataFrame, run: str | None = None,
 
 def curate(warehouse: Warehouse, run: str | None = None) -> str | None:
     """Derive features for a run, the newest unless given; all rows when none has a run."""
-    run = run or _newest(warehouse.raw())
+    run = run or _newest(warehouse.runs("raw_device_metrics"))
     curated = derive_features(warehouse.raw(run)).select(*CURATED_SCHEMA.fieldNames())
     write_runs(curated, warehouse.path("curated_device_metrics"))
     return run
@@ -77,7 +86,7 @@ def curate(warehouse: Warehouse, run: str | None = None) -> str | None:
 
 def detect(warehouse: Warehouse, run: str | None = None) -> str | None:
     """Find events for a run, the newest unless given."""
-    run = run or _newest(warehouse.curated())
+    run = run or _newest(warehouse.runs("curated_device_metrics"))
     events = detect_combined(warehouse.curated(run))
     write_runs(events, warehouse.path("anomaly_events"))
     return run
@@ -112,6 +121,32 @@ def publish(warehouse: Warehouse, export_folder: str, run: str | None = None) ->
     write_runs(per_run.withColumn("run_ts", F.current_timestamp()), warehouse.path("run_summary"))
 
 
+def publish_batch(warehouse: Warehouse, export_folder: str, runs: list[str]) -> None:
+    """Store the partial states of `runs` and renew the aggregated dashboard tables for all published runs.
+
+    Of samples and events only those of `runs` are read; other runs enter by their stored states. What
+    has a row per sample or event is exported for `runs` alone. Publishing runs again changes nothing.
+    """
+    of = F.col("ingest_run_id").isin(runs)
+    sources = {"curated": warehouse.curated().where(of), "events": warehouse.events().where(of)}
+    if sources["curated"].isEmpty():
+        raise ValueError(f"no curated samples for runs {runs}")
+    for name, (source, make) in states.STATES.items():
+        write_runs(make(sources[source]), warehouse.path(name))
+    held = warehouse.states()
+    built = {"device_overview": states.device_overview(held), "root_cause_summary": states.root_cause_summary(held),
+             "device_run_summary": states.device_run_summary(held)}
+    for name, table in built.items():
+        replace_table(table, warehouse.path(name))
+        export_dataset(warehouse.mart(name), export_folder, name)
+    # Flags join samples by device and time, so events of other runs count as well.
+    batch = "_".join(runs)
+    export_dataset(marts.anomaly_timeline(sources["events"]), export_folder, "anomaly_timeline", batch)
+    export_dataset(marts.device_health(sources["curated"], warehouse.events()), export_folder, "device_health", batch)
+    per_run = states.run_summary(held, warehouse.runs("raw_device_metrics")).where(of)
+    write_runs(per_run.withColumn("run_ts", F.current_timestamp()), warehouse.path("run_summary"))
+
+
 def validate(warehouse: Warehouse) -> DataFrame:
     """Row check of the seven published datasets; raises when one is empty."""
     datasets = {name: warehouse.mart(name) for name in [*STORED_MARTS, "run_summary"]}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from spindlewatch.operators.runs import only_run
+from spindlewatch.sources.register import RUN, exists, record_runs
 
-RUN = "ingest_run_id"
 CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"  # the default drops microseconds
 
 
@@ -35,27 +35,24 @@ def write_runs(df: DataFrame, path: str, arrange: bool = False) -> None:
     gathered by run, a run larger than the advisory partition size being split over several
     tasks, and each file is sorted by device and timestamp so that file statistics can skip
     data. What is derived from stored rows keeps their order and needs no shuffle.
+
+    A table with a column `timestamp` has its register of runs renewed for the runs written; their
+    names, a few per batch, come to the driver with the write itself.
     """
+    written = Observation()
+    df = df.observe(written, F.collect_set(RUN).alias("runs"))
     if arrange:
         df = df.hint("rebalance", RUN).sortWithinPartitions(RUN, "device", "timestamp")
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(RUN).parquet(path))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-    except Exception as error:  # the reader has no other way to tell
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
-    return True
+    if "timestamp" in df.columns:
+        record_runs(df.sparkSession, path, sorted(written.get["runs"]))
 
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Replace a table's rows but keep its columns; columns only `df` has are added."""
     spark = df.sparkSession
-    if _exists(spark, path):
+    if exists(spark, path):
         known = spark.read.parquet(path).schema
         df = spark.createDataFrame([], known).unionByName(df, allowMissingColumns=True)
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
