@@ -26,10 +26,7 @@ WIDTH = 16
 
 
 def _letters() -> np.ndarray:
-    table = np.zeros(0x110000, bool)
-    table[:0x10000] = [chr(c).isalpha() for c in range(0x10000)]
-    table[0x10000:] = True  # above the basic plane: mostly scripts and ideographs
-    return table
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 LETTERS: list[np.ndarray] = []
