@@ -11,6 +11,7 @@ completes the documents that cross blocks.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,9 @@ HEAD = 5  # tokens that spell a document's id, base 50,000
 DIGIT = 50_000
 BLOCK_BYTES = 4 << 20
 WIDTHS = {2: "<u2", 4: "<u4"}
+# Characters with the property White_Space; runs from this length on are cut out of a text.
+BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_BLANKS = re.compile(f"(?<!{BLANK}){BLANK}{{1024,}}")
 
 
 @lru_cache(maxsize=2)
@@ -38,6 +42,22 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode_text(code, text: str) -> list[int]:
+    """Token ids of a whole text, at any length of its runs of white space.
+
+    The word pattern takes all of such a run but its last character as one piece, by looking ahead from
+    each of its places, and the matcher runs out of room in runs near a million. Long runs are cut out
+    here by the same rule (all of the run where the text ends with it) and encoded as the pieces they are.
+    """
+    ids, start = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += code.encode_ordinary(text[start:run.start()])
+        ids += code._encode_single_piece(text[run.start():end].encode())
+        start = end
+    return ids + code.encode_ordinary(text[start:])
+
+
 def _digits(doc_id: int | None) -> list[int]:
     """The id as HEAD tokens, the first of which tells sign and null; none is the end id."""
     if doc_id is None:
@@ -55,14 +75,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str,
 
     Spark's text writer puts down each document's bytes and, as line separator, the two bytes of
     END: files are committed like any other output, and a lost task is simply run again. Null and
-    empty texts have no token of their own.
+    empty texts have no token of their own. Texts of any length are encoded whole.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary, pattern)
         for batch in batches:
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = code.encode_ordinary(t.as_py() or "")
+                ids = encode_text(code, t.as_py() or "")
                 rows.append(np.array(_digits(d) + ids, "<u2").tobytes())
                 if len(rows) == 256:
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
