@@ -28,6 +28,8 @@ PIVOTS = 64
 QUERY_BYTES = 16 << 20
 RING = 512
 NONE = -(1 << 62)  # below every score
+EXACT = 2.0 ** 52  # scores below are whole in doubles
+SLACK = 1e-6  # of the squared norms, for rounding in the bounds: distances are roots of differences
 
 
 def integer_vectors(vectors: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -76,8 +78,8 @@ def index(held: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, np.ndarray,
         F.max(F.size("v")).alias("width"),
         F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("most")).first()
     width, most = stats["width"] or 0, stats["most"] or 0.0
-    if most >= 2.0 ** 52:
-        raise ValueError("scores would not be exact: scale the vectors down")
+    if most >= -NONE:
+        raise ValueError("scores do not fit 64-bit integers: scale the vectors down")
     drawn = held.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     points = np.zeros((len(drawn), width))
     for i, row in enumerate(drawn):
@@ -123,6 +125,13 @@ class _Best:
         self.ids[rows] = np.take_along_axis(all_ids, order, 1)
 
 
+def _scores(q: np.ndarray, v: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of whole numbers, exact below 2^62: in 64-bit integers where doubles would round."""
+    if most < EXACT:
+        return np.rint(q @ v.T).astype(np.int64)
+    return q.astype(np.int64) @ v.T.astype(np.int64)
+
+
 def _search(ids: np.ndarray, q: np.ndarray, centres: np.ndarray, most: float, k: int):
     width = q.shape[1]
     square = (q * q).sum(1)
@@ -154,7 +163,7 @@ def _search(ids: np.ndarray, q: np.ndarray, centres: np.ndarray, most: float, k:
             bound = np.maximum(np.maximum(r[first] - d, d - r[last - 1]), 0)
             # The largest score that the bound leaves open, with room for rounding.
             reach = (square[:, None] + most - bound ** 2) / 2
-            reach += 1e-9 * (square[:, None] + most) + 0.25
+            reach += SLACK * (square[:, None] + most) + 0.25
             order = np.argsort(-reach, axis=1, kind="stable")
             live = np.arange(len(q))
             for turn in range(len(first)):
@@ -165,7 +174,7 @@ def _search(ids: np.ndarray, q: np.ndarray, centres: np.ndarray, most: float, k:
                     break
                 for one in np.unique(ring):
                     rows, at = live[ring == one], slice(first[one], last[one])
-                    score = np.rint(q[rows] @ v[at].T).astype(np.int64)
+                    score = _scores(q[rows], v[at], most)
                     score[ids[rows][:, None] == names[at][None, :]] = NONE
                     best.offer(rows, score, names[at])
         row, place = np.nonzero(best.score > NONE)
@@ -184,7 +193,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     is_query is a condition on `vec_id`. Ties go to the smaller id; a query with fewer than k
     others gets them all. Vectors of unequal length are compared as if padded with zeros. Rows
     that cannot take part and repeated ids are treated as `integer_vectors` says. An empty table
-    has no result.
+    has no result. Scores are exact; a ValueError tells that a squared norm of 2^62 or more, whose
+    scores a long may not hold, is among the integer vectors.
     """
     held = stage(integer_vectors(vectors, vec_id, vector, scale), "integer-vectors")
     spark = vectors.sparkSession
