@@ -4,10 +4,13 @@
 located by counting, whatever the size of the input:
 
 1. count values per coarse bucket (equal steps of sign(v) * log1p(|v|)), combined map-side;
-2. inside the few buckets that hold a wanted rank, count per fine bucket;
+2. inside the few buckets that hold a wanted rank, count per fine bucket, from the least to the
+   greatest value there; again inside those, until each holds few rows or one value;
 3. inside those fine buckets, count per distinct value and pick the rank.
 
-Both bucket functions never decrease as the value grows, so the ranks are exact. Counts are
+Bucket functions never decrease as the value grows, so the ranks are exact. The second step ends:
+the least and greatest value of a bucket never share a finer one. It is taken once unless values
+crowd in a part of their bucket, and at most six times for doubles. Counts are
 shuffled, and no group is gathered in one task. The values meet the cells that hold a wanted
 rank, a few per group, in a broadcast join while these are small; beyond that in a shuffled one.
 """
@@ -21,6 +24,7 @@ from spindlewatch.session import stage
 COARSE_STEPS = 128     # buckets per factor e
 COARSE_EDGE = 100_000  # beyond the largest finite double; only infinities are clamped
 FINE_BUCKETS = 1024
+CELL_ROWS = 1 << 16    # rows of several values that one cell may hold when its values are sorted
 
 
 def cleaned(metric: str) -> str:
@@ -94,11 +98,13 @@ def _holding(cells: DataFrame) -> DataFrame:
     return cells.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
 
 
-def search_quantiles(long: DataFrame, keys: list[str], probs: list[float], times: str | None = None) -> DataFrame:
+def search_quantiles(long: DataFrame, keys: list[str], probs: list[float], times: str | None = None,
+                     cell_rows: int = CELL_ROWS) -> DataFrame:
     """Percentiles of `metric_value` per key by repeated counting: columns keys, q (an array).
 
     `keys` must not be empty; null and NaN values must already be null. `times` names a column that
-    tells how often a value occurs; without it every row is one.
+    tells how often a value occurs; without it every row is one. A cell with more than `cell_rows`
+    rows is cut again, unless they are one value.
     """
     values = long.where(F.col("metric_value").isNotNull()).select(
         *keys, "metric_value", (F.col(times) if times else F.lit(1)).cast("long").alias("times"),
@@ -111,43 +117,49 @@ def search_quantiles(long: DataFrame, keys: list[str], probs: list[float], times
         F.array(F.floor(last * p), F.ceil(last * p)) for p in probs])))
     first_cells = stage(_holding(
         coarse.withColumn("total", total).withColumn("rank", F.explode(wanted))
-    ).select(*keys, "coarse", "low", "high", "total", "rank",
-             (F.col("rank") - F.col("before")).alias("offset")), "quantile-cells")
+    ).select(*keys, "coarse", "low", "high", "total", F.col("rank").alias("wanted"),
+             (F.col("rank") - F.col("before")).alias("place")), "quantile-cells")
 
     # The cells hold a handful of rows per group; the staged size lets the optimizer
     # broadcast them when that is safe.
-    ranges = first_cells.select(*keys, "coarse", "low", "high").distinct()
-    candidates = _null_safe_join(values, ranges, [*keys, "coarse"]).select(
-        *keys, "coarse", "metric_value", "times",
+    cells, names, inside = first_cells, ["coarse"], values
+    while True:
+        inside = _cut(inside, cells, keys, names)
+        parent, names = [*keys, "cell"], ["cell", "fine"]
+        fine = _with_rows_before(_counted(inside, [*parent, "fine"]), parent, "fine")
+        cells = stage(_placed(fine, cells.withColumn("cell", F.col("low")), parent).select(
+            *parent, "fine", "low", "high", "n", "wanted", "place"), "quantile-cells")
+        if cells.where((F.col("n") > cell_rows) & (F.col("low") < F.col("high"))).isEmpty():
+            break
+        inside = stage(inside, "quantile-values")  # crowded: what is left is read once a pass
+
+    cell = [*keys, *names]
+    distinct = _null_safe_join(inside, cells.select(*cell).distinct(), cell
+                               ).groupBy(*cell, "metric_value").agg(F.sum("times").alias("n"))
+    picked = _placed(_with_rows_before(distinct, cell, "metric_value"), cells, cell).select(
+        *keys, "wanted", "metric_value")
+    located = _null_safe_join(first_cells.select(*keys, "wanted", "total"), picked, [*keys, "wanted"])
+    by_rank = located.groupBy(*keys).agg(
+        F.max("total").alias("total"),
+        F.map_from_entries(F.collect_set(F.struct("wanted", "metric_value"))).alias("at"))
+    return by_rank.select(*keys, F.array(*[_interpolated(p) for p in probs]).alias("q"))
+
+
+def _cut(values: DataFrame, cells: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """The values inside the cells, each with its cell's least value, which names it, and its finer bucket."""
+    ranges = cells.select(*keys, *names, "low", "high").distinct()
+    return _null_safe_join(values.select(*keys, *names, "metric_value", "times"), ranges, [*keys, *names]).select(
+        *keys, F.col("low").alias("cell"), "metric_value", "times",
         _fine(F.col("metric_value"), F.col("low"), F.col("high")).alias("fine"))
 
-    cell = [*keys, "coarse"]
-    fine = _with_rows_before(_counted(candidates, [*cell, "fine"]), cell, "fine")
-    offsets = first_cells.groupBy(*cell).agg(F.collect_set("offset").alias("offsets"))
-    second_cells = stage(_holding(
-        _null_safe_join(fine, offsets, cell).withColumn("rank", F.explode("offsets"))
-    ).select(*cell, "fine", F.col("rank").alias("offset"),
-             (F.col("rank") - F.col("before")).alias("place")), "quantile-cells")
 
-    cell = [*cell, "fine"]
-    distinct = _null_safe_join(
-        candidates, second_cells.select(*cell).distinct(), cell
-    ).groupBy(*cell, "metric_value").agg(F.sum("times").alias("n"))
-    ordered = _with_rows_before(distinct, cell, "metric_value")
-    places = second_cells.groupBy(*cell).agg(
-        F.collect_list(F.struct("offset", "place")).alias("places"))
-    picked = _holding(
-        _null_safe_join(ordered, places, cell).withColumn("_p", F.explode("places"))
+def _placed(counts: DataFrame, cells: DataFrame, cell: list[str]) -> DataFrame:
+    """Of the counted parts of each cell, those that hold a wanted place in it; place is then that in the part."""
+    places = cells.groupBy(*cell).agg(F.collect_set(F.struct("wanted", "place")).alias("places"))
+    return _holding(
+        _null_safe_join(counts, places, cell).withColumn("_p", F.explode("places"))
         .withColumn("rank", F.col("_p.place"))
-    ).select(*keys, "coarse", F.col("_p.offset").alias("offset"), "metric_value")
-
-    located = _null_safe_join(
-        first_cells.select(*keys, "coarse", "offset", "rank", "total"), picked,
-        [*keys, "coarse", "offset"])
-    by_rank = located.groupBy(*keys).agg(
-        F.max("total").alias("total"),
-        F.map_from_entries(F.collect_set(F.struct("rank", "metric_value"))).alias("at"))
-    return by_rank.select(*keys, F.array(*[_interpolated(p) for p in probs]).alias("q"))
+    ).withColumns({"wanted": F.col("_p.wanted"), "place": F.col("rank") - F.col("before")})
 
 
 def _interpolated(p: float) -> Column:
