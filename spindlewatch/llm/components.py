@@ -54,6 +54,8 @@ def _enough(pairs: DataFrame, needed: DataFrame | None) -> DataFrame:
             .filter(F.col("shared") >= F.least("la", "lb")))
 
 
+ROUNDS = 6  # at most; single tries end once fewer than one in LEAST_YIELD makes a link
+LEAST_YIELD = 16
 BLOCK_NODES = 64
 BLOCK_ITEMS = 1 << 14  # entries of signatures a block may hold
 
@@ -71,9 +73,12 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], signatur
     links, as connected pairs are not tried.
 
     Pairs within a key are never all made. First every node is tried against one other: of the
-    smallest nodes of its keys, the one that it shares most keys with. Then only nodes outside a
-    key's largest component are compared, with the nodes of the key in other components: these meet
-    in blocks of bounded size, by signature, and a row is made only for a pair that agrees.
+    smallest nodes of its keys, the one that it shares most keys with. Then, in rounds, one node of each
+    component in a key is tried against two of that key's other components, by signature first: a row for
+    each key and component at most, so that groups grow together without pairs among their nodes. What the
+    rounds leave apart is compared in full: nodes outside a key's largest component with the nodes of
+    the key in other components. These meet in blocks of bounded size, by signature, and a row is made
+    only for a pair that agrees. How many rounds there are changes the work, not what is found.
     """
     heads = stage(postings.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"))
                   .filter("head < last").select("key", "head"), "heads")
@@ -81,28 +86,57 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], signatur
     best = (held.filter("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
             .groupBy(F.col("node").alias("b")).agg(F.max_by("head", "n").alias("a"), F.max("n").alias("shared")))
     tried = stage(_enough(best, needed).select("a", "b"), "tried")
-    first = stage(verify(tried).select("a", "b"), "links")
-    found = stage(components(first), "components")
-    fresh = stage(_agreeing(held, found, signatures, agree).join(tried, ["a", "b"], "left_anti"), "fresh")
+    links = stage(verify(tried).select("a", "b"), "links")
+    mixed = _mixed(held.select("key", "node"), stage(components(links), "components"))
+    if mixed.isEmpty():
+        return components(links), links
+    signed = stage(signatures(mixed.select("node").distinct()), "signatures")
+    for turn in range(ROUNDS):
+        pairs = stage(_single_tries(mixed, signed, agree, turn).join(tried, ["a", "b"], "left_anti"), "round-tried")
+        if pairs.isEmpty():
+            break
+        new = stage(verify(pairs).select("a", "b"), "round-links")
+        tried, links = tried.union(pairs), links.union(new)
+        mixed = _mixed(mixed.select("key", "node"), stage(components(links), "components"))
+        if new.count() * LEAST_YIELD <= pairs.count():
+            break
+    fresh = stage(_agreeing(mixed, signed, agree).join(tried, ["a", "b"], "left_anti"), "fresh")
     more = stage(verify(fresh).select("a", "b"), "more-links")
-    links = first.union(more)
+    links = links.union(more)
     return components(links), links
 
 
-def _agreeing(held: DataFrame, found: DataFrame, signatures: Callable, agree: Callable) -> DataFrame:
+def _mixed(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, component, major), staged: keys in several components; major tells their largest."""
+    placed = stage(held.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")),
+                   "placed")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = (sizes.groupBy("key").agg(F.max_by("component", "n").alias("most"), F.count(F.lit(1)).alias("parts"))
+            .filter("parts > 1").select("key", "most"))
+    return stage(placed.join(most, "key").select("key", "node", "component", (F.col("component") == F.col("most")).alias("major")),
+                 "mixed-keys")
+
+
+def _single_tries(mixed: DataFrame, signed: DataFrame, agree: Callable, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) that agree: of each key and component one node, drawn anew each turn, with
+    those drawn for the key's largest component and for another one."""
+    drawn = (mixed.groupBy("key", "component", "major").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+             .join(signed, "node"))
+    one = F.struct("node", "component", "sig")
+    targets = drawn.groupBy("key").agg(
+        F.max_by(one, "major").alias("first"),
+        F.min_by(one, F.xxhash64("component", F.lit(turn))).alias("second"))
+    met = (drawn.join(targets, "key").select("node", "component", "sig", F.explode(F.array("first", "second")).alias("other"))
+           .filter((F.col("component") != F.col("other.component")) & agree(F.col("sig"), F.col("other.sig"))))
+    return met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
+
+
+def _agreeing(mixed: DataFrame, signed: DataFrame, agree: Callable) -> DataFrame:
     """Distinct pairs (a, b) of nodes of different components that share a key and agree.
 
     A key's nodes are dealt by hash into blocks, those of its largest component apart from the others.
     A block of the others meets every block of the key, itself included.
     """
-    placed = held.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = stage(placed, "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = (sizes.groupBy("key").agg(F.max_by("component", "n").alias("most"), F.count(F.lit(1)).alias("parts"))
-            .filter("parts > 1").select("key", "most"))
-    mixed = stage(placed.join(most, "key").select("key", "node", "component", (F.col("component") == F.col("most")).alias("major")),
-                  "mixed-keys")
-    signed = stage(signatures(mixed.select("node").distinct()), "signatures")
     full = mixed.join(signed, "node")
     parts = full.groupBy("key", "major").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.size("sig.items")) / BLOCK_ITEMS)).alias("parts"))

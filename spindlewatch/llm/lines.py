@@ -92,11 +92,12 @@ def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: int = ROWS * BANDS // 2) -> DataFrame:
-    """(doc_id, line_no, k, sig), staged: the key of every line, and half of each of its minima's bits."""
+    """(doc_id, line_no, k, n, sig), staged: key and distinct shingles of every line, half of each of its minima's bits."""
     hashed = split_lines(docs, doc_id, text).select(
         "doc_id", "line_no", line_key(F.col("line")).alias("k"), shingles(F.col("line")).alias("s"))
     least = F.transform(minima(count), lambda x: F.shiftright(x, 32).cast("int"))
-    return stage(with_rings(hashed, count).select("doc_id", "line_no", "k", least.alias("sig")), "signed-lines")
+    return stage(with_rings(hashed, count).select(
+        "doc_id", "line_no", "k", F.size(F.array_distinct("own")).alias("n"), least.alias("sig")), "signed-lines")
 
 
 def line_classes(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -124,12 +125,14 @@ def line_classes(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", tex
 
     def signatures(nodes: DataFrame) -> DataFrame:
         wanted = nodes.withColumnRenamed("node", "k")
-        return (may_hold(signed.select("k", "sig"), "k", wanted).join(wanted, "k").groupBy(F.col("k").alias("node"))
-                .agg(F.any_value("sig").alias("items")).select("node", F.struct("items").alias("sig")))
+        return (may_hold(signed.select("k", "n", "sig"), "k", wanted).join(wanted, "k").groupBy(F.col("k").alias("node"))
+                .agg(F.any_value(F.struct("n", F.col("sig").alias("items"))).alias("sig")))
 
     def agree(a: Column, b: Column) -> Column:
+        # A smaller set cannot fill its share of a much larger one.
+        fits = F.least(a["n"], b["n"]) >= F.lit(similar) * F.greatest(a["n"], b["n"])
         equal = F.zip_with(a["items"], b["items"], lambda x, y: x == y)
-        return F.size(F.filter(equal, lambda x: x)) >= floor
+        return F.when(fits, F.size(F.filter(equal, lambda x: x)) >= floor).otherwise(False)
 
     return link(postings, verify, signatures, agree)
 
