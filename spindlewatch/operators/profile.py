@@ -19,6 +19,10 @@ DESCRIBED = [
     "await_ratio", "svctm_await_ratio", "queue_efficiency", "write_amplification",
     "iowait_pressure",
 ]
+EXPLORED = [
+    "total_iops", "avg_latency_ms", "util_pct", "aqu_sz", "saturation_score", "merge_efficiency",
+    "queue_efficiency", "iowait_pressure", "svctm_await_ratio", "write_amplification",
+]
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
 QUANTILE_METRICS = [
     "avg_latency_ms", "total_iops", "merge_efficiency", "queue_efficiency", "iowait_pressure",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spindlewatch.functions.features import derive_features, parsed_timestamp
 from spindlewatch.functions.rounding import reported
+from spindlewatch.functions.rules import HINTS, SEVERITY_FLOORS, assign_severity, root_cause_hint
 from spindlewatch.functions.workload import add_adaptive_patterns, add_workload_patterns
 from spindlewatch.operators import facts, marts, profile, quality, questions, summary
 from spindlewatch.operators.detect import (
@@ -20,17 +21,19 @@ from spindlewatch.operators.forest import detect_isolation_forest
 from spindlewatch.operators.runs import latest_runs
 from spindlewatch.plans.pipeline import Warehouse, curate, detect, load, publish, publish_batch, validate
 from spindlewatch.schema import (
-    COMBINED_METRICS, CURATED_SCHEMA, EVENT_SCHEMA, EVIDENCE_SCHEMA, LEGACY_NAMES, LOG_METRICS, RAW_SCHEMA,
-    SEVERITIES,
+    COMBINED_METRICS, CURATED_SCHEMA, EVENT_SCHEMA, EVIDENCE_SCHEMA, LEGACY_NAMES, LOG_METRICS, RAW_METRICS,
+    RAW_SCHEMA, SEVERITIES,
 )
 from spindlewatch.session import scratch_path, stage
 from spindlewatch.sources import logs, tables
-from spindlewatch.sources.feed import read_feed
+from spindlewatch.sources.feed import BAD_LABEL, BAD_LABEL_MINUTE, SILENT_DEVICE, read_dirty_feed, read_feed
 
 DIGITS = 6
 BASELINE_METRICS = ["avg_latency_ms", "total_iops"]
 # Five rows cannot contain a three-deviation outlier, so events use a longer baseline.
 EVENT_WINDOW = 60
+# Metrics whose events are explained by the queue.
+QUEUE_METRICS = ["aqu_sz", "latency_pressure"]
 FOREST_METRICS = ["avg_latency_ms", "saturation_score", "total_iops"]
 AS_OF = datetime(2024, 1, 31)
 
@@ -128,6 +131,19 @@ class Feed:
         }
 
 
+    @cached_property
+    def dirty_raw(self) -> DataFrame:
+        """Faulty samples after the loader's repair."""
+        return logs.raw_rows(read_dirty_feed(self.spark, self.folder))
+
+    @cached_property
+    def dirty_curated(self) -> DataFrame:
+        """Faulty samples with features, some under a label that does not exist."""
+        label = F.when(F.minute("timestamp") == BAD_LABEL_MINUTE, BAD_LABEL).otherwise(F.col("workload_pattern"))
+        return derive_features(self.dirty_raw).withColumn("workload_pattern", label).select(
+            *CURATED_SCHEMA.fieldNames())
+
+
 def _details(feed: Feed) -> DataFrame:
     parsed = feed.found.select(
         "device", "timestamp", "metric_name", F.from_json("details", EVIDENCE_SCHEMA).alias("d"))
@@ -173,6 +189,73 @@ def _csv_files(feed: Feed) -> DataFrame:
     return rows.withColumn("timestamp", parsed_timestamp(rows))
 
 
+# How the files of `source_csv_mixed` differ: minute of the sample modulo 3 -> columns left out.
+MIXED_DROPPED = {0: ["svctm", "iowait_pct"], 1: [], 2: ["rrqm_s", "wrqm_s"]}
+
+
+def _csv_mixed(feed: Feed) -> DataFrame:
+    """Samples in CSV files with old names, new names, and new names backwards, read back as one load."""
+    folder = scratch_path(feed.spark, "csv-mixed")
+    old = {new: legacy for legacy, new in LEGACY_NAMES.items()}
+    samples = feed.raw.drop("source_file", "ingest_run_id")
+    kinds = {
+        0: lambda df: df.withColumnsRenamed(old),
+        1: lambda df: df,
+        2: lambda df: df.select(*reversed(df.columns)),
+    }
+    for kind, shaped in kinds.items():
+        part = samples.where(F.minute("timestamp") % len(kinds) == kind).drop(*MIXED_DROPPED[kind])
+        shaped(part.withColumn("timestamp", F.col("timestamp").cast("string"))).write.option(
+            "header", True).csv(f"{folder}/kind={kind}")
+    paths = [f"{folder}/kind={kind}" for kind in kinds]
+    return logs.read_csv_mixed(feed.spark, paths, "loaded").drop("source_file")
+
+
+def _dirty_quality(feed: Feed) -> DataFrame:
+    """Checks of faulty samples, and of events of which those of one device have lost their cause."""
+    cause = F.when(F.col("device") != SILENT_DEVICE, F.col("root_cause_hint"))
+    return quality.union_checks(
+        quality.check_raw(feed.dirty_raw.drop("w_s")),
+        quality.check_parsed(feed.dirty_raw),
+        quality.check_curated(feed.dirty_curated),
+        quality.check_events(feed.found.withColumn("root_cause_hint", cause)),
+        quality.check_published({"idle at full speed": feed.curated.where("total_iops = 0 AND r_s > 0")}),
+    )
+
+
+# Metrics and detectors dealt to samples by hour and second, one unknown name among each.
+HINT_METRICS = [*HINTS, "r_await"]
+HINT_DETECTORS = [*SEVERITY_FLOORS, "manual"]
+# A sample's score as a detector would scale it: the forest's scores are below one.
+HINT_SCORE = {"isolation_forest": "util_pct / 200D"}
+
+
+def _graded_hints(feed: Feed) -> DataFrame:
+    """Severity and cause of every metric and detector, over faulty samples with the eight labels."""
+    def pick(names: list[str], part: str) -> str:
+        # element_at passes for never null where its array has no nulls, so a null place is kept from it.
+        return (f"IF(timestamp IS NULL, NULL, element_at(array({', '.join(map(repr, names))}), "
+                f"{part}(timestamp) % {len(names)} + 1))")
+
+    samples = add_workload_patterns(feed.dirty_curated).selectExpr(
+        "*", f"{pick(HINT_METRICS, 'hour')} AS metric_name", f"{pick(HINT_DETECTORS, 'second')} AS detector_type")
+    scores = " ".join(f"WHEN '{name}' THEN {score}" for name, score in HINT_SCORE.items())
+    scored = samples.selectExpr("*", f"CASE detector_type {scores} ELSE util_pct / 12D END AS anomaly_score")
+    return assign_severity(scored).withColumn(
+        "root_cause_hint", F.expr(root_cause_hint(scored.columns))).groupBy(
+        "metric_name", "detector_type", "severity", "root_cause_hint").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _coverage_with_gaps(feed: Feed) -> DataFrame:
+    """Coverage when one table lacks a device, and another lacks two and holds rows without a device."""
+    health = marts.device_health(feed.dirty_curated, feed.found)
+    return profile.device_coverage({
+        **feed.datasets,
+        "anomaly_timeline": marts.anomaly_timeline(feed.events).where(F.col("device") != SILENT_DEVICE),
+        "device_health": health.where("device IS NULL OR device NOT LIKE 'nvme%'"),
+    }, "device_overview")
+
+
 def _stored_runs(feed: Feed) -> DataFrame:
     """All runs stored, one of them twice; rows per run and what one run's folder holds."""
     path = scratch_path(feed.spark, "runs")
@@ -286,6 +369,7 @@ _FEED_QUERIES: dict[str, Callable[[Feed], DataFrame]] = {
     # files and stored tables
     "source_iostat_logs": _iostat_logs,
     "source_csv": _csv_files,
+    "source_csv_mixed": _csv_mixed,
     "stored_runs": _stored_runs,
     "replaced_table": _replaced_table,
     "exported_csv": _exported_csv,
@@ -342,6 +426,8 @@ _FEED_QUERIES: dict[str, Callable[[Feed], DataFrame]] = {
     "q19_causes_matching": lambda f: questions.causes_matching(f.causes, f.event_runs, "queue"),
     "q20_saturation_slope": lambda f: questions.saturation_slope(f.curated),
     "q21_queued_but_not_busy": lambda f: questions.queued_but_not_busy(f.events, register=f.event_runs),
+    "q21_queue_metrics": lambda f: questions.queued_but_not_busy(
+        graded(detect_iqr(f.curated, QUEUE_METRICS), f.curated)),
     "q22_saturation_hours": lambda f: questions.saturation_hours(f.found),
     "q23_top_causes_per_run": lambda f: questions.top_causes_per_run(f.causes),
     "q24_performance_with_cause": lambda f: questions.performance_with_cause(f.curated, f.found),
@@ -356,6 +442,10 @@ _FEED_QUERIES: dict[str, Callable[[Feed], DataFrame]] = {
     # profiles
     "profile_describe": lambda f: settled(profile.describe(f.curated)),
     "profile_nulls": lambda f: profile.null_and_distinct(f.curated),
+    "profile_nulls_dirty": lambda f: profile.null_and_distinct(f.dirty_curated),
+    "profile_describe_ten": lambda f: settled(profile.describe(f.curated, profile.EXPLORED)),
+    "profile_describe_raw": lambda f: settled(profile.describe(f.raw, RAW_METRICS)),
+    "profile_nulls_raw": lambda f: profile.null_and_distinct(f.raw),
     "profile_quantiles": lambda f: settled(profile.quantile_table(f.curated)),
     "profile_means_by_device": lambda f: profile.means_by(f.curated, "device", profile.DEVICE_MEANS, 4),
     "profile_means_by_hour": lambda f: profile.means_by(f.curated, "hour_of_day", profile.HOUR_MEANS, 3),
@@ -374,6 +464,7 @@ _FEED_QUERIES: dict[str, Callable[[Feed], DataFrame]] = {
     "profile_cause_pairs": lambda f: profile.frequencies(f.found, "device", "root_cause_hint"),
     "profile_pivot": lambda f: profile.severity_pivot(f.found, SEVERITIES),
     "profile_coverage": lambda f: profile.device_coverage(f.datasets, "device_overview"),
+    "profile_coverage_with_gaps": _coverage_with_gaps,
     "profile_event_context": lambda f: settled(
         profile.events_in_context(f.found, f.curated), "anomaly_score").drop("details"),
     "profile_critical_events": lambda f: profile.critical_events(f.found),
@@ -388,6 +479,8 @@ _FEED_QUERIES: dict[str, Callable[[Feed], DataFrame]] = {
         summary.key_figures(f.overview, f.events), summary.top_root_causes(f.causes)),
     # quality
     "quality_checks": _quality,
+    "quality_of_dirty_rows": _dirty_quality,
+    "hints_all_metrics": _graded_hints,
 }
 
 

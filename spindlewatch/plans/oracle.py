@@ -9,12 +9,14 @@ from spindlewatch.operators.marts import (
 )
 from spindlewatch.operators.facts import SERIES_COLUMNS
 from spindlewatch.plans.catalog import (
-    BASELINE_METRICS, CSV_DROPPED, DIGITS, EVENT_WINDOW, LOG_TIME, PUBLISHED,
+    BASELINE_METRICS, CSV_DROPPED, DIGITS, EVENT_WINDOW, HINT_DETECTORS, HINT_METRICS, LOG_TIME, MIXED_DROPPED,
+    PUBLISHED, QUEUE_METRICS,
 )
 from spindlewatch.schema import (
-    COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, EVIDENCE_SCHEMA, LOG_METRICS, NO_ANOMALIES, RAW_SCHEMA,
+    COMBINED_METRICS, CURATED_SCHEMA, EVENT_CONTEXT, EVIDENCE_SCHEMA, LOG_METRICS, NO_ANOMALIES, RAW_METRICS, RAW_SCHEMA,
     WORKLOAD_PATTERNS,
 )
+from spindlewatch.sources.feed import BAD_LABEL, BAD_LABEL_MINUTE, SILENT_DEVICE
 
 RAW_NAMES = ", ".join(RAW_SCHEMA.fieldNames())
 CURATED_NAMES = ", ".join(CURATED_SCHEMA.fieldNames())
@@ -86,6 +88,27 @@ CURATED = f"""
                 rrqm_s + wrqm_s AS merge_rate_total FROM raw)))
 """
 
+DIRTY = """
+    SELECT CASE m WHEN 1 THEN NULL ELSE device END AS device,
+        CASE m WHEN 2 THEN NULL ELSE timestamp END AS timestamp,
+        CASE m WHEN 5 THEN NULL WHEN 6 THEN -1 - r_s ELSE r_s END AS r_s,
+        CASE m WHEN 7 THEN NULL WHEN 8 THEN -2 ELSE w_s END AS w_s,
+        CASE m WHEN 9 THEN -0.5::DOUBLE ELSE rmb_s END AS rmb_s,
+        CASE m WHEN 10 THEN -0.25::DOUBLE ELSE wmb_s END AS wmb_s, r_await, w_await,
+        CASE m WHEN 11 THEN -3 ELSE aqu_sz END AS aqu_sz,
+        CASE m WHEN 3 THEN util_pct + 100 WHEN 4 THEN -1 ELSE util_pct END AS util_pct,
+        rrqm_s, wrqm_s, rareq_sz, wareq_sz,
+        CASE m WHEN 12 THEN NULL ELSE svctm END AS svctm, iowait_pct,
+        CASE m WHEN 12 THEN NULL ELSE source_file END AS source_file, ingest_run_id
+    FROM (SELECT *, minute(timestamp) AS m FROM raw)
+"""
+
+DIRTY_CURATED = f"""
+    SELECT * REPLACE (CASE WHEN minute(timestamp) = {BAD_LABEL_MINUTE} THEN {text(BAD_LABEL)}
+        ELSE workload_pattern END AS workload_pattern)
+    FROM ({CURATED.replace('FROM raw)', 'FROM dirty)')})
+"""
+
 ADDITIVE = f"""
     SELECT *, util_pct * 0.5::DOUBLE + aqu_sz * 30 + avg_latency_ms * 2 AS saturation_score,
         avg_latency_ms * (aqu_sz + 1) AS latency_pressure
@@ -146,11 +169,25 @@ HINT = f"""CASE
             ELSE {text(rules.PLAIN_IOPS)} END
         ELSE {text(rules.UNEXPLAINED)} END"""
 
+# The arms that the combined detector's metrics never reach come first.
+FULL_HINT = HINT.replace("CASE", f"""CASE
+        WHEN metric_name = 'util_pct' THEN CASE WHEN util_pct >= 90 THEN {text(rules.FULL_UTILIZATION)}
+            ELSE {text(rules.PLAIN_UTILIZATION)} END
+        WHEN metric_name = 'aqu_sz' THEN CASE WHEN avg_latency_ms >= 10 THEN {text(rules.QUEUE_LATENCY)}
+            ELSE {text(rules.PLAIN_QUEUE)} END
+        WHEN metric_name = 'latency_pressure' THEN {text(rules.LATENCY_PRESSURE)}
+        WHEN metric_name = 'multivariate' THEN CASE workload_pattern
+            WHEN 'saturated' THEN {text(rules.JOINT_SATURATED)} WHEN 'write_heavy' THEN {text(rules.JOINT_WRITE)}
+            WHEN 'read_heavy' THEN {text(rules.JOINT_READ)} ELSE {text(rules.PLAIN_JOINT)} END""", 1)
+
 Z_SEVERITY = """CASE WHEN anomaly_score >= 5 THEN 'critical' WHEN anomaly_score >= 4 THEN 'high'
         ELSE 'medium' END"""
 IQR_SEVERITY = """CASE WHEN anomaly_score >= 5 THEN 'critical' WHEN anomaly_score >= 3 THEN 'high'
         WHEN anomaly_score >= 1.5 THEN 'medium' ELSE 'low' END"""
 
+FOREST_SEVERITY = """CASE WHEN anomaly_score >= 0.3 THEN 'critical' WHEN anomaly_score >= 0.15 THEN 'high'
+        WHEN anomaly_score >= 0.05 THEN 'medium' ELSE 'low' END"""
+
 
 def statistics(source: str, metrics: list[str]) -> str:
     return f"""
@@ -326,6 +363,8 @@ def newest(table: str) -> str:
 PARTS: dict[str, tuple[str, list[str]]] = {
     "raw": (RAW, []),
     "curated": (CURATED, ["raw"]),
+    "dirty": (DIRTY, ["raw"]),
+    "dirty_curated": (DIRTY_CURATED, ["dirty"]),
     "additive": (ADDITIVE, ["raw"]),
     "clipped": (CLIPPED, ["raw"]),
     "found": (combined("curated"), ["curated"]),
@@ -334,6 +373,8 @@ PARTS: dict[str, tuple[str, list[str]]] = {
         f"{graded(rolling_events(), ABSOLUTE_Z)} UNION ALL "
         f"{graded(iqr_events(BASELINE_METRICS), IQR_SEVERITY)} UNION ALL "
         f"SELECT {EVENT_NAMES} FROM found", ["rolled", "found"]),
+    "queue_events": (
+        graded(iqr_events(QUEUE_METRICS), IQR_SEVERITY).replace(HINT, FULL_HINT), ["curated"]),
     "overview": (OVERVIEW, ["curated", "found"]),
     "causes": (CAUSES, ["found"]),
     "runs": (RUNS, ["curated", "found"]),
@@ -395,19 +436,19 @@ def _means(key: str, columns: list[str], digits: int) -> str:
     return sql(f"SELECT {key}, {means} FROM curated GROUP BY {key}", "curated")
 
 
-def _describe() -> str:
+def _describe(source: str, columns: list[str]) -> str:
     rows = " UNION ALL ".join(f"""SELECT '{c}' AS metric_name, count({c}) AS count, avg({c}) AS mean,
         stddev_samp({c}) AS std, min({c}) AS min,
         {', '.join(f"quantile_cont({c}, {p}) AS p{int(p * 100)}" for p in profile.QUANTILES)},
-        max({c}) AS max FROM curated""" for c in profile.DESCRIBED)
-    return sql(settled(rows, ["mean", "std", "min", "p50", "p90", "p95", "p99", "max"]), "curated")
+        max({c}) AS max FROM {source}""" for c in columns)
+    return sql(settled(rows, ["mean", "std", "min", "p50", "p90", "p95", "p99", "max"]), source)
 
 
-def _nulls() -> str:
+def _nulls(source: str, columns: list[str]) -> str:
     return sql(" UNION ALL ".join(
         f"""SELECT '{c}' AS column_name,
             CAST(round(CAST(100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*) AS DECIMAL(38, 9)), 2) AS DOUBLE) AS null_pct,
-            count(DISTINCT {c}) AS n_distinct FROM curated""" for c in CURATED_SCHEMA.fieldNames()), "curated")
+            count(DISTINCT {c}) AS n_distinct FROM {source}""" for c in columns), source)
 
 
 def _quantiles() -> str:
@@ -496,6 +537,59 @@ def _quality() -> str:
                "run_summary")
 
 
+def _dirty_quality() -> str:
+    rows = []
+
+    def add(dataset: str, columns: list[str], checks: dict[str, str], table: str) -> None:
+        for c in columns:
+            rows.append(f"SELECT '{dataset}' AS dataset, 'column {c}' AS check_name, "
+                        f"{int(dataset == 'raw' and c == 'w_s')}::BIGINT AS violations")
+        for check, condition in checks.items():
+            rows.append(f"SELECT '{dataset}', '{check}', (SELECT count(*) FROM {table} WHERE {condition})")
+
+    range_check = {"util_pct in range": "util_pct < 0 OR util_pct > 100"}
+    known = ", ".join(text(p) for p in WORKLOAD_PATTERNS)
+    add("raw", quality.REQUIRED["raw"], {}, "dirty")
+    add("parsed", quality.REQUIRED["raw"], {
+        **{f"{c} not null": f"{c} IS NULL" for c in ("device", "timestamp")}, **range_check,
+        **{f"{c} not negative": f"{c} < 0" for c in quality.NON_NEGATIVE}}, "dirty")
+    add("curated", quality.REQUIRED["curated"], {
+        "total_iops not null": "total_iops IS NULL", **range_check,
+        "workload_pattern known": f"workload_pattern NOT IN ({known})"}, "dirty_curated")
+    add("events", quality.REQUIRED["events"], {
+        "root_cause_hint not null": f"device = {text(SILENT_DEVICE)}"}, "found")
+    rows.append("""SELECT 'idle at full speed', 'has rows',
+        (SELECT CAST(count(*) = 0 AS BIGINT) FROM curated WHERE total_iops = 0 AND r_s > 0)""")
+    return sql(" UNION ALL ".join(rows), "curated", "dirty", "dirty_curated", "found")
+
+
+def _dealt(names: list[str], part: str) -> str:
+    return f"[{', '.join(text(n) for n in names)}][{part}(timestamp) % {len(names)} + 1]"
+
+
+def _graded_hints() -> str:
+    return sql(f"""
+    SELECT metric_name, detector_type, CASE detector_type WHEN 'rolling_zscore' THEN {Z_SEVERITY}
+            WHEN 'iqr' THEN {IQR_SEVERITY} WHEN 'isolation_forest' THEN {FOREST_SEVERITY} ELSE 'low' END AS severity,
+        {FULL_HINT} AS root_cause_hint, count(*) AS n
+    FROM (SELECT * REPLACE ({EIGHT_CLASSES} AS workload_pattern),
+            util_pct / CASE detector_type WHEN 'isolation_forest' THEN 200 ELSE 12 END AS anomaly_score
+        FROM (SELECT *, {_dealt(HINT_METRICS, 'hour')} AS metric_name,
+            {_dealt(HINT_DETECTORS, 'second')} AS detector_type FROM dirty_curated))
+    GROUP BY 1, 2, 3, 4""", "dirty_curated")
+
+
+def _gaps() -> str:
+    tables = {"device_overview": "overview",
+              "anomaly_timeline": f"(SELECT device FROM found WHERE device <> {text(SILENT_DEVICE)})",
+              "device_health": "(SELECT device FROM dirty_curated WHERE device NOT LIKE 'nvme%')"}
+    return sql(" UNION ALL ".join(
+        f"""SELECT '{name}' AS dataset, (SELECT count(DISTINCT device) FROM {t}) AS n_devices,
+            (SELECT count(*) FROM (SELECT DISTINCT device FROM overview
+                WHERE device NOT IN (SELECT device FROM {t}))) AS n_missing""" for name, t in tables.items()),
+        "overview", "found", "dirty_curated")
+
+
 def _changes() -> str:
     measures = ["avg_latency_ms", "avg_util_pct", "avg_throughput_mb_s", "avg_saturation_score", "top_root_cause"]
 
@@ -643,6 +737,11 @@ def oracle_sql() -> dict[str, str]:
         "source_csv": sql(f"""
             SELECT {RAW_NAMES} FROM (SELECT * REPLACE ({', '.join(f'0.0::DOUBLE AS {c}' for c in CSV_DROPPED)},
                 'samples.csv' AS source_file, 'loaded' AS ingest_run_id) FROM raw)""", "raw"),
+        "source_csv_mixed": sql(f"""
+            SELECT {', '.join(n for n in RAW_SCHEMA.fieldNames() if n != 'source_file')} FROM (
+                SELECT * REPLACE ('loaded' AS ingest_run_id, {', '.join(
+                    f"CASE WHEN minute(timestamp) % {len(MIXED_DROPPED)} = {kind} THEN 0 ELSE {c} END AS {c}"
+                    for kind, dropped in MIXED_DROPPED.items() for c in dropped)}) FROM raw)""", "raw"),
         "stored_runs": sql("""SELECT ingest_run_id, count(*) AS n, min(timestamp) AS first,
             max(timestamp) AS last FROM raw GROUP BY ingest_run_id""", "raw"),
         "replaced_table": sql(settled(
@@ -768,6 +867,10 @@ def oracle_sql() -> dict[str, str]:
         "q21_queued_but_not_busy": sql(f"""
             SELECT device, timestamp, metric_name, severity, util_pct, root_cause_hint FROM found
             WHERE ingest_run_id = {latest_e} AND root_cause_hint ILIKE '%queue%' AND util_pct < 70""", "found"),
+        "q21_queue_metrics": sql(f"""
+            SELECT device, timestamp, metric_name, severity, util_pct, root_cause_hint FROM queue_events
+            WHERE ingest_run_id = {newest("queue_events")} AND root_cause_hint ILIKE '%queue%'
+                AND util_pct < 70""", "queue_events"),
         "q22_saturation_hours": sql("""
             SELECT CAST(hour(timestamp) AS INTEGER) AS hour_of_day, count(*) AS event_count FROM found
             WHERE metric_name ILIKE '%saturation%' GROUP BY 1 ORDER BY event_count DESC, hour_of_day LIMIT 5""",
@@ -794,8 +897,12 @@ def oracle_sql() -> dict[str, str]:
             FROM curated WHERE ingest_run_id = {latest_c} GROUP BY device""", "curated"),
         "q29_device_change": _changes(),
         "q29_run_change": _run_change(),
-        "profile_describe": _describe(),
-        "profile_nulls": _nulls(),
+        "profile_describe": _describe("curated", profile.DESCRIBED),
+        "profile_describe_ten": _describe("curated", profile.EXPLORED),
+        "profile_describe_raw": _describe("raw", RAW_METRICS),
+        "profile_nulls": _nulls("curated", CURATED_SCHEMA.fieldNames()),
+        "profile_nulls_dirty": _nulls("dirty_curated", CURATED_SCHEMA.fieldNames()),
+        "profile_nulls_raw": _nulls("raw", RAW_SCHEMA.fieldNames()),
         "profile_quantiles": _quantiles(),
         "profile_means_by_device": _means("device", profile.DEVICE_MEANS, 4),
         "profile_means_by_hour": _means("hour_of_day", profile.HOUR_MEANS, 3),
@@ -815,6 +922,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT device, root_cause_hint, count(*) AS n FROM found GROUP BY device, root_cause_hint", "found"),
         "profile_pivot": _pivot(),
         "profile_coverage": _coverage(),
+        "profile_coverage_with_gaps": _gaps(),
         "profile_event_context": _event_context(),
         "profile_critical_events": sql("""
             SELECT device, timestamp, metric_name, severity, workload_pattern, root_cause_hint
@@ -836,4 +944,6 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY 1 ORDER BY devices DESC, dominant_workload_pattern LIMIT 5""", "overview"),
         "summary_recommendations": _recommendations(),
         "quality_checks": _quality(),
+        "quality_of_dirty_rows": _dirty_quality(),
+        "hints_all_metrics": _graded_hints(),
     }

@@ -51,3 +51,35 @@ def read_feed(spark: SparkSession, folder: str) -> DataFrame:
                     f"{slot(DEVICES)} AS device", f"CAST({slot(SLOWNESS)} AS DOUBLE) AS f")
         .selectExpr(*[f"{expression} AS {name}" for name, expression in columns.items()])
     )
+
+
+# --- Fixed values of the faults: minute of the sample -> what is wrong with it ---
+FAULTS = {
+    1: {"device": "CAST(NULL AS STRING)"},
+    2: {"timestamp": "CAST(NULL AS TIMESTAMP)"},
+    3: {"util_pct": "util_pct + 100"},
+    4: {"util_pct": "-1D"},
+    5: {"r_s": "double('NaN')"},
+    6: {"r_s": "-1D - r_s"},
+    7: {"w_s": "CAST(NULL AS DOUBLE)"},
+    8: {"w_s": "-2D"},
+    9: {"rmb_s": "-0.5D"},
+    10: {"wmb_s": "-0.25D"},
+    11: {"aqu_sz": "-3D"},
+    12: {"svctm": "double('NaN')", "source_file": "CAST(NULL AS STRING)"},
+}
+BAD_LABEL_MINUTE = 13
+BAD_LABEL = "mystery"
+SILENT_DEVICE = "sda"
+# --- End of fixed values ---
+
+
+def read_dirty_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The samples of `read_feed` with faults planted by the minute of their timestamp."""
+    raw = read_feed(spark, folder)
+
+    def faulty(column: str) -> str:
+        arms = " ".join(f"WHEN {minute} THEN {fault[column]}" for minute, fault in FAULTS.items() if column in fault)
+        return f"CASE minute(timestamp) {arms} ELSE {column} END AS {column}" if arms else column
+
+    return raw.selectExpr(*map(faulty, raw.columns))

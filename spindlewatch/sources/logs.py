@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spindlewatch.schema import LEGACY_NAMES, LOG_METRICS, RAW_METRICS, RAW_SCHEMA
+from spindlewatch.session import stage
 
 # --- Fixed values: what a log's header line contains, and the tokens of a sample line ---
 HEADER_WORDS = ("Device", "r/s")
@@ -28,41 +32,39 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Log lines with the file, the block of the file they start in, and their order there.
+    """Headers and lines with enough tokens, staged once, with their place in their file.
 
-    A block is read by one task in file order, so the generated id orders its lines.
+    A place is the block of the file a line starts in and an id within it. A block is read by one
+    task in file order, so the ids of its lines ascend. Staging turns places into data: whatever
+    reads them later sees the same ones, however the files are split by then.
     """
-    return spark.read.text(paths).select(
+    lines = spark.read.text(paths).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("position"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("position")).alias("place"),
     ).withColumn("is_header", F.contains("line", F.lit(HEADER_WORDS[0]))
                  & F.contains("line", F.lit(HEADER_WORDS[1])))
+    return stage(lines.selectExpr(
+        "*", r"split(trim(regexp_replace(line, '\\s+', ' ')), ' ') AS tokens"
+    ).where(f"is_header OR size(tokens) >= {LOG_TOKENS}"), "log-lines")
 
 
 def _sample_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines that follow a header of their own file and have enough tokens.
 
-    Whether a header came before is decided in two steps, so that a log of any size is
-    shared by many tasks: which blocks follow a block with a header (one row per block), and
-    within a block, which lines follow a header. Both use the key (file, block), so lines
-    are shuffled once and no task receives more than a block of one file.
+    A line counts if its place is after that of its file's first header. These places are one
+    row per file, aggregated within tasks first, staged and joined back: lines stay in the tasks that
+    read them while the places are under the session's broadcast threshold. Beyond it (hundreds
+    of thousands of files) lines are shuffled by file, and AQE splits a large file's share.
+    A file without a header gives no row, an empty one neither.
     """
     lines = _lines(spark, paths)
-    blocks = lines.groupBy("file", "block").agg(F.max("is_header").alias("has_header"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opened = blocks.select(
-        "file", "block", F.coalesce(F.max("has_header").over(earlier), F.lit(False)).alias("opened"))
-    so_far = Window.partitionBy("file", "block").orderBy("position").rowsBetween(
-        Window.unboundedPreceding, 0)
+    first = stage(lines.where("is_header").groupBy("file").agg(F.min("place").alias("opened")), "log-headers")
     return (
-        lines.withColumn("seen", F.max("is_header").over(so_far))
-        .join(opened, ["file", "block"])
-        .where("NOT is_header AND (opened OR seen)")
-        .selectExpr("file", "line", r"split(trim(regexp_replace(line, '\\s+', ' ')), ' ') AS tokens")
-        .where(f"size(tokens) >= {LOG_TOKENS}")
-        .selectExpr("*", f"transform(slice(tokens, 2, {LOG_TOKENS - 1}), t -> try_cast(t AS DOUBLE)) AS numbers")
+        lines.where("NOT is_header").join(first, "file").where("place > opened")
+        .selectExpr("file", "line", "tokens",
+                    f"transform(slice(tokens, 2, {LOG_TOKENS - 1}), t -> try_cast(t AS DOUBLE)) AS numbers")
     )
 
 
@@ -119,3 +121,32 @@ def ensure_columns(df: DataFrame) -> DataFrame:
 def raw_rows(df: DataFrame) -> DataFrame:
     """Repaired rows in the order of the raw schema."""
     return ensure_columns(df).select(*RAW_SCHEMA.fieldNames())
+
+
+def files_by_header(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """Header line -> the CSV files that start with it.
+
+    One pass over the text finds each file's first line; what reaches the driver is a line and the
+    names of files, which any reader's file index holds there as well. Files without a line are absent.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"))
+    firsts = lines.where((F.col("block") == 0) & (F.trim("value") != "")).groupBy("file").agg(
+        F.min(F.struct("place", "value")).alias("first"))
+    groups = firsts.groupBy(F.col("first.value").alias("header")).agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return {g.header: [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in g.files]
+            for g in groups.orderBy("header").collect()}
+
+
+def read_csv_mixed(spark: SparkSession, paths: str | list[str], run: str) -> DataFrame:
+    """Raw rows of one run from CSV files whose headers differ in names, order or number of columns.
+
+    Each kind of header is one scan with its own schema, repaired on its own: a legacy name, an absent
+    metric or another order in one file does not touch the rows of another. There are as many
+    scans as kinds of headers, not files. A header must end on its line. Without any file that has
+    a header the result is empty.
+    """
+    parts = [raw_rows(with_lineage(read_csv(spark, files), run)) for files in files_by_header(spark, paths).values()]
+    parts = [part.withColumn("timestamp", F.try_to_timestamp(F.col("timestamp").cast("string"))) for part in parts]
+    return reduce(DataFrame.union, parts, spark.createDataFrame([], RAW_SCHEMA))

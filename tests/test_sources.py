@@ -81,6 +81,37 @@ def test_csv_with_legacy_names(spark, tmp_path):
     assert (rows["ingest_run_id"] == "run-1").all()
 
 
+def test_no_line_of_a_log_is_shuffled(spark, log_folder):
+    plan = logs.read_iostat(spark, log_folder, "2025-01-02 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort" not in plan
+
+
+def test_logs_without_any_header(spark, tmp_path):
+    (tmp_path / "headless.log").write_text("sdz 1 2 3 4 5 6 7 8\n")
+    (tmp_path / "empty.log").write_text("")
+    assert logs.read_iostat(spark, str(tmp_path), "2025-01-02 00:00:00").count() == 0
+
+
+def test_csv_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "old one.csv").write_text("device,timestamp,r/s,w/s\nsda,2025-01-01 00:00:00,1,2\n")
+    (tmp_path / "new[1].csv").write_text("\ndevice,timestamp,r_s,w_s,svctm\nsdb,2025-01-01 00:00:00,3,4,5\nsdb,bad,3,,NaN\n")
+    (tmp_path / "back.csv").write_text("w_s,r_s,timestamp,device,more\n6,5,2025-01-01 00:00:00,sdc,x\n")
+    (tmp_path / "bare.csv").write_text("device,timestamp,r_s\n")
+    (tmp_path / "empty.csv").write_text("")
+    out = logs.read_csv_mixed(spark, str(tmp_path), "run-1")
+    assert out.schema.names == RAW_SCHEMA.names and len(logs.files_by_header(spark, str(tmp_path))) == 4
+    rows = sorted(out.select("device", "r_s", "w_s", "svctm", "timestamp").collect(), key=str)
+    assert [tuple(r)[:4] for r in rows] == [
+        ("sda", 1.0, 2.0, 0.0), ("sdb", 3.0, 4.0, 5.0), ("sdb", 3.0, None, None), ("sdc", 5.0, 6.0, 0.0)]
+    assert [r.timestamp is None for r in rows] == [False, False, True, False]
+    assert {r.ingest_run_id for r in out.collect()} == {"run-1"}
+
+
+def test_mixed_csv_without_rows(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    assert logs.read_csv_mixed(spark, str(tmp_path), "run-1").collect() == []
+
+
 def test_ensure_columns_turns_nan_into_null(spark):
     df = spark.createDataFrame([("sda", float("nan"))], "device string, r_s double")
     out = logs.ensure_columns(df)
