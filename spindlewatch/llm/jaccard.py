@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spindlewatch.llm.common import split_words, text_groups, word_hashes
-from spindlewatch.llm.components import link
+from spindlewatch.llm.components import link, size_band
 from spindlewatch.session import stage
 
 SIZE = 4
@@ -185,7 +185,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # One row per class; a repeated row of the representative adds nothing.
     first = stage(made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
                   .select("doc_id", "n_shingles", "least", "prefix"), "representatives")
-    postings = first.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("node"))
+    postings = first.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("node"),
+                            size_band(F.col("n_shingles"), numerator / denominator).alias("band"))
     needed = first.groupBy(F.col("doc_id").alias("node")).agg(F.min("least").alias("least"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         shared = F.size(F.array_intersect(a["items"], b["items"]))
         return F.when(fits, shared >= F.least(a["least"], b["least"])).otherwise(False)
 
-    found = stage(link(postings, verify, signatures, agree, needed)[0], "linked-nodes")
+    found = stage(link(postings, signatures, agree, verify, needed)[0], "linked-nodes")
     blocks = _blocks(found, classes, texts_of(found.select("node")), block)
     links = blocks.mapInArrow(_block_links(size, numerator, denominator, False), "a long, b long")
     reached = classes.join(found, F.col("rep") == F.col("node"), "left").select(

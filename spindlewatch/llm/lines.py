@@ -14,19 +14,17 @@ smallest doc_id, and there the first. DataFrame functions only.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spindlewatch.llm.components import link, may_hold
+from spindlewatch.llm.components import link, may_hold, size_band
 from spindlewatch.session import stage
 
 WIDTH = 12
 ROWS = 4
 BANDS = 10
 SIMILAR = 0.8
-FLOOR = 0.5  # share of equal minima below which a pair is not worth an exact comparison
 
 
 def line_key(line: Column) -> Column:
@@ -105,36 +103,27 @@ def line_classes(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", tex
     """Components of similar lines (node, component) by line key, and the links between keys.
 
     signed is what `signed_lines` makes of docs. Lines that are equal have one key and need no link;
-    keys without a link are not listed. Two lines outside of the first tries are verified if `FLOOR` of
-    their minima are equal.
+    keys without a link are not listed. Pairs are compared by their whole shingle sets, which are made
+    once, for the lines that share a band with another.
     """
-    lines = split_lines(docs, doc_id, text)
-    postings = signed.select(F.explode(band_keys(F.col("sig"), rows, bands)).alias("key"), F.col("k").alias("node"))
-    floor = math.ceil(FLOOR * rows * bands / 2)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = stage(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "nodes")
-        keyed = lines.select(line_key(F.col("line")).alias("k"), "line")
-        # An inner join: the optimizer would put a semi join ahead of the filter.
-        sets = stage(may_hold(keyed, "k", nodes).join(nodes, "k").groupBy("k").agg(F.any_value("line").alias("line"))
-                     .select("k", F.array_distinct(shingles(F.col("line"))).alias("s")), "line-sets")
-        both = (pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
-                .join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(common >= F.lit(similar) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    postings = signed.select(F.explode(band_keys(F.col("sig"), rows, bands)).alias("key"), F.col("k").alias("node"),
+                             size_band(F.col("n"), similar).alias("band"))
 
     def signatures(nodes: DataFrame) -> DataFrame:
         wanted = nodes.withColumnRenamed("node", "k")
-        return (may_hold(signed.select("k", "n", "sig"), "k", wanted).join(wanted, "k").groupBy(F.col("k").alias("node"))
-                .agg(F.any_value(F.struct("n", F.col("sig").alias("items"))).alias("sig")))
+        keyed = split_lines(docs, doc_id, text).select(line_key(F.col("line")).alias("k"), "line")
+        # An inner join: the optimizer would put a semi join ahead of the filter.
+        return (may_hold(keyed, "k", wanted).join(wanted, "k").groupBy("k").agg(F.any_value("line").alias("line"))
+                .select(F.col("k").alias("node"), F.struct(F.array_distinct(shingles(F.col("line"))).alias("items")).alias("sig")))
 
     def agree(a: Column, b: Column) -> Column:
+        m, n = F.size(a["items"]), F.size(b["items"])
         # A smaller set cannot fill its share of a much larger one.
-        fits = F.least(a["n"], b["n"]) >= F.lit(similar) * F.greatest(a["n"], b["n"])
-        equal = F.zip_with(a["items"], b["items"], lambda x, y: x == y)
-        return F.when(fits, F.size(F.filter(equal, lambda x: x)) >= floor).otherwise(False)
+        fits = F.least(m, n) >= F.lit(similar) * F.greatest(m, n)
+        common = F.size(F.array_intersect(a["items"], b["items"]))
+        return F.when(fits, common >= F.lit(similar) * (m + n - common)).otherwise(False)
 
-    return link(postings, verify, signatures, agree)
+    return link(postings, signatures, agree)
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS,
