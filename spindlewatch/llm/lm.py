@@ -543,6 +543,18 @@ def _scorer(model: dict, vocabulary: Vocabulary, ends: int, total: int, distinct
     return run
 
 
+def with_counts(groups: DataFrame, merged: DataFrame) -> DataFrame:
+    """Every group with the counts of its distinct words, in about as many partitions as there are groups.
+
+    A group is megabytes, and all rows of a partition may come to Python at once.
+    """
+    parts = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.count())
+    # A group's distinct words are bounded, so is what returns to it.
+    found = (merged.filter("chunk is not null").repartition(parts, "chunk").groupBy("chunk")
+             .agg(F.sort_array(F.collect_list(F.struct("bucket", "found"))).alias("merged")))
+    return groups.select("chunk", "doc_ids", "sizes", "ids", "words").repartition(parts, "chunk").join(found, "chunk", "left")
+
+
 def score_documents(docs: DataFrame, learns: Column, vocabulary: str, pattern: str, doc_id: str = "doc_id",
                     text: str = "text", **options) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row.
@@ -561,9 +573,5 @@ def score_documents(docs: DataFrame, learns: Column, vocabulary: str, pattern: s
     sums = merged.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     known = fit_vocabulary(merged, vocabulary, pattern, ends)
     model = fit(groups, known, **options)
-    # A group's distinct words are bounded, so is what returns to it.
-    found = (merged.filter("chunk is not null").groupBy("chunk")
-             .agg(F.sort_array(F.collect_list(F.struct("bucket", "found"))).alias("merged")))
-    held = groups.select("chunk", "doc_ids", "sizes", "ids", "words").join(found, "chunk", "left")
-    return held.mapInArrow(_scorer(model, known, ends, sums[0] + ends, sums[1] + (ends > 0)),
+    return with_counts(groups, merged).mapInArrow(_scorer(model, known, ends, sums[0] + ends, sums[1] + (ends > 0)),
                            "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
