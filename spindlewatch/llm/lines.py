@@ -7,7 +7,7 @@ minimum that starts the order at a mark is the first hash at or above the mark,
 So one sort gives all minima, and two lines agree in one with a probability of their similarity. A
 band is `rows` of them, and each minimum is in two bands; two bands share one minimum at most.
 Lines that agree in a whole band become candidates: with 4 rows and 10 bands about 99.5 % of the
-pairs whose similarity is 0.8, and more above. Candidates are verified by the exact Jaccard
+pairs whose similarity is 0.8, and more above. Candidates are compared by the exact Jaccard
 similarity of their shingle sets, and linked lines are joined by distributed union-find. Each component keeps one line: that of the
 smallest doc_id, and there the first. DataFrame functions only.
 """
